@@ -7,6 +7,7 @@ preformatted blocks and rules. Everything else is removed, its text kept.
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -60,6 +61,10 @@ def strip_tags(html: ColumnOrName) -> Column:
     return F.trim(replace_all(bare, f"[{UNICODE_SPACE}]+", " "))
 
 
+# One constant, so that the plan holds a single folded map instead of hundreds of literals.
+_NAMED_ENTITIES = json.dumps({**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'"})
+
+
 def _code_point(number: Column) -> Column:
     """The character of a Unicode code point; null outside the valid range."""
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
@@ -68,11 +73,7 @@ def _code_point(number: Column) -> Column:
 
 def unescape_entities(text: ColumnOrName) -> Column:
     """Decode named and numeric character references; unknown ones stay as they are."""
-    named = F.create_map(
-        *[F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, chr(point))],
-        F.lit("apos"),
-        F.lit("'"),
-    )
+    named = F.from_json(F.lit(_NAMED_ENTITIES), "map<string,string>")
 
     def decode(token: Column) -> Column:
         body = F.substring(token, 2, 40)

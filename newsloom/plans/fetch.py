@@ -1,10 +1,10 @@
 """The main job: captured feed documents to items, feeds, warnings, errors and totals.
 
-The plan is one narrow stage (scan, parse once, dates, since filter), one shuffle by feed when a
-limit is given, and one narrow stage after it (links, ids, bodies) for the survivors only. Each
-feed travels as its own row 0, so a feed without surviving items still reports, and feed totals
-aggregate on the partitioning the limit left behind. Without a limit nothing is shuffled until
-the totals, which aggregate partially first.
+A feed is one document, so everything about its items can be decided inside its row: the since
+filter, the newest-first order and the limit work on the parsed array before it is exploded. The
+job is therefore a single narrow stage (scan, parse once, select, explode, then links, ids and
+bodies for the survivors only), with no shuffle at all; only the totals shuffle, one partial row
+per feed. The same plan runs on a stream.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsloom.functions.base import bind
 from newsloom.functions.dates import effective_ts, parse_feed_date, rfc3339
 from newsloom.functions.identity import content_hash, id_source, item_id
 from newsloom.functions.text import (
@@ -26,19 +27,53 @@ from newsloom.functions.urls import resolve_or_keep
 from newsloom.functions.values import error_object
 from newsloom.operators import totals
 from newsloom.operators.items import ITEM_COLUMNS
-from newsloom.operators.ranking import newest_first, top_per_group
 from newsloom.params import FeedParams
 from newsloom.schemas import ERROR
-from newsloom.sources.feeds import parse_feeds
+from newsloom.sources.feeds import parse_documents
 
 ERROR_DDL = ERROR.simpleString()
 
 
-def feed_records(documents: DataFrame) -> DataFrame:
-    """Parsed rows with instants: row 0 of a feed carries its status and error, rows 1.. entries."""
+def select_entries(entries: Column, params: FeedParams) -> Column:
+    """Since filter and newest-N of one document's entries.
+
+    Gives ``array<struct<undated, age, pos, published, updated, entry>>``: newest first when a
+    limit is set, else in document order.
+    """
+
+    def dated(entry: Column, index: Column) -> Column:
+        instants = F.struct(
+            parse_feed_date(entry["published_text"]).alias("published"),
+            parse_feed_date(entry["updated_text"]).alias("updated"),
+        )
+
+        def build(at: Column) -> Column:
+            ts = effective_ts(at["published"], at["updated"])
+            return F.struct(
+                ts.isNull().alias("undated"),
+                (-F.unix_micros(ts)).alias("age"),
+                (index + 1).cast("bigint").alias("pos"),
+                at["published"].alias("published"),
+                at["updated"].alias("updated"),
+                entry.alias("entry"),
+            )
+
+        return bind(instants, build)
+
+    rows = F.transform(entries, dated)
+    if params.since is not None:
+        newest_age = -F.unix_micros(F.lit(params.since))
+        rows = F.filter(rows, lambda r: r["undated"] | (r["age"] <= newest_age))
+    if params.limit is not None:
+        # Sorting on (undated, age, pos): newest first, undated last, ties in document order.
+        rows = F.slice(F.array_sort(rows), 1, params.limit)
+    return rows
+
+
+def feed_records(documents: DataFrame, params: FeedParams) -> DataFrame:
+    """Selected rows with instants: row 0 of a feed carries its status and error, the rest entries."""
     have = documents.columns
-    parsed = parse_feeds(documents)
-    is_feed = F.col("pos") == 0
+    carried = [c for c in ("fetched_at",) if c in have]
     fetch_error = F.col("fetch_error") if "fetch_error" in have else F.lit(None).cast(ERROR_DDL)
     parse_error = F.when(
         F.col("parse_error").isNotNull(),
@@ -48,45 +83,52 @@ def feed_records(documents: DataFrame) -> DataFrame:
             "feed_url",
         ),
     )
-    status = F.col("status") if "status" in have else F.lit("ok")
-    from_cache = F.col("from_cache") if "from_cache" in have else F.lit(False)
-    published = parse_feed_date("published_text")
-    updated = parse_feed_date("updated_text")
-    rows = parsed.select(
+    parsed = parse_documents(documents).select(
         F.col("request_pos") if "request_pos" in have else F.lit(0).cast("bigint").alias("request_pos"),
         "feed_url",
-        "pos",
-        F.when(is_feed, F.coalesce(fetch_error, parse_error)).alias("error"),
-        F.when(is_feed, status).alias("status"),
-        F.when(is_feed, from_cache).alias("from_cache"),
-        *["title", "link", "guid", "authors", "categories", "summary", "body", "enclosures"],
-        published.alias("published"),
-        updated.alias("updated"),
+        *carried,
+        F.coalesce(fetch_error, parse_error).alias("error"),
+        (F.col("status") if "status" in have else F.lit("ok")).alias("status"),
+        (F.col("from_cache") if "from_cache" in have else F.lit(False)).alias("from_cache"),
+        F.concat(
+            F.array(
+                F.struct(
+                    F.lit(False).alias("undated"),
+                    F.lit(None).cast("bigint").alias("age"),
+                    F.lit(0).cast("bigint").alias("pos"),
+                    F.lit(None).cast("timestamp").alias("published"),
+                    parse_feed_date(F.col("feed")["updated_text"]).alias("updated"),
+                    F.col("feed").alias("entry"),
+                )
+            ),
+            select_entries(F.col("entries"), params),
+        ).alias("_rows"),
+    )
+    # The outer form keeps the optimizer from adding a size filter that would parse bodies twice.
+    rows = parsed.select(
+        *[c for c in parsed.columns if c != "_rows"], F.explode_outer("_rows").alias("_r")
     )
+    is_feed = F.col("_r")["pos"] == 0
     failed = F.col("error").isNotNull()
-    return (
-        rows.withColumn("ts", effective_ts("published", "updated"))
-        .withColumn("status", F.when(failed, F.lit("error")).otherwise(F.col("status")))
-        .withColumn("from_cache", F.col("from_cache") & ~failed)
+    entry = F.col("_r")["entry"]
+    return rows.select(
+        "request_pos",
+        "feed_url",
+        *carried,
+        F.col("_r")["pos"].alias("pos"),
+        F.when(is_feed, F.col("error")).alias("error"),
+        F.when(is_feed, F.when(failed, F.lit("error")).otherwise(F.col("status"))).alias("status"),
+        F.when(is_feed, F.col("from_cache") & ~failed).alias("from_cache"),
+        *[
+            entry[name].alias(name)
+            for name in ("title", "link", "guid", "authors", "categories", "summary", "body", "enclosures")
+        ],
+        F.col("_r")["published"].alias("published"),
+        F.col("_r")["updated"].alias("updated"),
+        effective_ts(F.col("_r")["published"], F.col("_r")["updated"]).alias("ts"),
     )
 
 
-def select_records(records: DataFrame, params: FeedParams) -> DataFrame:
-    """Since filter and newest-N, keeping row 0 of every feed."""
-    is_feed = F.col("pos") == 0
-    if params.since is not None:
-        records = records.where(
-            is_feed | F.col("ts").isNull() | (F.col("ts") >= F.lit(params.since))
-        )
-    if params.limit is not None:
-        # Row 0 sorts first, so one more row than the limit is kept.
-        order = [F.when(is_feed, 0).otherwise(1), *newest_first("pos")]
-        records = top_per_group(
-            records, ["feed_url"], order, params.limit + 1, spread_by=("pos",)
-        )
-    return records
-
-
 def complete_records(records: DataFrame, params: FeedParams) -> DataFrame:
     """Permalink, identity and body columns. Row 0 keeps the raw site link and gets no identity."""
     is_item = F.col("pos") > 0
@@ -145,8 +187,9 @@ class FeedRun:
 
     def items(self) -> DataFrame:
         """Item columns plus ``request_pos``, ``pos``, ``ts``, ``fell_back`` for ordering and warnings."""
+        carried = [c for c in ("fetched_at",) if c in self.rows.columns]
         return self.rows.where(F.col("pos") > 0).select(
-            *ITEM_COLUMNS, "request_pos", "pos", "ts", "fell_back"
+            *ITEM_COLUMNS, "request_pos", "pos", "ts", "fell_back", *carried
         )
 
     def feeds(self) -> DataFrame:
@@ -202,5 +245,4 @@ def fetch(documents: DataFrame, params: FeedParams = FeedParams()) -> FeedRun:
     The output of ``operators.snapshots.resolve_fetch`` fits as it is: its status, cache flag and
     error columns are carried through.
     """
-    records = select_records(feed_records(documents), params)
-    return FeedRun(complete_records(records, params), params)
+    return FeedRun(complete_records(feed_records(documents, params), params), params)

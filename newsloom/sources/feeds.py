@@ -107,8 +107,8 @@ def _text(value: str | None = None) -> Column:
     return F.lit(value).cast("string")
 
 
-def _no_media() -> Column:
-    return F.array().cast("array<struct<url:string,type:string,length:string>>")
+def _no_links() -> Column:
+    return F.lit(None).cast("array<struct<href:string,rel:string,type:string,length:string>>")
 
 
 def _rss_entry(item: Column) -> Column:
@@ -173,68 +173,68 @@ def _json_entry(item: Column) -> Column:
         categories=terms(item["tags"]),
         summary=item["summary"],
         body=F.coalesce(item["content_html"], item["content_text"]),
-        enclosures=collect_enclosures(attachments, F.lit(None).cast("array<struct<href:string,rel:string,type:string,length:string>>")),
+        enclosures=collect_enclosures(attachments, _no_links()),
     )
 
 
 def _feed_entry(title: Column, link: Column, updated: Column) -> Column:
     """Row 0: the feed's own title, site link and date in the fields of an entry."""
     none = _text()
+    no_names = F.array().cast("array<string>")
     return _entry(
         title=title,
         link=link,
         guid=none,
         published_text=none,
         updated_text=updated,
-        authors=F.array().cast("array<string>"),
-        categories=F.array().cast("array<string>"),
+        authors=no_names,
+        categories=no_names,
         summary=none,
         body=none,
-        enclosures=collect_enclosures(_no_media(), F.lit(None).cast("array<struct<href:string,rel:string,type:string,length:string>>")),
+        enclosures=F.array().cast("array<struct<url:string,mime:string,length:bigint>>"),
     )
 
 
-def parse_feeds(documents: DataFrame, body: str = "body") -> DataFrame:
-    """One row per feed and per entry of each document.
+def parse_documents(documents: DataFrame, body: str = "body") -> DataFrame:
+    """One row per document: its other columns plus ``parse_error``, ``feed`` and ``entries``.
 
-    Keeps every other column of ``documents`` and adds ``pos`` (0 for the feed itself, then the
-    entries in document order), the fields of ``ENTRY``, and ``parse_error`` (text on row 0 of a
-    body that is not a readable feed, which has no entries). A bad body never fails the job.
+    ``feed`` describes the feed in the fields of an entry, ``entries`` are in document order. A
+    body that is not a readable feed gets an error text and no entries; it never fails the job.
     """
     keys = [c for c in documents.columns if c != body]
     fmt = F.col("_format")
     routed = documents.withColumn("_format", detect_format(F.col(body)))
+    xml = F.when(fmt == "xml-atom", plain_prefixes(F.col(body))).when(
+        fmt.startswith("xml"), F.col(body)
+    )
+    json = F.when(fmt == "json", F.col(body))
     parsed = routed.select(
         *keys,
         "_format",
-        F.from_xml(
-            F.when(fmt == "xml-atom", plain_prefixes(F.col(body))).when(
-                fmt.startswith("xml"), F.col(body)
-            ),
-            XML_SCHEMA,
-            _PARSE_OPTIONS,
-        ).alias("_x"),
-        F.from_json(F.when(fmt == "json", F.col(body)), JSON_SCHEMA, _PARSE_OPTIONS).alias("_j"),
+        F.from_xml(xml, XML_SCHEMA, _PARSE_OPTIONS).alias("_x"),
+        F.from_json(json, JSON_SCHEMA, _PARSE_OPTIONS).alias("_j"),
     )
     x, j = F.col("_x"), F.col("_j")
+    is_rss = fmt.isin("xml-rss", "xml-rdf")
     error = (
         F.when(fmt.isNull(), F.lit("unrecognised document: no feed root element"))
         .when(x["_corrupt"].isNotNull(), F.lit("malformed XML"))
         .when(j["_corrupt"].isNotNull(), F.lit("malformed JSON"))
-        .when(fmt.isin("xml-rss", "xml-rdf") & x["channel"].isNull(), F.lit("no channel element"))
+        .when(is_rss & x["channel"].isNull(), F.lit("no channel element"))
         .when(
             (fmt == "json")
             & ~F.coalesce(j["version"].startswith("https://jsonfeed.org/version/1"), F.lit(False)),
             F.lit("not a JSON Feed of version 1"),
         )
     )
+    channel = x["channel"]
     head = (
         F.when(
-            fmt.isin("xml-rss", "xml-rdf"),
+            is_rss,
             _feed_entry(
-                x["channel"]["title"],
-                pick_link(_links(x["channel"]["link"])),
-                F.coalesce(x["channel"]["lastBuildDate"], x["channel"]["dc:date"]),
+                channel["title"],
+                pick_link(_links(channel["link"])),
+                F.coalesce(channel["lastBuildDate"], channel["dc:date"]),
             ),
         )
         .when(fmt == "xml-atom", _feed_entry(x["title"], pick_link(_links(x["link"])), x["updated"]))
@@ -243,31 +243,39 @@ def parse_feeds(documents: DataFrame, body: str = "body") -> DataFrame:
             _feed_entry(j["title"], F.coalesce(j["home_page_url"], j["feed_url"]), _text()),
         )
     )
+    # RSS 1.0 keeps its items beside the channel, the other versions inside it.
+    items = F.when(fmt == "xml-rss", F.coalesce(channel["item"], x["item"])).otherwise(
+        F.coalesce(x["item"], channel["item"])
+    )
     entries = (
-        F.when(
-            fmt == "xml-rss", F.transform(F.coalesce(x["channel"]["item"], x["item"]), _rss_entry)
-        )
-        .when(
-            fmt == "xml-rdf", F.transform(F.coalesce(x["item"], x["channel"]["item"]), _rss_entry)
-        )
+        F.when(is_rss, F.transform(items, _rss_entry))
         .when(fmt == "xml-atom", F.transform(x["entry"], _atom_entry))
         .when(fmt == "json", F.transform(j["items"], _json_entry))
     )
     nothing = F.array().cast(f"array<{ENTRY}>")
-    rows = parsed.select(
+    return parsed.select(
         *keys,
-        error.alias("_error"),
-        F.concat(
-            F.array(head.cast(ENTRY)),
-            F.when(error.isNull(), F.coalesce(entries, nothing)).otherwise(nothing),
-        ).alias("_rows"),
+        error.alias("parse_error"),
+        F.when(error.isNull(), head).cast(ENTRY).alias("feed"),
+        F.when(error.isNull(), F.coalesce(entries, nothing)).otherwise(nothing).alias("entries"),
+    )
+
+
+def parse_feeds(documents: DataFrame, body: str = "body") -> DataFrame:
+    """One row per entry of each document, with ``pos`` from 1, and row 0 for the feed itself.
+
+    Row 0 carries ``parse_error``. Filters on the result do not parse the bodies again.
+    """
+    keys = [c for c in documents.columns if c != body]
+    rows = parse_documents(documents, body).select(
+        *keys, "parse_error", F.concat(F.array("feed"), F.col("entries")).alias("_rows")
     )
     # posexplode_outer, not posexplode: for the latter the optimizer adds a size filter below the
     # generator, which would parse every body twice.
-    exploded = rows.select(*keys, "_error", F.posexplode_outer("_rows").alias("pos", "_entry"))
+    exploded = rows.select(*keys, "parse_error", F.posexplode_outer("_rows").alias("pos", "_entry"))
     return exploded.select(
         *keys,
         F.col("pos").cast("bigint").alias("pos"),
-        F.when(F.col("pos") == 0, F.col("_error")).alias("parse_error"),
+        F.when(F.col("pos") == 0, F.col("parse_error")).alias("parse_error"),
         "_entry.*",
     )
