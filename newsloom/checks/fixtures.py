@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsloom.session import apply_runtime_conf
+from newsloom.session import apply_runtime_conf, spread
 
 # 2024-01-01T00:00:00Z, the first day of the events table.
 EPOCH = 1704067200
@@ -78,7 +78,7 @@ def _join(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _rss() -> Column:
+def _rss(end: Column | str = "</rss>") -> Column:
     def item(line: Column, i: Column) -> Column:
         n = text(i + 1)
         date = F.when(
@@ -98,7 +98,7 @@ def _rss() -> Column:
         '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>Feed ',
         text(F.col("doc_id")), "</title><link>https://", F.col("source"), ".example.com/</link>",
         F.array_join(F.transform(F.split("text", "\n"), item), ""),
-        "</channel></rss>",
+        "</channel>", end,
     )
 
 
@@ -169,14 +169,13 @@ def feed_documents(spark: SparkSession, sf_dir: str, form: str = "rss") -> DataF
     ``form`` is ``rss``, ``atom``, ``json``, or ``mixed``: RSS for English, Atom for French, JSON
     for Spanish, and RSS whose last tag is missing for German.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     if form == "mixed":
         lang = F.col("lang")
         body = (
-            F.when(lang == "en", _rss())
-            .when(lang == "fr", _atom())
+            F.when(lang == "fr", _atom())
             .when(lang == "es", _json())
-            .otherwise(F.replace(_rss(), F.lit("</channel></rss>"), F.lit("</channel>")))
+            .otherwise(_rss(F.when(lang == "de", F.lit("")).otherwise(F.lit("</rss>"))))
         )
     else:
         body = _BODIES[form]()

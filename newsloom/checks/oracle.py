@@ -1,8 +1,7 @@
 """What each query must give, as SQL over the supplied tables.
 
 The SQL works from the tables directly: it never sees a feed document, it states the rows that
-reading one back must produce. Only the HTML conversions share their pattern lists with the library
-(they are its definition); everything else is written independently.
+reading one back must produce. It is written independently of the library.
 """
 
 from __future__ import annotations
@@ -168,19 +167,49 @@ def _unescaped(expression: str) -> str:
     return f"replace({expression}, '&amp;', '&')"
 
 
+# HTML conversion as a chain of replacements, one tag kind after the other. The library gets to the
+# same text differently (one pass over the tags).
+_SQUEEZE = [
+    (
+        r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+        r"|<head\b[^>]*>.*?</head\s*>",
+        "",
+    ),
+    (r"[ \t\n\x0B\f\r]+", " "),
+]
+_ATTR = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_MARKDOWN = [
+    *[(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)],
+    (r"(?i)</?(?:b|strong)\b[^>]*>", "**"),
+    (r"(?i)</?(?:i|em)\b[^>]*>", "*"),
+    (r"(?i)</?code\b[^>]*>", "`"),
+    (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
+    (rf"(?i)<a\b[^>]*?\shref{_ATTR}[^>]*>(.*?)</a ?>", "[$4]($1$2$3)"),
+]
+_LAYOUT = [
+    (r"(?i)</?br\b[^>]*>", "\n"),
+    (r"(?i)<li\b[^>]*>", "\n* "),
+    (r"(?i)</?t[dh]\b[^>]*>", " "),
+    (rf"(?i)</?(?:{'|'.join(text.BLOCK_TAGS)})\b[^>]*>", "\n\n"),
+    (r"</?[A-Za-z!][^>]*(?:>|\z)", ""),
+]
+_TIDY = [(r"  +", " "), (r" *\n *", "\n"), (r"\n\n+", "\n\n"), (r"^[\n ]+|[\n ]+\z", "")]
+_WRAP = [(r"([^\n]{1,80})(?: +|\n|\z)", "$1\n"), (r"\n+\z", "")]
+
+
 def _to_text() -> str:
-    flat = _steps("html", text.SQUEEZE_STEPS + text.LAYOUT_STEPS)
+    flat = _steps("html", _SQUEEZE + _LAYOUT)
     return with_(
         f"flat AS (SELECT page_id, {_unescaped(flat)} AS t FROM pages)",
-        f"SELECT page_id, {_steps('t', text.TIDY_STEPS + text.WRAP_STEPS)} AS content FROM flat",
+        f"SELECT page_id, {_steps('t', _TIDY + _WRAP)} AS content FROM flat",
     )
 
 
 def _to_markdown() -> str:
-    flat = _steps("html", text.SQUEEZE_STEPS + text.MARKDOWN_STEPS + text.LAYOUT_STEPS)
+    flat = _steps("html", _SQUEEZE + _MARKDOWN + _LAYOUT)
     return with_(
         f"flat AS (SELECT page_id, {_unescaped(flat)} AS t FROM pages)",
-        f"SELECT page_id, {_steps('t', text.TIDY_STEPS)} AS content, false AS fell_back FROM flat",
+        f"SELECT page_id, {_steps('t', _TIDY)} AS content, false AS fell_back FROM flat",
     )
 
 

@@ -14,7 +14,7 @@ from newsloom.params import DEFAULT_ITEM_CAP, FeedParams
 from newsloom.plans.fetch import FeedRun, fetch
 from newsloom.plans.lookup import show_items
 from newsloom.schemas import check_contract, contract
-from newsloom.session import apply_runtime_conf, scratch_path
+from newsloom.session import apply_runtime_conf, scratch_path, spread
 from newsloom.sinks import records, report
 from newsloom.sinks.tables import SnapshotTable
 from newsloom.sources.feeds import parse_feeds
@@ -108,21 +108,21 @@ def enclosures_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strip_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "pages").select("page_id", text.strip_tags("html").alias("content"))
+    return spread(fx.table(spark, sf, "pages")).select("page_id", text.strip_tags("html").alias("content"))
 
 
 def to_text(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "pages").select("page_id", text.to_text("html").alias("content"))
+    return spread(fx.table(spark, sf, "pages")).select("page_id", text.to_text("html").alias("content"))
 
 
 def to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     made = text.extract_content("html", "markdown")
-    return fx.table(spark, sf, "pages").select("page_id", made.alias("x")).select("page_id", "x.content", "x.fell_back")
+    return spread(fx.table(spark, sf, "pages")).select("page_id", made.alias("x")).select("page_id", "x.content", "x.fell_back")
 
 
 def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
     hrefs = F.regexp_extract_all("html", F.lit(r'<a\b[^>]*?\bhref="([^"]*)"'), F.lit(1))
-    anchors = fx.table(spark, sf, "pages").select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+    anchors = spread(fx.table(spark, sf, "pages")).select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
     return anchors.select("page_id", "pos", "href", urls.resolve_or_keep("url", "href").alias("resolved"))
 
 
@@ -187,7 +187,7 @@ def retry_after(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf: str, form: str) -> DataFrame:
-    entries = parse_feeds(fx.feed_documents(spark, sf, form)).where(F.col("pos") > 0)
+    entries = parse_feeds(spread(fx.feed_documents(spark, sf, form))).where(F.col("pos") > 0)
     return entries.select(
         F.col("request_pos").alias("doc_id"),
         "pos",

@@ -1,8 +1,8 @@
 """Body text: token estimate, truncation, tag stripping, and HTML to text or markdown.
 
-The HTML conversions are chains of ``regexp_replace`` so they stay in the JVM. They cover the tags
-feed bodies are made of: headings, paragraphs, breaks, emphasis, links, images, lists, quotes, code,
-preformatted blocks and rules. Everything else is removed, its text kept.
+The HTML conversions are built from JVM string functions. They cover the tags feed bodies are made
+of: headings, paragraphs, breaks, emphasis, links, images, lists, quotes, code, preformatted blocks
+and rules. Everything else is removed, its text kept.
 """
 
 from __future__ import annotations
@@ -99,82 +99,99 @@ def unescape_entities(text: ColumnOrName) -> Column:
 
 
 # --- HTML conversion ----------------------------------------------------------------------------
-# Each step is (pattern, replacement with $n groups). The patterns use no look-around and no
-# back-reference, so that other regular-expression engines read them the same way.
+# The text is cut into tags and the runs between them once; each tag is looked up in a table of
+# what it prints. That takes a handful of passes over the text, whatever the number of tag kinds.
 
 _UNSEEN = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
     r"|<head\b[^>]*>.*?</head\s*>"
 )
-_BLOCKS = (
-    "p|div|section|article|header|footer|main|aside|nav|figure|figcaption|table|thead|tbody|tr"
-    "|ul|ol|dl|dt|dd|form|fieldset|address|details|summary|blockquote|pre|h[1-6]|html|body"
-)
+# Single blanks need no replacing, so only longer runs and other white space are matched.
+_SPACES = r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]"
+_TOKENS = r"</?[A-Za-z!][^>]*(?:>|\z)|<|[^<]+"
+_TAG_NAME = r"^<(/?[A-Za-z][A-Za-z0-9]*)"
 _ATTR = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
-SQUEEZE_STEPS = [
-    (_UNSEEN, ""),
-    (r"[ \t\n\x0B\f\r]+", " "),
-]
-MARKDOWN_STEPS = [
-    *[(rf"(?i) ?<h{n}\b[^>]*> ?", "\n\n" + "#" * n + " ") for n in range(1, 7)],
-    (r"(?i) ?</h[1-6] ?> ?", "\n\n"),
-    (r"(?i)</?(?:b|strong)\b[^>]*>", "**"),
-    (r"(?i)</?(?:i|em)\b[^>]*>", "*"),
-    (r"(?i)</?code\b[^>]*>", "`"),
-    (r"(?i) ?<pre\b[^>]*> ?", "\n\n```\n"),
-    (r"(?i) ?</pre ?> ?", "\n```\n\n"),
-    (r"(?i) ?<hr\b[^>]*> ?", "\n\n* * *\n\n"),
-    (
-        r"""(?i)<img\b[^>]*?\balt ?= ?["']([^"']*)["'][^>]*?\bsrc ?= ?["']([^"']*)["'][^>]*>""",
-        "![$1]($2)",
-    ),
-    (
-        r"""(?i)<img\b[^>]*?\bsrc ?= ?["']([^"']*)["'][^>]*?\balt ?= ?["']([^"']*)["'][^>]*>""",
-        "![$2]($1)",
-    ),
-    (rf"(?i)<img\b[^>]*?\bsrc{_ATTR}[^>]*>", "![]($1$2$3)"),
-    (rf"(?i)<a\b[^>]*?\bhref{_ATTR}[^>]*>(.*?)</a ?>", "[$4]($1$2$3)"),
-]
-LAYOUT_STEPS = [
-    (r"(?i) ?<br\b[^>]*> ?", "\n"),
-    (r"(?i) ?<li\b[^>]*> ?", "\n* "),
-    (r"(?i) ?</li ?> ?", ""),
-    (r"(?i) ?</?t[dh]\b[^>]*> ?", " "),
-    (rf"(?i) ?</?(?:{_BLOCKS})\b[^>]*> ?", "\n\n"),
-    (r"</?[A-Za-z!][^>]*(?:>|\z)", ""),
-]
-TIDY_STEPS = [
-    (r" *\n *", "\n"),
-    (r"\n\n+", "\n\n"),
-    (r"^[\n ]+|[\n ]+\z", ""),
-]
-WRAP_STEPS = [
-    (rf"([^\n]{{1,{TEXT_WIDTH}}})(?: +|\n|\z)", "$1\n"),
-    (r"\n+\z", ""),
-]
-
-# Private-use stand-ins that carry structure through the flat replacements.
-_HELD_NEWLINE, _HELD_SPACE = "", ""
-_QUOTE_OPEN, _QUOTE_CLOSE = "", ""
-
-
-def apply_steps(text: Column, steps: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in steps:
-        text = replace_all(text, pattern, replacement)
-    return text
+# Tags that start and end a block of their own.
+BLOCK_TAGS = (
+    "p div section article header footer main aside nav figure figcaption table thead tbody tr "
+    "ul ol dl dt dd form fieldset address details summary blockquote pre h1 h2 h3 h4 h5 h6 html body"
+).split()
+
+# Private-use stand-ins that carry structure through the flat text.
+_HELD_NEWLINE, _HELD_SPACE = "\ue000", "\ue001"
+_QUOTE_OPEN, _QUOTE_CLOSE = "\ue002", "\ue003"
+_LINK_OPEN, _LINK_TEXT, _LINK_CLOSE = "\ue004", "\ue005", "\ue006"
+_MARK = "\ue00f"
+
+
+def _text_tags() -> dict[str, str]:
+    printed = {name: "\n\n" for tag in BLOCK_TAGS for name in (tag, "/" + tag)}
+    printed |= {"br": "\n", "/br": "\n", "li": "\n* ", "td": " ", "/td": " ", "th": " ", "/th": " "}
+    return printed
+
+
+def _markdown_tags() -> dict[str, str]:
+    printed = _text_tags()
+    printed |= {f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)}
+    for mark, tags in {"**": ("b", "strong"), "*": ("i", "em"), "`": ("code",)}.items():
+        printed |= {name: mark for tag in tags for name in (tag, "/" + tag)}
+    printed |= {"hr": "\n\n* * *\n\n", "pre": "\n\n```\n", "/pre": "\n```\n\n", "/a": _LINK_CLOSE}
+    printed |= {"blockquote": "\n\n" + _QUOTE_OPEN, "/blockquote": _QUOTE_CLOSE + "\n\n"}
+    return printed
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map, folded into the plan as one literal."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    pattern = rf"(?is)^<[a-z0-9]+\b[^>]*?\s{name}{_ATTR}"
+    return F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
+
+
+def _link_open(tag: Column) -> Column:
+    has_target = tag.rlike(rf"(?is)^<a\b[^>]*?\shref{_ATTR}")
+    return F.when(
+        has_target, F.concat(F.lit(_LINK_OPEN), _attribute(tag, "href"), F.lit(_LINK_TEXT))
+    ).otherwise(F.lit(""))
+
+
+def _image(tag: Column) -> Column:
+    shown = F.concat(
+        F.lit("!["), _attribute(tag, "alt"), F.lit("]("), _attribute(tag, "src"), F.lit(")")
+    )
+    return F.when(tag.rlike(rf"(?is)^<img\b[^>]*?\ssrc{_ATTR}"), shown).otherwise(F.lit(""))
+
+
+def _print_tags(html: Column, printed: dict[str, str], markdown: bool) -> Column:
+    """Replace every tag by what it prints; unknown tags print nothing."""
+
+    def show(token: Column) -> Column:
+        def by_name(name: Column) -> Column:
+            plain = F.coalesce(_table(printed)[name], F.lit(""))
+            if not markdown:
+                return plain
+            return F.when(name == "a", _link_open(token)).when(name == "img", _image(token)).otherwise(plain)
+
+        is_tag = token.startswith("<") & (F.length(token) > 1)
+        return F.when(is_tag, bind(F.lower(F.regexp_extract(token, _TAG_NAME, 1)), by_name)).otherwise(token)
+
+    return F.array_join(
+        F.transform(F.regexp_extract_all(html, F.lit(_TOKENS), F.lit(0)), show), ""
+    )
 
 
 def _per_block(text: Column, tag: str, convert) -> Column:
     """Apply ``convert`` to each (non-nested) element ``tag``; texts without it pass unchanged."""
-    block = rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
-    mark = ""
+    block = rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"
 
     def split(v: Column) -> Column:
-        marked = F.regexp_replace(v, F.lit(f"({block})"), F.lit(f"{mark}$1{mark}"))
+        marked = F.regexp_replace(v, F.lit(block), F.lit(f"{_MARK}$1{_MARK}"))
         return F.array_join(
             F.transform(
-                F.split(marked, mark),
+                F.split(marked, _MARK),
                 lambda part: F.when(part.rlike(rf"(?i)^<{tag}\b"), convert(part)).otherwise(part),
             ),
             "",
@@ -197,10 +214,9 @@ def _hold_pre(text: Column) -> Column:
 
 def _number_lists(text: Column) -> Column:
     def number(part: Column) -> Column:
-        pieces = F.split(part, r"(?i) ?<li\b[^>]*> ?")
         return F.array_join(
             F.transform(
-                pieces,
+                F.split(part, r"(?i)<li\b[^>]*>"),
                 lambda piece, i: F.when(i == 0, piece).otherwise(
                     F.concat(F.lit("\n"), i.cast("string"), F.lit(". "), piece)
                 ),
@@ -211,9 +227,29 @@ def _number_lists(text: Column) -> Column:
     return _per_block(text, "ol", number)
 
 
-def _mark_quotes(text: Column) -> Column:
-    opened = replace_all(text, r"(?i) ?<blockquote\b[^>]*> ?", f"\n\n{_QUOTE_OPEN}")
-    return replace_all(opened, r"(?i) ?</blockquote ?> ?", f"{_QUOTE_CLOSE}\n\n")
+def _tidy(text: Column) -> Column:
+    text = replace_all(text, r"  +", " ")
+    text = replace_all(text, r" ?\n ?", "\n")
+    text = replace_all(text, r"\n\n\n+", "\n\n")
+    return replace_all(text, r"^[\n ]+|[\n ]+\z", "")
+
+
+def _wrap(text: Column) -> Column:
+    lines = replace_all(text, rf"([^\n]{{1,{TEXT_WIDTH}}})(?: +|\n|\z)", "$1\n")
+    return replace_all(lines, r"\n+\z", "")
+
+
+def _links(text: Column) -> Column:
+    """Marked links to ``[text](target)``; marks without a partner are dropped."""
+    whole = f"{_LINK_OPEN}([^{_LINK_TEXT}]*){_LINK_TEXT}([^{_LINK_OPEN}{_LINK_CLOSE}]*){_LINK_CLOSE}"
+    stray = f"{_LINK_OPEN}[^{_LINK_TEXT}]*{_LINK_TEXT}|{_LINK_CLOSE}"
+    return bind(
+        text,
+        lambda v: F.when(
+            v.contains(_LINK_CLOSE) | v.contains(_LINK_OPEN),
+            replace_all(replace_all(v, whole, "[$2]($1)"), stray, ""),
+        ).otherwise(v),
+    )
 
 
 def _prefix_quotes(text: Column) -> Column:
@@ -222,14 +258,12 @@ def _prefix_quotes(text: Column) -> Column:
         inner = replace_all(inner, r"^[\n ]+|[\n ]+\z", "")
         return F.concat(F.lit("> "), replace_all(inner, r"\n", "\n> "))
 
-    mark = ""
-
     def split(v: Column) -> Column:
-        quote = f"({_QUOTE_OPEN}[^{_QUOTE_OPEN}{_QUOTE_CLOSE}]*{_QUOTE_CLOSE})"
-        marked = F.regexp_replace(v, F.lit(quote), F.lit(f"{mark}$1{mark}"))
+        quote_block = f"({_QUOTE_OPEN}[^{_QUOTE_OPEN}{_QUOTE_CLOSE}]*{_QUOTE_CLOSE})"
+        marked = F.regexp_replace(v, F.lit(quote_block), F.lit(f"{_MARK}$1{_MARK}"))
         joined = F.array_join(
             F.transform(
-                F.split(marked, mark),
+                F.split(marked, _MARK),
                 lambda p: F.when(p.startswith(_QUOTE_OPEN) & p.endswith(_QUOTE_CLOSE), prefix(p)).otherwise(p),
             ),
             "",
@@ -239,24 +273,33 @@ def _prefix_quotes(text: Column) -> Column:
     return bind(text, lambda v: F.when(v.contains(_QUOTE_OPEN), split(v)).otherwise(v))
 
 
-def _release(text: Column) -> Column:
-    return F.translate(text, _HELD_NEWLINE + _HELD_SPACE, "\n ")
+def _flatten(html: Column, markdown: bool) -> Column:
+    """Tags printed, entities decoded, white space tidied; plain text only gets the last part."""
+
+    def convert(v: Column) -> Column:
+        squeezed = replace_all(replace_all(_hold_pre(v), _UNSEEN, ""), _SPACES, " ")
+        printed = _markdown_tags() if markdown else _text_tags()
+        shown = _print_tags(_number_lists(squeezed), printed, markdown)
+        return _tidy(unescape_entities(_links(shown) if markdown else shown))
+
+    def plain(v: Column) -> Column:
+        return F.trim(replace_all(v, _SPACES, " "))
+
+    return bind(
+        html, lambda v: F.when(v.contains("<") | v.contains("&"), convert(v)).otherwise(plain(v))
+    )
 
 
 def to_text(html: ColumnOrName) -> Column:
     """Readable plain text, wrapped at 80 characters."""
-    text = _number_lists(apply_steps(_hold_pre(col(html)), SQUEEZE_STEPS))
-    text = unescape_entities(apply_steps(text, LAYOUT_STEPS))
-    text = apply_steps(apply_steps(text, TIDY_STEPS), WRAP_STEPS)
-    return _release(text)
+    return F.translate(_wrap(_flatten(col(html), False)), _HELD_NEWLINE + _HELD_SPACE, "\n ")
 
 
 def to_markdown(html: ColumnOrName) -> Column:
     """Markdown with headings, emphasis, links, images, lists, quotes and code."""
-    text = _number_lists(apply_steps(_hold_pre(col(html)), SQUEEZE_STEPS))
-    text = _mark_quotes(apply_steps(text, MARKDOWN_STEPS))
-    text = unescape_entities(apply_steps(text, LAYOUT_STEPS))
-    return _release(_prefix_quotes(apply_steps(text, TIDY_STEPS)))
+    return F.translate(
+        _prefix_quotes(_flatten(col(html), True)), _HELD_NEWLINE + _HELD_SPACE, "\n "
+    )
 
 
 def content_source(content: ColumnOrName, summary: ColumnOrName) -> Column:

@@ -15,8 +15,13 @@ UNSAFE_PATH = _CONTROL_AND_WIDE + r'"#<>?`{}'
 UNSAFE_QUERY = _CONTROL_AND_WIDE + r'"#<>' + "'"
 UNSAFE_FRAGMENT = _CONTROL_AND_WIDE + r'"<>`'
 
-_GAP = "﷐"
+_GAP = "\ufdd0"
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?\z"
+_DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:[/?#]|\z)"
+# Characters that never need encoding, and a host that is already in normal form.
+_TAME_SEGMENT = r"[A-Za-z0-9\-._~!$&()*+,;=:@%]"
+_TAME = r"[A-Za-z0-9\-._~!$&()*+,;=:@%/?#]"
+_PLAIN_HOST = r"[a-z0-9\-]+(?:\.[a-z0-9\-]+)*"
 _BAD_HOST = r"[\x00-\x20\"#%/<>?@\\^`{|}]"
 
 
@@ -132,6 +137,7 @@ def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
     ``/`` and unsafe characters are percent-encoded. Non-ASCII host names are only lower-cased.
     """
     web = list(DEFAULT_PORTS)
+    base, href = col(base), col(href)
 
     def join(b: Column, h: Column) -> Column:
         base_scheme = F.lower(b[0])
@@ -178,9 +184,20 @@ def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
         )
         return F.when((own_scheme != "") & ~own_scheme.isin(web), opaque).when(scheme.isin(web), joined)
 
-    return bind(
-        _split(_clean(F.coalesce(col(base), F.lit("")))),
-        lambda b: bind(_split(_clean(col(href))), lambda h: join(b, h)),
+    general = bind(
+        _split(_clean(F.coalesce(base, F.lit("")))),
+        lambda b: bind(_split(_clean(href)), lambda h: join(b, h)),
+    )
+    # Most links are in normal form already or rooted on a plain host; those need no taking apart.
+    tame = ~href.rlike(_DOT_SEGMENT)
+    plain_host = rf"^https?://{_PLAIN_HOST}"
+    return (
+        F.when(href.rlike(rf"{plain_host}/{_TAME}*\z") & tame & is_absolute_url(base), href)
+        .when(
+            href.rlike(rf"^/(?:{_TAME_SEGMENT}{_TAME}*)?\z") & tame & base.rlike(rf"{plain_host}(?:[/?#]|\z)"),
+            F.concat(F.regexp_extract(base, plain_host, 0), href),
+        )
+        .otherwise(general)
     )
 
 

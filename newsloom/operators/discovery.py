@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom.functions.base import bind, is_blank, trim_space
 from newsloom.functions.text import unescape_entities
 from newsloom.functions.urls import classify_feed_link, is_absolute_url, resolve_url
+from newsloom.session import spread
 
 _LINK_TAG = r"""(?is)<link(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>"""
 
@@ -63,6 +64,6 @@ def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         return F.filter(rows, lambda c, i: F.array_position(urls, c["url"]) == i + 1)
 
     keep = [c for c in pages.columns if c not in (url, html)]
-    return pages.select(
+    return spread(pages).select(
         *keep, base.alias("site_url"), F.posexplode(bind(found, first_of_each)).alias("pos", "_f")
     ).select(*keep, "site_url", F.col("pos").cast("bigint").alias("pos"), "_f.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.base import bind
 from newsloom.functions.dates import effective_ts, parse_feed_date, rfc3339
@@ -29,6 +29,7 @@ from newsloom.operators import totals
 from newsloom.operators.items import ITEM_COLUMNS
 from newsloom.params import FeedParams
 from newsloom.schemas import ERROR
+from newsloom.session import scratch_path, spread
 from newsloom.sources.feeds import parse_documents
 
 ERROR_DDL = ERROR.simpleString()
@@ -172,18 +173,22 @@ def complete_records(records: DataFrame, params: FeedParams) -> DataFrame:
 class FeedRun:
     """One run over a set of feeds, all outputs derived from ``rows``.
 
-    Every output is a lazy DataFrame; using several of them re-reads ``rows``, so write it once
-    with :meth:`saved` (a table in the shared folder) when more than one is needed.
+    Every output is a lazy DataFrame; using several of them would parse the documents again, so
+    :meth:`saved` writes the rows once and continues from that table.
     """
 
     rows: DataFrame
     params: FeedParams
+    is_saved: bool = False
 
-    def saved(self, path: str) -> "FeedRun":
-        """Write the rows as a table and continue from it."""
-        spark: SparkSession = self.rows.sparkSession
+    def saved(self, path: str | None = None) -> "FeedRun":
+        """Write the rows as a table (by default in the shared folder) and continue from it."""
+        if self.is_saved:
+            return self
+        spark = self.rows.sparkSession
+        path = path or scratch_path(spark, "feed-rows")
         self.rows.write.mode("overwrite").parquet(path)
-        return FeedRun(spark.read.parquet(path), self.params)
+        return FeedRun(spark.read.schema(self.rows.schema).parquet(path), self.params, True)
 
     def items(self) -> DataFrame:
         """Item columns plus ``request_pos``, ``pos``, ``ts``, ``fell_back`` for ordering and warnings."""
@@ -192,8 +197,11 @@ class FeedRun:
             *ITEM_COLUMNS, "request_pos", "pos", "ts", "fell_back", *carried
         )
 
-    def feeds(self) -> DataFrame:
-        """One row per feed: its description, error, totals and the counts warnings need."""
+    def feeds(self, **extra: Column) -> DataFrame:
+        """One row per feed: its description, error, totals and the counts warnings need.
+
+        ``extra`` aggregates over the feed's rows come along in the same pass.
+        """
         is_item = F.col("pos") > 0
         head = F.struct("request_pos", "status", "from_cache", "title", "url", "updated", "error")
         return (
@@ -207,6 +215,7 @@ class FeedRun:
                 F.count_if(is_item & F.col("content_truncated")).alias("n_cut"),
                 F.count_if(is_item & F.col("fell_back")).alias("n_fell_back"),
                 F.count_if(is_item & F.col("ts").isNotNull()).alias("n_dated"),
+                *[aggregate.alias(name) for name, aggregate in extra.items()],
             )
             .select(
                 F.col("_head")["request_pos"].alias("request_pos"),
@@ -222,6 +231,7 @@ class FeedRun:
                 "n_cut",
                 "n_fell_back",
                 "n_dated",
+                *extra,
             )
         )
 
@@ -245,4 +255,4 @@ def fetch(documents: DataFrame, params: FeedParams = FeedParams()) -> FeedRun:
     The output of ``operators.snapshots.resolve_fetch`` fits as it is: its status, cache flag and
     error columns are carried through.
     """
-    return FeedRun(complete_records(feed_records(documents, params), params), params)
+    return FeedRun(complete_records(feed_records(spread(documents), params), params), params)

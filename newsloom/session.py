@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job assumes. UTC keeps RFC 3339 text and timestamps in step;
 # the adaptive settings let Spark split hot join keys and size shuffles from real statistics.
@@ -58,3 +58,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough tasks for CPU-heavy row work when the input comes in fewer pieces than there are cores.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle; a few big files
+    that cannot be split are dealt out evenly first.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -34,6 +34,7 @@ def tagged_records(run: FeedRun, fetched_at: Column) -> DataFrame:
     Warnings are records of their own, one per line like the errors, because a list of them inside
     the single summary line would grow with the number of feeds; the summary counts them.
     """
+    run = run.saved()
     items = contract_items(run.items(), "request_pos", "ts", "pos")
     shown = {c: F.col(c) for c in ITEM_COLUMNS}
     none_ts = F.lit(None).cast("timestamp").alias("ts")
@@ -102,6 +103,7 @@ def text_summary(run: FeedRun) -> DataFrame:
     """``(part, request_pos, row, ts, pos, line)``: a readable listing, ordered by its key columns."""
     bigint = lambda n: F.lit(n).cast("bigint")
     no_ts = F.lit(None).cast("timestamp").alias("ts")
+    run = run.saved()
     feeds = run.feeds()
     header = F.concat(
         F.coalesce("title", "feed_url"),

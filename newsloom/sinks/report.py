@@ -10,13 +10,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.errors import UsageError
 from newsloom.functions.base import bind
+from newsloom.functions.dates import rfc3339
 from newsloom.functions.jsontext import json_value, pretty_details, pretty_list, pretty_object
 from newsloom.functions.values import error_object
-from newsloom.operators.items import ITEM_COLUMNS, contract_items
-from newsloom.operators.totals import FALLBACK_TEXT, UNDATED_TEXT, truncation_struct
+from newsloom.operators.items import ITEM_COLUMNS
+from newsloom.operators.totals import (
+    FALLBACK_TEXT,
+    UNDATED_TEXT,
+    errors_of,
+    run_summary,
+    truncation_struct,
+    warnings_from_counts,
+)
 from newsloom.params import DEFAULT_ITEM_CAP, DEFAULT_TOKEN_BUDGET
 from newsloom.plans.fetch import FeedRun
 from newsloom.schemas import SCHEMA_VERSION
+from newsloom.session import scratch_path
 
 # Hint of a bounded report whose bodies were cut.
 TRUNCATION_HINT = "content was truncated; call get_item for the full body of a specific item"
@@ -25,7 +34,7 @@ _ITEM_INDENT, _FEED_INDENT = 8, 4
 
 
 def item_json(indent: int) -> Column:
-    """One item of the contract, laid out at ``indent`` (its columns as in ``contract_items``)."""
+    """One item of the contract, laid out at ``indent``, from the columns of ``FeedRun.rows``."""
 
     def strings(name: str) -> Column:
         return pretty_list(F.col(name), json_value, indent + 2)
@@ -34,6 +43,8 @@ def item_json(indent: int) -> Column:
         return pretty_object([(f, json_value(e[f])) for f in ("url", "mime", "length")], indent + 4)
 
     special = {
+        "published": json_value(rfc3339("published")),
+        "updated": json_value(rfc3339("updated")),
         "authors": strings("authors"),
         "categories": strings("categories"),
         "enclosures": pretty_list(F.col("enclosures"), enclosure, indent + 2),
@@ -127,13 +138,10 @@ def estimate_response_tokens(run: FeedRun, fetched_at: Column) -> DataFrame:
     Item texts are measured where they are and only their lengths are summed, so this holds for
     feeds of any size. The documents carry no truncation marker yet when they are measured.
     """
-    sizes = contract_items(run.items()).select("feed_url", F.length(item_json(_ITEM_INDENT)).alias("chars"))
-    per_feed = sizes.groupBy("feed_url").agg(
-        F.sum("chars").alias("_chars"), F.count("*").alias("_items")
-    )
-    feeds = run.feeds().join(per_feed, "feed_url", "left")
+    is_item = F.col("pos") > 0
+    feeds = run.feeds(_chars=F.sum(F.when(is_item, F.length(item_json(_ITEM_INDENT)))))
     frame = F.length(_one_feed_document(fetched_at, feed_json(F.lit("")), None))
-    n, chars = (F.coalesce(F.col(c), F.lit(0)) for c in ("_items", "_chars"))
+    n, chars = F.col("item_count"), F.coalesce("_chars", F.lit(0))
     return feeds.select(
         "feed_url",
         "item_count",
@@ -194,7 +202,7 @@ def check_budget(estimates: DataFrame, budget: int = DEFAULT_TOKEN_BUDGET) -> Da
 
 def item_documents(items: DataFrame, budget: int = DEFAULT_TOKEN_BUDGET) -> DataFrame:
     """``(feed_url, id, document, error, summary)`` per item; over budget gives the error instead."""
-    rendered = contract_items(items).select("feed_url", "id", "title", item_json(0).alias("document"))
+    rendered = items.select("feed_url", "id", "title", item_json(0).alias("document"))
     sized = rendered.withColumn("_tokens", tokens_of_chars(F.length("document")))
     checked = sized.withColumn("error", item_budget_error(F.col("_tokens"), F.col("feed_url"), budget))
     summary = F.format_string('Item %s: "%s".', "id", F.coalesce("title", F.lit("(untitled)")))
@@ -217,26 +225,23 @@ def _require_limit(run: FeedRun) -> None:
 
 
 def feeds_with_items(run: FeedRun) -> DataFrame:
-    """``run.feeds()`` plus ``items_text``, the rendered item list, newest first. Needs a limit."""
+    """``run.feeds()`` plus ``items_text``, the rendered item list, newest first. Needs a limit.
+
+    The limit bounds what is collected per feed; the lists come out of the same aggregation as the
+    totals.
+    """
     _require_limit(run)
-    order = F.struct(
+    item = F.struct(
         F.col("ts").isNull().alias("undated"),
         (-F.unix_micros("ts")).alias("age"),
         F.col("pos").alias("pos"),
+        item_json(_ITEM_INDENT).alias("text"),
     )
-    item = F.struct(F.col("_order"), item_json(_ITEM_INDENT).alias("text"))
-    rendered = contract_items(run.items(), order.alias("_order")).select(
-        "feed_url", item.alias("_item")
-    )
-    lists = rendered.groupBy("feed_url").agg(
-        pretty_list(
-            F.transform(F.array_sort(F.collect_list("_item")), lambda i: i["text"]),
-            lambda text: text,
-            _FEED_INDENT + 2,
-        ).alias("items_text")
-    )
-    joined = run.feeds().join(lists, "feed_url", "left")
-    return joined.withColumn("items_text", F.coalesce("items_text", F.lit("[]")))
+    feeds = run.feeds(_items=F.collect_list(F.when(F.col("pos") > 0, item)))
+    in_order = F.transform(F.array_sort("_items"), lambda i: i["text"])
+    return feeds.withColumn(
+        "items_text", pretty_list(in_order, lambda text: text, _FEED_INDENT + 2)
+    ).drop("_items")
 
 
 def feed_reports(run: FeedRun, fetched_at: Column) -> DataFrame:
@@ -299,13 +304,20 @@ def report_summary() -> Column:
     return F.when(F.col("error").isNotNull(), failed).otherwise(fetched)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Write a table that several outputs read, and continue from it."""
+    path = scratch_path(df.sparkSession, "report")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def report_lines(run: FeedRun, fetched_at: Column, applied_limit: int | None = None) -> DataFrame:
     """The whole run as one JSON document in ordered text fragments ``(section, request_pos, seq, text)``.
 
     Sorted by the first three columns and written as text, the fragments are the nested document:
     feeds in request order, items newest first. No row holds more than one (bounded) feed.
     """
-    feeds = feeds_with_items(run)
+    feeds = _stored(feeds_with_items(run))
     head_pos = feeds.agg(F.max("request_pos")).scalar()
 
     def comma(is_last: Column) -> Column:
@@ -319,7 +331,7 @@ def report_lines(run: FeedRun, fetched_at: Column, applied_limit: int | None = N
             text.alias("text"),
         )
 
-    summary = run.summary(fetched_at)
+    summary = run_summary(feeds, fetched_at)
     heads = F.concat(
         F.lit("{\n  \"schema_version\": "), json_value("schema_version"),
         F.lit(',\n  "fetched_at": '), json_value("fetched_at"),
@@ -330,13 +342,13 @@ def report_lines(run: FeedRun, fetched_at: Column, applied_limit: int | None = N
     feed_text = F.concat(
         F.lit("    "), feed_json(F.col("items_text")), comma(F.col("request_pos") == head_pos)
     )
-    errors = run.errors()
+    errors = errors_of(feeds)
     last_error = errors.agg(F.max("request_pos")).scalar()
     error = F.struct("feed_url", "code", "message", "details")
     error_text = F.concat(
         F.lit("    "), bind(error, lambda e: error_json(e, 4)), comma(F.col("request_pos") == last_error)
     )
-    warnings = run.warnings().withColumn("_seq", F.col("code").eqNullSafe("UNDATED_ITEMS").cast("bigint"))
+    warnings = warnings_from_counts(feeds.withColumnRenamed("item_count", "n")).withColumn("_seq", F.col("code").eqNullSafe("UNDATED_ITEMS").cast("bigint"))
     warn_order = F.struct("request_pos", "_seq")
     last_warning = warnings.agg(F.max(warn_order)).scalar()
     warning_text = F.concat(

@@ -7,11 +7,11 @@ stream batches harmless.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.operators.ranking import keep_first
 from newsloom.operators.snapshots import is_success, upsert_snapshots
-from newsloom.sources.tables import RESPONSES, SNAPSHOTS
+from newsloom.sources.tables import RESPONSES, SNAPSHOTS, column_names
 
 
 def committed(spark: SparkSession, path: str, prefix: str) -> list[int]:
@@ -33,7 +33,7 @@ def committed(spark: SparkSession, path: str, prefix: str) -> list[int]:
 class VersionedTable:
     """A small table rewritten as a whole for each version."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
@@ -52,7 +52,7 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(self._directory(usable[-1]))
 
     def write(self, df: DataFrame, version: int) -> None:
-        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._directory(version))
+        df.select(*column_names(self.schema)).write.mode("overwrite").parquet(self._directory(version))
 
 
 class SnapshotTable:
@@ -74,7 +74,7 @@ class SnapshotTable:
         code = F.col("http_status")
         kept = responses.where(is_success(code) | (code == 304)).withColumn("_w", is_success(code))
         newest = keep_first(kept, ["feed_url", "_w"], [F.col("fetched_at").desc_nulls_last()])
-        newest.select(*RESPONSES.fieldNames()).write.mode("overwrite").parquet(
+        newest.select(*column_names(RESPONSES)).write.mode("overwrite").parquet(
             self._directory("delta", version)
         )
 

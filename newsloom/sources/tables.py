@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions.base import is_blank, trim_space
 
-FEED_DOCUMENTS = T.StructType.fromDDL(
+# Schemas of the input tables, as DDL text so that they need no running session.
+FEED_DOCUMENTS = (
     "request_pos bigint, feed_url string, body string, content_type string, fetched_at timestamp"
 )
-RESPONSES = T.StructType.fromDDL(
+RESPONSES = (
     "feed_url string, http_status int, body string, etag string, last_modified string, "
     "content_type string, retry_after string, fetched_at timestamp"
 )
-SNAPSHOTS = T.StructType.fromDDL(
+SNAPSHOTS = (
     "feed_url string, etag string, last_modified string, fetched_at timestamp, "
     "content_type string, body string"
 )
-FETCH_LOG = T.StructType.fromDDL(
-    "authority string, ts timestamp, http_status int, retry_after string"
-)
-PAGES = T.StructType.fromDDL("url string, html string")
+FETCH_LOG = "authority string, ts timestamp, http_status int, retry_after string"
+PAGES = "url string, html string"
+
+
+def column_names(ddl: str) -> list[str]:
+    """Names of a flat DDL schema."""
+    return [field.split()[0] for field in ddl.split(",")]
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """One of the tables above from Parquet, ORC or JSON files, with a fixed schema (no inference)."""
     return spark.read.format(fmt).schema(schema).load(path)
 

@@ -12,15 +12,13 @@ from newsloom.operators.hosts import HOST_STATE, host_cooldowns
 from newsloom.params import FeedParams
 from newsloom.plans.fetch import FeedRun, fetch
 from newsloom.sinks.tables import SnapshotTable, VersionedTable
-from newsloom.sources.tables import FEED_DOCUMENTS, FETCH_LOG, RESPONSES
+from newsloom.sources.tables import FEED_DOCUMENTS, FETCH_LOG, RESPONSES, column_names
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Bounds what one micro-batch can hold, also when a stream catches up on a backlog.
 FILES_PER_BATCH = 64
 
-CHANGES = T.StructType.fromDDL(
-    "feed_url string, id string, fetched_at timestamp, change string, content_hash string"
-)
+CHANGES = "feed_url string, id string, fetched_at timestamp, change string, content_hash string"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -28,7 +26,7 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int) -> DataFrame:
+def _stream(spark: SparkSession, path: str, schema: str, files_per_batch: int) -> DataFrame:
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     )
@@ -67,7 +65,10 @@ def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
     The class is local so that it travels to the Python workers by value; they need not have this
     package installed.
     """
-    columns = CHANGES.fieldNames()
+    columns = column_names(CHANGES)
+    stored_type = T.StructType(
+        [T.StructField("content_hash", T.StringType()), T.StructField("fetched_at", T.TimestampType())]
+    )
 
     class LastHash(StatefulProcessor):
         """Remembers the last content hash of one item and reports when it appears or changes."""
@@ -76,8 +77,7 @@ def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
             self._ttl_ms = ttl_ms
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            schema = T.StructType.fromDDL("content_hash string, fetched_at timestamp")
-            self._seen = handle.getValueState("seen", schema, self._ttl_ms)
+            self._seen = handle.getValueState("seen", stored_type, self._ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             # Two narrow columns of one item's versions within one (size-bounded) micro-batch.
@@ -135,7 +135,7 @@ def stream_snapshots(responses: DataFrame, table: SnapshotTable):
 
 
 def host_state_table(spark: SparkSession, path: str) -> VersionedTable:
-    return VersionedTable(spark, path, T.StructType.fromDDL(HOST_STATE))
+    return VersionedTable(spark, path, HOST_STATE)
 
 
 def update_host_state(
