@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsloom.functions.base import per_session
 from newsloom.session import apply_runtime_conf, spread
 
 # 2024-01-01T00:00:00Z, the first day of the events table.
@@ -78,6 +79,7 @@ def _join(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+@per_session
 def _rss(end: Column | str = "</rss>") -> Column:
     def item(line: Column, i: Column) -> Column:
         n = text(i + 1)
@@ -102,6 +104,7 @@ def _rss(end: Column | str = "</rss>") -> Column:
     )
 
 
+@per_session
 def _atom() -> Column:
     def entry(line: Column, i: Column) -> Column:
         n = text(i + 1)
@@ -128,6 +131,7 @@ def _atom() -> Column:
     )
 
 
+@per_session
 def _json() -> Column:
     def item(line: Column, i: Column) -> Column:
         n = text(i + 1)

@@ -600,7 +600,9 @@ def _to_parquet(df: DataFrame, label: str) -> DataFrame:
 
 def stream_items(spark: SparkSession, sf: str) -> DataFrame:
     tables = _StreamTables(spark, documents=_documents_stream(spark, sf))
-    docs = fx.feed_documents(tables, sf, "mixed")
+    # One file is one task; deal its rows out before the parsing.
+    cores = spark.sparkContext.defaultParallelism
+    docs = fx.feed_documents(tables, sf, "mixed").repartition(cores)
     items = pipelines.stream_items(docs, FeedParams(content_format="html", limit=3, max_content_chars=120))
     landed = items.select("feed_url", "id", "guid", "content_hash")
     return _to_parquet(landed, "stream-items")

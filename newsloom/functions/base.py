@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 ColumnOrName = Column | str
@@ -16,6 +19,30 @@ def col(value: ColumnOrName) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_BUILT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def per_session(make: Callable) -> Callable:
+    """Build the columns of a function once per Spark session and argument list.
+
+    Columns are immutable descriptions, so they can be used in any number of plans. Building the
+    larger ones takes a second of calls into the JVM. Arguments that are columns are not cached.
+    """
+
+    @functools.wraps(make)
+    def cached(*args):
+        context = SparkContext._active_spark_context
+        if context is None or any(isinstance(a, Column) for a in args):
+            return make(*args)
+        built = _BUILT.setdefault(context, {})
+        key = (make.__module__, make.__qualname__, args)
+        if key not in built:
+            built[key] = make(*args)
+        return built[key]
+
+    return cached
+
+
 def bind(value: ColumnOrName, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``, which may mention it many times.
 

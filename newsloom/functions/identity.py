@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from newsloom.functions.base import ColumnOrName, col, none_if_empty
+from newsloom.functions.base import ColumnOrName, col, none_if_empty, per_session
 
 
 def _hex16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+@per_session
 def item_id(
     feed_url: ColumnOrName,
     link: ColumnOrName,

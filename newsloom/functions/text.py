@@ -19,6 +19,7 @@ from newsloom.functions.base import (
     bind,
     col,
     is_blank,
+    per_session,
     replace_all,
 )
 from newsloom.schemas import CONTENT_FORMATS
@@ -290,11 +291,13 @@ def _flatten(html: Column, markdown: bool) -> Column:
     )
 
 
+@per_session
 def to_text(html: ColumnOrName) -> Column:
     """Readable plain text, wrapped at 80 characters."""
     return F.translate(_wrap(_flatten(col(html), False)), _HELD_NEWLINE + _HELD_SPACE, "\n ")
 
 
+@per_session
 def to_markdown(html: ColumnOrName) -> Column:
     """Markdown with headings, emphasis, links, images, lists, quotes and code."""
     return F.translate(
@@ -302,6 +305,7 @@ def to_markdown(html: ColumnOrName) -> Column:
     )
 
 
+@per_session
 def content_source(content: ColumnOrName, summary: ColumnOrName) -> Column:
     """The entry's content unless blank, else its summary unless blank, else null."""
     return F.coalesce(
@@ -309,6 +313,7 @@ def content_source(content: ColumnOrName, summary: ColumnOrName) -> Column:
     )
 
 
+@per_session
 def extract_content(html: ColumnOrName, content_format: str) -> Column:
     """``struct(content, fell_back)`` of a body in the wanted format.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from newsloom.functions.base import ColumnOrName, bind, col, replace_all
+from newsloom.functions.base import ColumnOrName, bind, col, per_session, replace_all
 
 # Schemes with an authority and their default ports.
 DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
@@ -130,6 +130,7 @@ def is_absolute_url(url: ColumnOrName) -> Column:
     )
 
 
+@per_session
 def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
     """Absolute, normalised form of ``href`` against ``base``; null if that is impossible.
 
@@ -206,6 +207,7 @@ def resolve_or_keep(base: ColumnOrName, href: ColumnOrName) -> Column:
     return F.coalesce(resolve_url(base, href), col(href))
 
 
+@per_session
 def authority(url: ColumnOrName) -> Column:
     """``host:port`` with the scheme's default port filled in (0 if it has none).
 

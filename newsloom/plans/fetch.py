@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.functions.base import bind
+from newsloom.functions.base import bind, per_session
 from newsloom.functions.dates import effective_ts, parse_feed_date, rfc3339
 from newsloom.functions.identity import content_hash, id_source, item_id
 from newsloom.functions.text import (
@@ -35,8 +35,14 @@ from newsloom.sources.feeds import parse_documents
 ERROR_DDL = ERROR.simpleString()
 
 
-def select_entries(entries: Column, params: FeedParams) -> Column:
-    """Since filter and newest-N of one document's entries.
+@per_session
+def _feed_updated() -> Column:
+    return parse_feed_date(F.col("feed")["updated_text"])
+
+
+@per_session
+def select_entries(entries: str, params: FeedParams) -> Column:
+    """Since filter and newest-N of one document's entries (the name of their column).
 
     Gives ``array<struct<undated, age, pos, published, updated, entry>>``: newest first when a
     limit is set, else in document order.
@@ -61,7 +67,7 @@ def select_entries(entries: Column, params: FeedParams) -> Column:
 
         return bind(instants, build)
 
-    rows = F.transform(entries, dated)
+    rows = F.transform(F.col(entries), dated)
     if params.since is not None:
         newest_age = -F.unix_micros(F.lit(params.since))
         rows = F.filter(rows, lambda r: r["undated"] | (r["age"] <= newest_age))
@@ -98,11 +104,11 @@ def feed_records(documents: DataFrame, params: FeedParams) -> DataFrame:
                     F.lit(None).cast("bigint").alias("age"),
                     F.lit(0).cast("bigint").alias("pos"),
                     F.lit(None).cast("timestamp").alias("published"),
-                    parse_feed_date(F.col("feed")["updated_text"]).alias("updated"),
+                    _feed_updated().alias("updated"),
                     F.col("feed").alias("entry"),
                 )
             ),
-            select_entries(F.col("entries"), params),
+            select_entries("entries", params),
         ).alias("_rows"),
     )
     # The outer form keeps the optimizer from adding a size filter that would parse bodies twice.
@@ -133,19 +139,20 @@ def feed_records(documents: DataFrame, params: FeedParams) -> DataFrame:
 def complete_records(records: DataFrame, params: FeedParams) -> DataFrame:
     """Permalink, identity and body columns. Row 0 keeps the raw site link and gets no identity."""
     is_item = F.col("pos") > 0
-    linked = records.withColumn(
-        "url", F.when(is_item, resolve_or_keep("feed_url", "link")).otherwise(F.col("link"))
-    )
     if params.content_format == "none":
         source = F.lit(None).cast("string")
     else:
         source = content_source("body", "summary")
-    extracted = linked.withColumn(
-        "_x", F.when(is_item, extract_content(source, params.content_format))
+    linked = records.withColumns(
+        {
+            "url": F.when(is_item, resolve_or_keep("feed_url", "link")).otherwise(F.col("link")),
+            "_source": F.when(is_item, source),
+        }
     )
+    extracted = linked.withColumn("_x", extract_content("_source", params.content_format))
     whole = F.col("_x")["content"]
     sized = extracted.select(
-        *[c for c in extracted.columns if c not in ("_x", "link", "body")],
+        *[c for c in extracted.columns if c not in ("_x", "_source", "link", "body")],
         whole.alias("_whole"),
         content_hash(whole).alias("content_hash"),
         F.coalesce(F.col("_x")["fell_back"], F.lit(False)).alias("fell_back"),
@@ -153,6 +160,7 @@ def complete_records(records: DataFrame, params: FeedParams) -> DataFrame:
     cut = params.max_content_chars
     bodied = sized.withColumns(
         {
+            "_published": rfc3339("published"),
             "content": truncate_chars("_whole", cut),
             "content_truncated": is_over("_whole", cut),
         }
@@ -161,12 +169,10 @@ def complete_records(records: DataFrame, params: FeedParams) -> DataFrame:
         {
             "content_tokens_est": estimate_tokens("content"),
             "content_format": F.lit(params.content_format),
-            "id": F.when(
-                is_item, item_id("feed_url", "url", "guid", "title", rfc3339("published"))
-            ),
+            "id": F.when(is_item, item_id("feed_url", "url", "guid", "title", "_published")),
             "id_source": F.when(is_item, id_source("url", "guid")),
         }
-    )
+    ).drop("_published")
 
 
 @dataclass(frozen=True)

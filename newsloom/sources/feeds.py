@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.functions.base import bind
+from newsloom.functions.base import bind, per_session
 from newsloom.functions.values import collect_enclosures, names, none_if_empty, pick_link, terms
 
 _MEDIA = "array<struct<_url:string,_type:string,_fileSize:string>>"
@@ -195,25 +195,10 @@ def _feed_entry(title: Column, link: Column, updated: Column) -> Column:
     )
 
 
-def parse_documents(documents: DataFrame, body: str = "body") -> DataFrame:
-    """One row per document: its other columns plus ``parse_error``, ``feed`` and ``entries``.
-
-    ``feed`` describes the feed in the fields of an entry, ``entries`` are in document order. A
-    body that is not a readable feed gets an error text and no entries; it never fails the job.
-    """
-    keys = [c for c in documents.columns if c != body]
+@per_session
+def _document_columns() -> tuple[Column, Column, Column]:
+    """Error text, feed and entries of a document, from the columns ``_format``, ``_x``, ``_j``."""
     fmt = F.col("_format")
-    routed = documents.withColumn("_format", detect_format(F.col(body)))
-    xml = F.when(fmt == "xml-atom", plain_prefixes(F.col(body))).when(
-        fmt.startswith("xml"), F.col(body)
-    )
-    json = F.when(fmt == "json", F.col(body))
-    parsed = routed.select(
-        *keys,
-        "_format",
-        F.from_xml(xml, XML_SCHEMA, _PARSE_OPTIONS).alias("_x"),
-        F.from_json(json, JSON_SCHEMA, _PARSE_OPTIONS).alias("_j"),
-    )
     x, j = F.col("_x"), F.col("_j")
     is_rss = fmt.isin("xml-rss", "xml-rdf")
     error = (
@@ -252,6 +237,29 @@ def parse_documents(documents: DataFrame, body: str = "body") -> DataFrame:
         .when(fmt == "xml-atom", F.transform(x["entry"], _atom_entry))
         .when(fmt == "json", F.transform(j["items"], _json_entry))
     )
+    return error, head, entries
+
+
+def parse_documents(documents: DataFrame, body: str = "body") -> DataFrame:
+    """One row per document: its other columns plus ``parse_error``, ``feed`` and ``entries``.
+
+    ``feed`` describes the feed in the fields of an entry, ``entries`` are in document order. A
+    body that is not a readable feed gets an error text and no entries; it never fails the job.
+    """
+    keys = [c for c in documents.columns if c != body]
+    fmt = F.col("_format")
+    routed = documents.withColumn("_format", detect_format(F.col(body)))
+    xml = F.when(fmt == "xml-atom", plain_prefixes(F.col(body))).when(
+        fmt.startswith("xml"), F.col(body)
+    )
+    json = F.when(fmt == "json", F.col(body))
+    parsed = routed.select(
+        *keys,
+        "_format",
+        F.from_xml(xml, XML_SCHEMA, _PARSE_OPTIONS).alias("_x"),
+        F.from_json(json, JSON_SCHEMA, _PARSE_OPTIONS).alias("_j"),
+    )
+    error, head, entries = _document_columns()
     nothing = F.array().cast(f"array<{ENTRY}>")
     return parsed.select(
         *keys,

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from newsloom.operators.hosts import HOST_STATE, host_cooldowns
 from newsloom.params import FeedParams
 from newsloom.plans.fetch import FeedRun, fetch
 from newsloom.sinks.tables import SnapshotTable, VersionedTable
-from newsloom.sources.tables import FEED_DOCUMENTS, FETCH_LOG, RESPONSES, column_names
+from newsloom.sources.tables import FEED_DOCUMENTS, FETCH_LOG, RESPONSES
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Bounds what one micro-batch can hold, also when a stream catches up on a backlog.
 FILES_PER_BATCH = 64
 
-CHANGES = "feed_url string, id string, fetched_at timestamp, change string, content_hash string"
+# Times travel through the Python workers as microseconds, which no time zone can shift.
+CHANGES = "feed_url string, id string, at_us bigint, change string, content_hash string"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -65,9 +65,8 @@ def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
     The class is local so that it travels to the Python workers by value; they need not have this
     package installed.
     """
-    columns = column_names(CHANGES)
     stored_type = T.StructType(
-        [T.StructField("content_hash", T.StringType()), T.StructField("fetched_at", T.TimestampType())]
+        [T.StructField("content_hash", T.StringType()), T.StructField("at_us", T.LongType())]
     )
 
     class LastHash(StatefulProcessor):
@@ -79,33 +78,23 @@ def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._seen = handle.getValueState("seen", stored_type, self._ttl_ms)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            # Two narrow columns of one item's versions within one (size-bounded) micro-batch.
-            versions = pd.concat([r[["fetched_at", "content_hash"]] for r in rows])
-            versions = versions.sort_values(["fetched_at", "content_hash"], kind="stable", na_position="first")
-            known = self._seen.exists()
-            last_hash = None
-            if known:
-                last_hash, last_at = self._seen.get()
-                # Compare naive UTC on both sides; late versions are ignored.
-                bound = pd.Timestamp(last_at)
-                versions = versions[versions["fetched_at"] > bound]
-            if versions.empty:
-                return
-            hashes = versions["content_hash"].where(versions["content_hash"].notna(), "")
-            before = hashes.shift(1)
-            before.iloc[0] = (last_hash or "") if known else None
-            differs = hashes != before
-            out = versions[differs].copy()
-            out["change"] = "changed"
-            if not known:
-                out.iloc[0, out.columns.get_loc("change")] = "added"
-            newest = versions.iloc[-1]
-            stored = newest["content_hash"] if pd.notna(newest["content_hash"]) else None
-            self._seen.update((stored, newest["fetched_at"].to_pydatetime()))
-            if len(out):
-                out["feed_url"], out["id"] = key[0], key[1]
-                yield out[columns]
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            # Two small values per version of one item within one (size-bounded) micro-batch.
+            versions = sorted((r["at_us"], r["content_hash"] or "") for r in rows)
+            known = self._seen.get()
+            last_hash, last_at = known if known is not None else (None, None)
+            for at, digest in versions:
+                # Late versions are ignored.
+                if last_at is not None and at <= last_at:
+                    continue
+                if last_at is None or digest != (last_hash or ""):
+                    change = "added" if last_at is None else "changed"
+                    yield Row(
+                        feed_url=key[0], id=key[1], at_us=at, change=change, content_hash=digest or None
+                    )
+                last_hash, last_at = digest, at
+            if known is None or last_at != known[1]:
+                self._seen.update((last_hash or None, last_at))
 
         def close(self) -> None:
             pass
@@ -118,13 +107,18 @@ def stream_changes(items: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     Versions older than the last one seen are ignored. Call ``use_rocksdb`` first.
     """
-    narrow = items.select("feed_url", "id", "fetched_at", "content_hash")
-    return narrow.groupBy("feed_url", "id").transformWithStateInPandas(
+    narrow = items.select(
+        "feed_url", "id", F.unix_micros("fetched_at").alias("at_us"), "content_hash"
+    )
+    changes = narrow.groupBy("feed_url", "id").transformWithState(
         statefulProcessor=_last_hash(ttl_ms),
         outputStructType=CHANGES,
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms is not None else "None",
     )
+    return changes.select(
+        "feed_url", "id", F.timestamp_micros("at_us").alias("fetched_at"), "change", "content_hash"
+    )
 
 
 def stream_snapshots(responses: DataFrame, table: SnapshotTable):
