@@ -613,6 +613,9 @@ FROM t""",
         """SELECT site_url, CAST(-1 AS BIGINT) AS pos, site_url || '  ' || count(*) || ' feed(s)' AS line FROM found GROUP BY site_url
 UNION ALL SELECT site_url, pos, '  ' || url || '  [' || feed_type || ']  ' || coalesce(title, '-') FROM found""",
     ),
+    "discovery_ndjson": with_(
+        _LINK_ROWS, "SELECT site_url, CAST(pos AS BIGINT) AS pos, url, title FROM found"
+    ),
     "ndjson_items": with_(
         PICKED,
         "SELECT feed_url, id, title, guid, source AS author, CAST(length(raw) AS BIGINT) AS length FROM sized",

@@ -498,8 +498,7 @@ def discover(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discovery_report(spark: SparkSession, sf: str) -> DataFrame:
-    pages = fx.pages_with_links(spark, sf)
-    made = records.discovery_reports(discovery.discover_feeds(pages.select("url", "html")), pages)
+    made = records.discovery_reports(fx.pages_with_links(spark, sf))
     return made.select(
         "site_url",
         F.get_json_object("document", "$.feeds[0].url").alias("first_url"),
@@ -508,8 +507,13 @@ def discovery_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discovery_text(spark: SparkSession, sf: str) -> DataFrame:
-    pages = fx.pages_with_links(spark, sf)
-    return records.discovery_text(discovery.discover_feeds(pages.select("url", "html")), pages)
+    return records.discovery_text(fx.pages_with_links(spark, sf))
+
+
+def discovery_ndjson(spark: SparkSession, sf: str) -> DataFrame:
+    lines = records.discovery_ndjson(fx.pages_with_links(spark, sf))
+    field = lambda path: F.get_json_object("line", path)
+    return lines.select("site_url", "pos", field("$.url").alias("url"), field("$.title").alias("title"))
 
 
 def ndjson_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -708,6 +712,7 @@ QUERIES: dict[str, Query] = {
     "discover": discover,
     "discovery_report": discovery_report,
     "discovery_text": discovery_text,
+    "discovery_ndjson": discovery_ndjson,
     "ndjson_items": ndjson_items,
     "tagged_records": tagged_records,
     "text_summary": text_summary,

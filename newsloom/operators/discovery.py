@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.functions.base import bind, is_blank, trim_space
+from newsloom.functions.base import bind, is_blank, per_session, trim_space
 from newsloom.functions.text import unescape_entities
 from newsloom.functions.urls import classify_feed_link, is_absolute_url, resolve_url
 from newsloom.session import spread
@@ -49,11 +49,11 @@ def _candidate(tag: Column, base: Column) -> Column:
     return bind(read, build)
 
 
-def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(site_url, pos, url, feed_type, title)`` per feed link of each page.
+@per_session
+def feeds_of_page(url: str, html: str) -> Column:
+    """``array<struct<url, feed_type, title>>`` of a page, given the names of its columns.
 
-    Links are resolved against the page URL and repeated URLs keep their first occurrence. Pages
-    without feed links give no rows. Everything happens inside the row: no shuffle.
+    Links are resolved against the page URL and repeated URLs keep their first occurrence.
     """
     base = F.col(url)
     found = F.transform(page_links(F.col(html)), lambda tag: _candidate(tag, base))
@@ -63,7 +63,21 @@ def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         urls = F.transform(rows, lambda c: c["url"])
         return F.filter(rows, lambda c, i: F.array_position(urls, c["url"]) == i + 1)
 
+    return bind(found, first_of_each)
+
+
+def page_feeds(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """One row per page with its ``feeds`` array, empty where it advertises none. No shuffle."""
     keep = [c for c in pages.columns if c not in (url, html)]
     return spread(pages).select(
-        *keep, base.alias("site_url"), F.posexplode(bind(found, first_of_each)).alias("pos", "_f")
-    ).select(*keep, "site_url", F.col("pos").cast("bigint").alias("pos"), "_f.*")
+        *keep, F.col(url).alias("site_url"), feeds_of_page(url, html).alias("feeds")
+    )
+
+
+def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``(site_url, pos, url, feed_type, title)`` per feed link of each page, in page order."""
+    found = page_feeds(pages, url, html)
+    keep = [c for c in found.columns if c != "feeds"]
+    return found.select(*keep, F.posexplode("feeds").alias("pos", "_f")).select(
+        *keep, F.col("pos").cast("bigint").alias("pos"), "_f.*"
+    )

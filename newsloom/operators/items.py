@@ -47,6 +47,19 @@ def newest_n(
     return top_per_group(items, keys, newest_first(*ties), n, rank, spread_by=ties)
 
 
+def in_report_order(items: DataFrame) -> DataFrame:
+    """Sort for output: feeds in request order, items newest first.
+
+    A range-partitioned sort on the whole key, so a big feed spreads over many tasks.
+    """
+    return items.orderBy("request_pos", *newest_first("pos"))
+
+
+def in_request_order(feeds: DataFrame) -> DataFrame:
+    """Sort feeds or errors for output: whatever finished first, result i belongs to request i."""
+    return feeds.orderBy("request_pos")
+
+
 def item_positions(
     items: DataFrame, chunk_seconds: int = 86_400, chunk_rows: int = 100_000, name: str = "item_pos"
 ) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsloom.operators.discovery import discover_feeds, page_feeds
 from newsloom.operators.items import ITEM_COLUMNS, contract_items
-from newsloom.operators.totals import run_summary, truncation_struct
+from newsloom.operators.totals import truncation_struct
 from newsloom.plans.fetch import FeedRun
 from newsloom.schemas import SCHEMA_VERSION
 
@@ -152,58 +153,30 @@ def write_text_summary(run: FeedRun, path: str) -> None:
     text_summary(run).orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 
-def discovery_reports(discovered: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(site_url, document)``: the discovery document of each page, empty lists included.
-
-    Feed links of one page were found inside one row, so gathering them back is bounded by it.
-    """
-    feed = F.struct("pos", F.struct("url", "feed_type", "title").alias("feed"))
-    lists = discovered.groupBy("site_url").agg(
-        F.transform(F.array_sort(F.collect_list(feed)), lambda f: f["feed"]).alias("feeds")
-    )
-    sites = pages.select(F.col("url").alias("site_url")).distinct()
-    none = F.array().cast("array<struct<url:string,feed_type:string,title:string>>")
+def discovery_reports(pages: DataFrame) -> DataFrame:
+    """``(site_url, document)``: the discovery document of each page, empty lists included."""
     document = F.to_json(
-        F.struct(
-            F.lit(SCHEMA_VERSION).alias("schema_version"),
-            F.col("site_url").alias("site_url"),
-            F.coalesce("feeds", none).alias("feeds"),
-        ),
-        _KEEP_NULLS,
+        F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "site_url", "feeds"), _KEEP_NULLS
     )
-    return sites.join(lists, "site_url", "left").select("site_url", document.alias("document"))
+    return page_feeds(pages).select("site_url", document.alias("document"))
 
 
-def discovery_ndjson(discovered: DataFrame) -> DataFrame:
-    return discovered.select(
-        "site_url",
-        "pos",
-        F.to_json(F.struct("url", "feed_type", "title"), _KEEP_NULLS).alias("line"),
-    )
+def discovery_ndjson(pages: DataFrame) -> DataFrame:
+    """``(site_url, pos, line)``: one discovered feed per line."""
+    line = F.to_json(F.struct("url", "feed_type", "title"), _KEEP_NULLS)
+    return discover_feeds(pages).select("site_url", "pos", line.alias("line"))
 
 
-def discovery_text(discovered: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(site_url, pos, line)``: a header per site at position -1, then its feeds."""
-    sites = pages.select(F.col("url").alias("site_url")).distinct()
-    counts = sites.join(discovered.groupBy("site_url").count(), "site_url", "left")
-    header = F.format_string("%s  %d feed(s)", F.col("site_url"), F.coalesce("count", F.lit(0)))
-    line = F.format_string(
-        "  %s  [%s]  %s", F.col("url"), F.col("feed_type"), F.coalesce("title", F.lit("-"))
+def discovery_text(pages: DataFrame) -> DataFrame:
+    """``(site_url, pos, line)``: a header per page at position -1, then its feeds."""
+    header = F.format_string("%s  %d feed(s)", F.col("site_url"), F.size("feeds"))
+    lines = F.transform(
+        "feeds",
+        lambda f: F.format_string(
+            "  %s  [%s]  %s", f["url"], f["feed_type"], F.coalesce(f["title"], F.lit("-"))
+        ),
+    )
+    listed = page_feeds(pages).select(
+        "site_url", F.posexplode(F.concat(F.array(header), lines)).alias("_i", "line")
     )
-    return counts.select(
-        "site_url", F.lit(-1).cast("bigint").alias("pos"), header.alias("line")
-    ).unionByName(discovered.select("site_url", "pos", line.alias("line")))
-
-
-__all__ = [
-    "discovery_ndjson",
-    "discovery_reports",
-    "discovery_text",
-    "ndjson_lines",
-    "run_summary",
-    "tagged_records",
-    "text_summary",
-    "write_ndjson",
-    "write_tagged_records",
-    "write_text_summary",
-]
+    return listed.select("site_url", (F.col("_i") - 1).cast("bigint").alias("pos"), "line")

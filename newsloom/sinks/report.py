@@ -22,7 +22,7 @@ from newsloom.operators.totals import (
     truncation_struct,
     warnings_from_counts,
 )
-from newsloom.params import DEFAULT_ITEM_CAP, DEFAULT_TOKEN_BUDGET
+from newsloom.params import DEFAULT_TOKEN_BUDGET
 from newsloom.plans.fetch import FeedRun
 from newsloom.schemas import SCHEMA_VERSION
 from newsloom.session import scratch_path
@@ -378,15 +378,3 @@ def write_report(run: FeedRun, fetched_at: Column, path: str) -> None:
     lines = report_lines(run, fetched_at).orderBy("section", "request_pos", "seq")
     lines.select("text").write.mode("overwrite").text(path)
 
-
-__all__ = [
-    "DEFAULT_ITEM_CAP",
-    "bounded_reports",
-    "check_budget",
-    "estimate_response_tokens",
-    "feed_reports",
-    "item_documents",
-    "report_lines",
-    "report_summary",
-    "write_report",
-]
