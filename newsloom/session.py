@@ -64,9 +64,13 @@ def spread(df: DataFrame) -> DataFrame:
     """Enough tasks for CPU-heavy row work when the input comes in fewer pieces than there are cores.
 
     Large inputs have more splits than cores and pass unchanged, without a shuffle; a few big files
-    that cannot be split are dealt out evenly first.
+    that cannot be split are dealt out evenly first. Inputs that are shuffled anyway, cached, or
+    streaming pass unchanged too: asking those for their partitions would run them.
     """
     if df.isStreaming:
         return df
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if any(node in plan for node in ("Exchange", "InMemoryTableScan", "Subquery")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
