@@ -12,6 +12,7 @@ from newsloom.errors import UsageError
 from newsloom.functions.base import bind
 from newsloom.functions.dates import rfc3339
 from newsloom.functions.jsontext import json_value, pretty_details, pretty_list, pretty_object
+from newsloom.functions.text import CHARS_PER_TOKEN
 from newsloom.functions.values import error_object
 from newsloom.operators.items import ITEM_COLUMNS
 from newsloom.operators.totals import (
@@ -27,8 +28,20 @@ from newsloom.plans.fetch import FeedRun
 from newsloom.schemas import SCHEMA_VERSION
 from newsloom.session import scratch_path
 
-# Hint of a bounded report whose bodies were cut.
+# Wording of the bounded report.
 TRUNCATION_HINT = "content was truncated; call get_item for the full body of a specific item"
+TOO_LARGE_TEXT = (
+    "response too large: ~%d tokens exceeds the %d-token budget; "
+    "retry with limit=%d or max_content_chars=%d"
+)
+SUMMARY_FAILED = "fetch_feed: %s returned an error (%s); see structuredContent."
+SUMMARY_FETCHED = 'Fetched %d item(s) (~%d content tokens) from "%s".'
+SUMMARY_CUT = " Content truncated (see structuredContent.truncation)."
+SUMMARY_END = " Full data in structuredContent."
+SUMMARY_ITEM = 'Item %s: "%s".'
+UNTITLED = "(untitled)"
+# Share of the budget for bodies (tenths), safety factor, least body size.
+CONTENT_TENTHS, LIMIT_MARGIN, LEAST_CHARS = 7, 0.9, 200
 
 _ITEM_INDENT, _FEED_INDENT = 8, 4
 
@@ -149,22 +162,29 @@ def estimate_response_tokens(run: FeedRun, fetched_at: Column) -> DataFrame:
     )
 
 
+def _content_chars(budget: int) -> int:
+    """Characters of body text a token budget leaves room for."""
+    return budget * CONTENT_TENTHS // 10 * CHARS_PER_TOKEN
+
+
 def budget_error(tokens: Column, n_items: Column, feed_url: Column, budget: int) -> Column:
     """``RESPONSE_TOO_LARGE`` with retry suggestions when the estimate is over budget, else null."""
     n = F.greatest(n_items, F.lit(1))
     limit = F.greatest(
         F.lit(1),
-        F.floor(n.cast("double") * F.lit(float(budget)) / tokens.cast("double") * 0.9).cast("bigint"),
+        F.floor(
+            n.cast("double") * F.lit(float(budget)) / tokens.cast("double") * LIMIT_MARGIN
+        ).cast("bigint"),
     ).cast("bigint")
     chars = F.greatest(
-        F.lit(200), F.floor(F.lit(budget * 7 // 10 * 4) / n).cast("bigint")
+        F.lit(LEAST_CHARS), F.floor(F.lit(_content_chars(budget)) / n).cast("bigint")
     ).cast("bigint")
     return _too_large(tokens, feed_url, budget, limit, chars)
 
 
 def item_budget_error(tokens: Column, feed_url: Column, budget: int = DEFAULT_TOKEN_BUDGET) -> Column:
     """The same for a single item's document."""
-    chars = max(budget * 7 // 10 * 4, 200)
+    chars = max(_content_chars(budget), LEAST_CHARS)
     return _too_large(
         tokens, feed_url, budget, F.lit(1).cast("bigint"), F.lit(chars).cast("bigint")
     )
@@ -179,14 +199,7 @@ def _too_large(tokens: Column, feed_url: Column, budget: int, limit: Column, cha
             chars.alias("suggested_max_content_chars"),
         )
     )
-    message = F.format_string(
-        "response too large: ~%d tokens exceeds the %d-token budget; "
-        "retry with limit=%d or max_content_chars=%d",
-        tokens,
-        F.lit(budget),
-        limit,
-        chars,
-    )
+    message = F.format_string(TOO_LARGE_TEXT, tokens, F.lit(budget), limit, chars)
     return F.when(
         tokens > budget, error_object("RESPONSE_TOO_LARGE", message, feed_url, details)
     )
@@ -205,7 +218,7 @@ def item_documents(items: DataFrame, budget: int = DEFAULT_TOKEN_BUDGET) -> Data
     rendered = items.select("feed_url", "id", "title", item_json(0).alias("document"))
     sized = rendered.withColumn("_tokens", tokens_of_chars(F.length("document")))
     checked = sized.withColumn("error", item_budget_error(F.col("_tokens"), F.col("feed_url"), budget))
-    summary = F.format_string('Item %s: "%s".', "id", F.coalesce("title", F.lit("(untitled)")))
+    summary = F.format_string(SUMMARY_ITEM, "id", F.coalesce("title", F.lit(UNTITLED)))
     ok = F.col("error").isNull()
     return checked.select(
         "feed_url",
@@ -283,23 +296,16 @@ def bounded_reports(
 
 def report_summary() -> Column:
     """One line about a feed row of ``FeedRun.feeds``."""
-    failed = F.format_string(
-        "fetch_feed: %s returned an error (%s); see structuredContent.",
-        F.col("feed_url"),
-        F.col("error")["code"],
-    )
+    failed = F.format_string(SUMMARY_FAILED, F.col("feed_url"), F.col("error")["code"])
     fetched = F.concat(
         F.format_string(
-            'Fetched %d item(s) (~%d content tokens) from "%s".',
+            SUMMARY_FETCHED,
             F.col("item_count"),
             F.col("content_tokens_est_total"),
             F.coalesce("title", "feed_url"),
         ),
-        F.when(
-            F.col("n_cut") > 0,
-            F.lit(" Content truncated (see structuredContent.truncation)."),
-        ).otherwise(F.lit("")),
-        F.lit(" Full data in structuredContent."),
+        F.when(F.col("n_cut") > 0, F.lit(SUMMARY_CUT)).otherwise(F.lit("")),
+        F.lit(SUMMARY_END),
     )
     return F.when(F.col("error").isNotNull(), failed).otherwise(fetched)
 
