@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; their Python functions import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="spark-"))
+    package = Path(__file__).resolve().parents[1].name
+    context.addPyFile(shutil.make_archive(f"{folder}/{package}", "zip", root, package))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the supplied tables."""
+    """One of the supplied tables; also makes sure that the executors have this package."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

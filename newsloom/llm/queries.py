@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, secrets, urlfilter, warc
+from newsloom.llm import bagminhash, bpe, secrets, toxicity, urlfilter, warc
 from newsloom.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -28,6 +36,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_url_filter": op3_url_filter,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op10_bpe": op10_bpe,
 }
