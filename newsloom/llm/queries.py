@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bagminhash, bpe, secrets, toxicity, urlfilter, warc
+from newsloom.llm import bagminhash, bpe, mixing, secrets, toxicity, urlfilter, warc
 from newsloom.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_slot", "mix_at")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
+    "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
 }
 

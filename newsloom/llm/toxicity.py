@@ -43,7 +43,7 @@ LOOKS = {
 SEPARATORS = frozenset(".-_*~'’`,;:/\\=^")
 LOOK_COST, DROP_COST = 1.0, 0.3
 
-SAMPLE = 8000
+SAMPLE = 12_000
 MIN_TOXIC, MIN_RATIO, MAX_FEATURES = 4, 30.0, 2000
 LONGEST_WORD = 40  # longer tokens are not words and stay as they are
 
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(costs, {f: float(w) for f, w in zip(names, weights, strict=True)}, bias)
 
 
-def logistic(cases: list[tuple[tuple[int, ...], int, float]], size: int, penalty: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
+def logistic(cases: list[tuple[tuple[int, ...], int, float]], size: int, penalty: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression with weights of at least zero (all features speak for toxic texts), by accelerated gradient."""
     x = np.zeros((len(cases), size + 1), np.float32)
     x[:, size] = 1.0
