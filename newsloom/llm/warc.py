@@ -155,28 +155,27 @@ def _manifest_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null: a response). Narrow sums only; payloads are not shuffled."""
-    rows = pages.select(
+def _payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest."""
+    return pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    first = (
-        rows.where(F.octet_length("payload") >= MIN_REVISIT)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") > 1) & F.col("first").isNotNull())
-        .drop("n")
-    )
-    return rows, first
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of every page whose payload an earlier page has. Only ids and digests are shuffled."""
+    large = _payloads(pages).where(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "digest")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull()).drop("n")
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("refers_to"))
+    return large.join(first, "digest").where(later).select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archive(pages: DataFrame, folder: str, pages_per_shard: int = PAGES_PER_SHARD, roll_bytes: int = ROLL_BYTES) -> str:
     """Write the archive of ``pages`` below ``folder`` (new); returns ``folder``. The manifest is in ``manifest``."""
     spark = pages.sparkSession
-    rows, first = with_revisits(pages)
-    bounds = rows.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.count("page_id").alias("n")).first()
+    bounds = pages.select(F.col("page_id").cast("bigint").alias("page_id")).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.count("page_id").alias("n")).first()
     low, span = bounds["lo"] or 0, 1
     shards = 1
     if bounds["n"]:
@@ -187,26 +186,31 @@ def write_archive(pages: DataFrame, folder: str, pages_per_shard: int = PAGES_PE
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
 
-    # The digest table is met before the shuffle by page ranges; it is small beside the pages (one row per payload
-    # that occurs more than once), and Spark broadcasts it only below its own size limit.
+    # A revisit's mark travels beside the pages and sorts just before them, so payloads are shuffled once.
+    marks = revisits(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
     marked = (
-        rows.join(first, "digest", "left")
-        .withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")))
+        _payloads(pages)
+        .withColumn("refers_to", F.lit(None).cast("bigint"))
+        .union(marks)
         .select(shard.alias("shard"), "page_id", "url", "payload", "digest", "refers_to")
         .repartition(tasks, "shard")
-        .sortWithinPartitions("shard", "page_id", "digest", "url")
+        .sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url")
     )
 
     def run(batches):
-        current = None
+        current, mark = None, None
         for batch in small_batches(batches, 256):
             for row in batch.to_pylist():
+                if row["refers_to"] is not None:
+                    mark = (row["page_id"], row["digest"], row["refers_to"])
+                    continue
+                refers_to = mark[2] if mark and mark[:2] == (row["page_id"], row["digest"]) else None
                 if current is None or current.shard != row["shard"]:
                     if current is not None:
                         current.close()
                         yield _manifest_batch(current.rows)
                     current = _Roller(folder, row["shard"], roll_bytes)
-                current.add(record_bytes(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"]))
+                current.add(record_bytes(row["page_id"], row["url"], row["payload"], row["digest"], refers_to))
         if current is not None:
             current.close()
             yield _manifest_batch(current.rows)
