@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bagminhash, bpe, mixing, secrets, toxicity, urlfilter, warc
+from newsloom.llm import bagminhash, bpe, fingerprints, mixing, secrets, toxicity, urlfilter, warc
 from newsloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_url_filter": op3_url_filter,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
