@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bagminhash, bpe, fingerprints, mixing, secrets, toxicity, urlfilter, warc
+from newsloom.llm import ann, bagminhash, bpe, fingerprints, mixing, secrets, toxicity, urlfilter, warc
 from newsloom.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_slot", "mix_at")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
 }
 
