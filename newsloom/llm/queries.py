@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import ann, bagminhash, bpe, fingerprints, mixing, secrets, toxicity, urlfilter, warc
+from newsloom.llm import ann, bagminhash, bpe, extraction, fingerprints, mixing, secrets, toxicity, urlfilter, warc
 from newsloom.llm.common import table
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extraction": op1_extraction,
     "op2_secrets": op2_secrets,
     "op3_url_filter": op3_url_filter,
     "op4_near_duplicates": op4_near_duplicates,
