@@ -105,11 +105,15 @@ def schedules(weighted: DataFrame, block_rows: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_rows: int = BLOCK_ROWS, exponent: float = EXPONENT, round_blocks: int = ROUND) -> DataFrame:
-    """``docs`` with mix_slot (the slot of the row's block in the interleaved corpus) and mix_at (its place in the
+    """``docs`` with (new) mix_slot (the slot of the row's block in the interleaved corpus) and mix_at (its place in the
     block): ordering by both gives the mixture. Targets come from ``weights``, or from the sizes by ``exponent``."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("bigint")
-    rows = docs.withColumns({"__hash": order, "__text": text}).withColumn("__range", F.substring("__hash", 1, 2))
+    docs = docs.drop("mix_slot", "mix_at")
+    # The whole row travels as one column, so names of its columns cannot meet those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", order.alias("__hash"), text.alias("__text")).withColumn(
+        "__range", F.substring("__hash", 1, 2)
+    )
     counts = rows.groupBy("source", "__range").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("source").agg(F.sum("n").alias("rows"))
     weighted = tempered_weights(sizes, exponent, round_blocks) if weights is None else given_weights(sizes, weights)
@@ -143,7 +147,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_rows: i
         F.col("source").eqNullSafe(F.col("__source2")) & (F.col("__kind") == F.col("__kind2")) & (F.col("__j") == F.col("__j2")),
     )
     slot = F.col("base") + (F.col("__round") - F.col("__kind")) * F.col("slots") + F.col("__slot")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], slot.alias("mix_slot"), "mix_at")
+    return joined.select("__row.*", slot.alias("mix_slot"), "mix_at")
 
 
 def in_mix_order(mixed: DataFrame) -> DataFrame:

@@ -147,10 +147,12 @@ def unigram_counts(parts: DataFrame) -> dict[str, float]:
 class Bayes:
     """Multinomial naive Bayes over prefixed words; scores are log odds of unwanted."""
 
-    def __init__(self, counts: dict[str, tuple[float, float]], prior: float, smooth: float = 0.5):
+    def __init__(self, counts: dict[str, tuple[float, float]], prior: float, seeds: tuple[str, ...] = (), smooth: float = 0.5):
         bad, good = (sum(c[i] for c in counts.values()) + smooth * (len(counts) + 1) for i in (0, 1))
         self.prior = prior
-        self.weight = {w: math.log((b + smooth) / bad) - math.log((g + smooth) / good) for w, (b, g) in counts.items()}
+        weight = lambda b, g: math.log((b + smooth) / bad) - math.log((g + smooth) / good)
+        # A seed word that no url has weighs as one that a single unwanted url has.
+        self.weight = {w: weight(1.0, 0.0) for w in seeds} | {w: weight(b, g) for w, (b, g) in counts.items()}
 
     def score(self, host: list[str], path: list[str]) -> float:
         words = [f"h:{w}" for w in host] + [f"p:{w}" for w in path]
@@ -185,12 +187,7 @@ def train(parts: DataFrame, counts: dict[str, float]) -> Bayes:
         .limit(MAX_WORDS)
     )
     table = {r["word"]: (r["bad"], r["good"]) for r in sums.collect()}
-    # Unseen seed words still count as unwanted.
-    for word in UNWANTED:
-        for prefix in "hp":
-            bad, good = table.get(f"{prefix}:{word}", (0.0, 0.0))
-            table[f"{prefix}:{word}"] = (bad + 1.0, good)
-    return Bayes(table, prior=math.log(0.1 / 0.9))
+    return Bayes(table, math.log(0.1 / 0.9), tuple(f"{part}:{word}" for word in UNWANTED for part in "hp"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
