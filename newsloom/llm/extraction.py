@@ -10,7 +10,7 @@
    lists of blocks that repeat the same few texts on most pages (menus).
 4. Slots. What is left are slots. Slots below menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element
    or by class, id and role words) are dropped, template text is dropped, and the rest is the main text: the slots below ``article`` or ``main``
-   elements if the page has text there, else the host's slots that hold most of its varying text, else all.
+   elements if the page has text there, else the host's slots whose text varies from page to page, else all.
 
 A template needs ``MIN_PAGES`` pages; below that only step 4's element rules apply, so copies of one article on a small host are not
 mistaken for a template. If dropping template text would leave nothing, it stays.
@@ -177,7 +177,7 @@ def read_page(source: str | None) -> Page:
 
 @dataclass
 class Template:
-    """What a host's pages have in common: hashes of (path, text) that are template, and its main slots."""
+    """What a host's pages have in common: hashes of (path, text) that are template, and the slots whose text varies."""
 
     fixed: frozenset[int] = frozenset()
     slots: frozenset[int] = frozenset()
@@ -246,12 +246,8 @@ def templates(pages: DataFrame) -> DataFrame:
     # Skeleton text: the class of the page itself.
     fixed = texts.where((F.col("vector") == F.col("page_vector")) & (F.col("pages") == F.col("all_pages"))).select("host", "text")
     # Slots: how varied the text at a path is. A path where most pages repeat few texts is a list of the template.
-    slots = texts.groupBy("host", "path").agg(
-        F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("kinds"), F.sum("chars").alias("chars"), F.max("all_pages").alias("all_pages")
-    )
-    common = slots.where((F.col("blocks") >= F.col("all_pages") * RARE) & (F.col("kinds") * 2 > F.col("blocks")))
-    largest = common.groupBy("host").agg(F.max("chars").alias("most"))
-    main = common.join(largest, "host").where(F.col("chars") * 4 >= F.col("most")).select("host", "path")
+    slots = texts.groupBy("host", "path").agg(F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("kinds"), F.max("all_pages").alias("all_pages"))
+    main = slots.where((F.col("blocks") >= F.col("all_pages") * RARE) & (F.col("kinds") * 2 > F.col("blocks"))).select("host", "path")
     gathered = fixed.select("host", F.col("text").alias("f"), F.lit(None).cast("bigint").alias("s")).union(
         main.select("host", F.lit(None).cast("bigint").alias("f"), F.col("path").alias("s"))
     )

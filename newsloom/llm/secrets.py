@@ -186,12 +186,15 @@ def character_counts(df: DataFrame, text: str = "text") -> list[int]:
 
 
 def unevenness(counts: list[int]) -> list[float]:
-    """Per alphabet: the chi-squared distance of the corpus's characters from uniform, per character."""
+    """Per alphabet: the chi-squared distance of the corpus's characters from uniform, per character. It is kept within
+    what text has (at most that of 26 letters, unevenly used, in the alphabet), so that a corpus with a flood of one
+    character does not make every word look random."""
     out = []
     for alphabet in ALPHABETS:
         own = np.array([counts[ord(c)] for c in alphabet], dtype=float)
         share = own / own.sum() if own.sum() else np.full(len(own), 1 / len(own))
-        out.append(float(max(len(own) * (share * share).sum() - 1, 0.05)))
+        most = max(1.0, len(own) / 26 * 1.7 - 1)
+        out.append(float(min(max(len(own) * (share * share).sum() - 1, 0.05), most)))
     return out
 
 
