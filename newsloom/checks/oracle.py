@@ -59,7 +59,7 @@ lines AS (
   FROM raw_lines)
 """
 
-# The newest three entries of each readable feed, bodies cut at 120 characters.
+# Entries of each readable feed, newest first, bodies cut at 2,000 characters.
 PICKED = (
     LINES
     + """,
@@ -68,11 +68,11 @@ bodies AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC NULLS LAST, pos) AS rn FROM bodies),
 picked AS (
-  SELECT *, nullif(body, '') AS whole, coalesce(length(body) > 120, false) AS cut,
-    CASE WHEN body = '' THEN NULL WHEN length(body) > 120 THEN substr(body, 1, 120) || ' …[truncated]' ELSE body END AS content,
+  SELECT *, nullif(body, '') AS whole, coalesce(length(body) > 2000, false) AS cut,
+    CASE WHEN body = '' THEN NULL WHEN length(body) > 2000 THEN substr(body, 1, 2000) || ' …[truncated]' ELSE body END AS content,
     substr(sha256(feed_url || chr(10) || url), 1, 16) AS id,
     CASE WHEN body = '' THEN NULL ELSE substr(sha256(body), 1, 16) END AS content_hash
-  FROM ranked WHERE rn <= 3),
+  FROM ranked),
 sized AS (
   SELECT *, CAST(coalesce((length(content) + 3) // 4, 0) AS BIGINT) AS tokens,
     CASE WHEN lang = 'en' THEN ts END AS rss_published,
@@ -144,6 +144,9 @@ state AS (
   FROM streaks GROUP BY authority)
 """
 
+# What a report holds: the newest 25 of them.
+REPORTED = PICKED.replace("FROM ranked)", "FROM ranked WHERE rn <= 25)")
+
 
 def with_(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select.strip()}"
@@ -269,7 +272,7 @@ def _json_len(expression: str) -> str:
     return f"coalesce(length(CAST(to_json({expression}) AS VARCHAR)), 4)"
 
 
-def _response_tokens() -> str:
+def _response_tokens(picked: str) -> str:
     def fields(indent: int, names: list[str]) -> int:
         """Characters of the keys of an object: line break, indent, quotes, colon, blank; commas."""
         return sum(1 + indent + len(n) + 2 + 2 for n in names) + len(names) - 1
@@ -298,7 +301,7 @@ def _response_tokens() -> str:
     undated = "'all ' || item_count || ' returned item(s) lack a published/updated date; newest-first ordering falls back to the feed''s original order'"
     warning_len = f"({warning_fixed} + {_json_len('feed_url')} + {_json_len(quote('UNDATED_ITEMS'))} + {_json_len(undated)} + 2 + 5 + 3)"
     return with_(
-        PICKED
+        picked
         + f""",
 texts AS (
   SELECT doc_id, {item_fixed} + {_json_len('id')} + 6 + {_json_len('feed_url')} + {_json_len('title')} + {_json_len('url')}
@@ -555,7 +558,7 @@ SELECT CAST(25 AS BIGINT) AS applied_limit, count(*) AS items_content_truncated,
   CAST(NULL AS BIGINT) AS estimated_tokens,
   'content was truncated; call get_item for the full body of a specific item' AS suggestion
 FROM documents WHERE length(text) > 1000""",
-    "response_tokens": _response_tokens(),
+    "response_tokens": _response_tokens(PICKED),
     "budget": with_(
         ITEMS
         + """,
@@ -636,7 +639,7 @@ UNION ALL SELECT 1, 0, 0, 0, n || ' error(s):' FROM (SELECT count(error_code) AS
 UNION ALL SELECT 1, request_pos, 1, 0, '  ! [FEED_PARSE_FAILED] ' || feed_url || ': feed parse error: malformed XML' FROM feeds WHERE error_code IS NOT NULL""",
     ),
     "report_lines": with_(
-        PICKED
+        REPORTED
         + """,
 firsts AS (SELECT doc_id AS request_pos, guid AS first_guid FROM sized WHERE rn = 1),
 n AS (SELECT unnest([0, 2, 4, 6]) AS section)""",
@@ -657,14 +660,35 @@ SELECT feed_url, id, CASE WHEN b IS NULL THEN 'added' ELSE 'changed' END AS chan
   strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS fetched_at FROM p WHERE b IS NULL OR b <> h""",
 }
 ORACLE["bounded_report"] = with_(
-    _response_tokens().removeprefix("WITH ").rsplit("SELECT feed_url, item_count, CAST((chars", 1)[0]
+    _response_tokens(REPORTED).removeprefix("WITH ").rsplit("SELECT feed_url, item_count, CAST((chars", 1)[0]
     + ", firsts AS (SELECT feed_url, id AS first_id FROM sized WHERE rn = 1)",
-    f"""SELECT f.request_pos, f.feed_url, (d.chars + 3) // 4 > 900 AS over,
-  CASE WHEN (d.chars + 3) // 4 <= 900 THEN f.item_count END AS total_items,
-  CASE WHEN (d.chars + 3) // 4 <= 900 THEN first_id END AS first_id,
-  CASE WHEN (d.chars + 3) // 4 <= 900 AND n_cut > 0 THEN n_cut END AS n_cut,
-  CASE WHEN (d.chars + 3) // 4 <= 900 THEN {_SUMMARY.replace('feed_url', 'f.feed_url').replace('item_count', 'f.item_count')} END AS summary
+    f"""SELECT f.request_pos, f.feed_url, (d.chars + 3) // 4 > 10000 AS over,
+  CASE WHEN (d.chars + 3) // 4 <= 10000 THEN f.item_count END AS total_items,
+  CASE WHEN (d.chars + 3) // 4 <= 10000 THEN first_id END AS first_id,
+  CASE WHEN (d.chars + 3) // 4 <= 10000 AND n_cut > 0 THEN n_cut END AS n_cut,
+  CASE WHEN (d.chars + 3) // 4 <= 10000 THEN {_SUMMARY.replace('feed_url', 'f.feed_url').replace('item_count', 'f.item_count')} END AS summary
 FROM feeds f JOIN docs d ON d.feed_url = f.feed_url LEFT JOIN firsts ON firsts.feed_url = f.feed_url""",
 )
 ORACLE["stream_snapshots"] = ORACLE["snapshots_upsert"]
 ORACLE["stream_host_state"] = ORACLE["host_cooldowns"]
+
+ORACLE["stream_changes_ties"] = """
+WITH v AS (
+  SELECT 'u' || user_id AS feed_url, event_type AS id, event_id, date_trunc('day', ts) AS ts,
+    CASE WHEN value > 5 THEN 'long' ELSE 'short' END AS h FROM events),
+p AS (SELECT *, lag(h) OVER (PARTITION BY feed_url, id ORDER BY ts, event_id) AS b FROM v)
+SELECT feed_url, id, CASE WHEN b IS NULL THEN 'added' ELSE 'changed' END AS change, h AS content_hash,
+  strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM p WHERE b IS NULL OR b <> h GROUP BY ALL"""
+_HOURLY = STREAKS.replace(
+    "'.example.com:443' AS authority, ts,", "'.example.com:443' AS authority, date_trunc('hour', ts) AS ts,"
+).replace("arg_max(streak, ts)", "arg_max(streak, (ts, event_id))")
+ORACLE["stream_host_state_ties"] = with_(
+    _HOURLY,
+    f"""SELECT authority, streak, {MICROS.format('next_allowed')} AS next_allowed,
+  {MICROS.format('warm_until')} AS warm_until FROM state""",
+)
+ORACLE["fetch_captures"] = with_(
+    PICKED,
+    """SELECT request_pos + n AS request_pos, feed_url, item_count, error_code
+FROM feeds, (SELECT unnest([0, 1000000000]) AS n)""",
+)

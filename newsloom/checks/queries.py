@@ -224,7 +224,7 @@ def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf: str, **params) -> FeedRun:
-    settings = {"content_format": "html", "limit": 3, "max_content_chars": 120, **params}
+    settings = {"content_format": "html", "limit": None, "max_content_chars": 2000, **params}
     return fetch(fx.feed_documents(spark, sf, "mixed"), FeedParams(**settings))
 
 
@@ -248,6 +248,14 @@ def fetch_feeds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fetch_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Two captures of every feed in one run: a row for each request, none merged."""
+    docs = fx.feed_documents(spark, sf, "mixed")
+    again = docs.withColumn("request_pos", F.col("request_pos") + 1_000_000_000)
+    run = fetch(docs.unionByName(again), FeedParams(content_format="none"))
+    return run.feeds().select("request_pos", "feed_url", "item_count", F.col("error")["code"].alias("error_code"))
+
+
 def fetch_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, sf).summary(F.lit(STAMP))
 
@@ -394,7 +402,7 @@ def budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bounded_report(spark: SparkSession, sf: str) -> DataFrame:
-    made = report.bounded_reports(_run(spark, sf), F.lit(STAMP), budget=900)
+    made = report.bounded_reports(_run(spark, sf, limit=DEFAULT_ITEM_CAP), F.lit(STAMP))
     doc = lambda path: F.get_json_object("document", path)
     return made.select(
         "request_pos",
@@ -544,7 +552,7 @@ def text_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = report.report_lines(_run(spark, sf), F.lit(STAMP))
+    lines = report.report_lines(_run(spark, sf, limit=DEFAULT_ITEM_CAP), F.lit(STAMP))
     feed = F.regexp_replace("text", r",\z", "")
     is_feed = F.col("section") == 1
     return lines.select(
@@ -607,7 +615,7 @@ def stream_items(spark: SparkSession, sf: str) -> DataFrame:
     # One file is one task; deal its rows out before the parsing.
     cores = spark.sparkContext.defaultParallelism
     docs = fx.feed_documents(tables, sf, "mixed").repartition(cores)
-    items = pipelines.stream_items(docs, FeedParams(content_format="html", limit=3, max_content_chars=120))
+    items = pipelines.stream_items(docs, FeedParams(content_format="html", max_content_chars=2000))
     landed = items.select("feed_url", "id", "guid", "content_hash")
     return _to_parquet(landed, "stream-items")
 
@@ -619,6 +627,7 @@ def _stream_versions(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed_url"),
         F.col("event_type").alias("id"),
         F.col("ts").alias("fetched_at"),
+        "event_id",
         F.when(F.col("value") > 5, F.lit("long")).otherwise(F.lit("short")).alias("content_hash"),
     )
 
@@ -630,12 +639,59 @@ def stream_unseen(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     pipelines.use_rocksdb(spark)
-    changes = pipelines.stream_changes(_stream_versions(spark, sf))
+    changes = pipelines.stream_changes(_stream_versions(spark, sf), tie="event_id")
     landed = _to_parquet(changes, "stream-changes")
     us = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return landed.select("feed_url", "id", "change", "content_hash", F.date_format("fetched_at", us).alias("fetched_at"))
 
 
+SLICES, SLICE_FILES = 4, 4
+
+
+def _events_in_slices(spark: SparkSession, sf: str, unit: str) -> DataFrame:
+    """The events as a stream of ``SLICES`` micro-batches, with times cut to whole units.
+
+    Slices are ranges of event_id, so many rows before and after a cut have equal times.
+    """
+    events = fx.table(spark, sf, "events").withColumn("ts", F.date_trunc(unit, "ts"))
+    ids = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    path = scratch_path(spark, "event-slices")
+    low, step = ids["low"] or 0, ((ids["high"] or 0) - (ids["low"] or 0)) // SLICES + 1
+    for k in range(SLICES):
+        part = events.where(F.col("event_id").between(low + k * step, low + (k + 1) * step - 1))
+        part.repartition(SLICE_FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(path)
+
+
+def stream_changes_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes over several batches whose rows share times across the cuts."""
+    pipelines.use_rocksdb(spark)
+    tables = _StreamTables(spark, events=_events_in_slices(spark, sf, "day"))
+    versions = fx.table(tables, sf, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed_url"),
+        F.col("event_type").alias("id"),
+        F.col("ts").alias("fetched_at"),
+        "event_id",
+        F.when(F.col("value") > 5, F.lit("long")).otherwise(F.lit("short")).alias("content_hash"),
+    )
+    landed = _to_parquet(pipelines.stream_changes(versions, tie="event_id"), "stream-changes-ties")
+    return landed.groupBy("feed_url", "id", "change", "content_hash", F.date_format("fetched_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+def stream_host_state_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Host state over several batches whose rows share times across the cuts."""
+    tables = _StreamTables(spark, events=_events_in_slices(spark, sf, "hour"))
+    out = scratch_path(spark, "stream-hosts-ties")
+    table = pipelines.host_state_table(spark, f"{out}/table")
+    pipelines.run_available(
+        pipelines.stream_host_state(fx.event_log(tables, sf), table, ("ts", "event_id")), f"{out}/checkpoint"
+    )
+    us = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return table.read().select(
+        "authority", "streak", F.date_format("next_allowed", us).alias("next_allowed"), F.date_format("warm_until", us).alias("warm_until")
+    )
+
+
 def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     tables = _StreamTables(spark, events=_events_stream(spark, sf))
     out = scratch_path(spark, "stream-snapshots")
@@ -721,6 +777,9 @@ QUERIES: dict[str, Query] = {
     "stream_items": stream_items,
     "stream_unseen": stream_unseen,
     "stream_changes": stream_changes,
+    "stream_changes_ties": stream_changes_ties,
     "stream_snapshots": stream_snapshots,
     "stream_host_state": stream_host_state,
+    "stream_host_state_ties": stream_host_state_ties,
+    "fetch_captures": fetch_captures,
 }

@@ -26,7 +26,7 @@ ZONE_OFFSETS = {
 
 _MAIL_DATE = (
     r"(?i)^(?:[a-z]+\.?,?\s+|[a-z]+,)?(\d{1,2})\s+([a-z]{3})[a-z]*\.?\s+(\d{4}|\d{2})\s+"
-    r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{2}:?\d{2}|[a-z]+)?.*\z"
+    r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{2}:?\d{2}|[a-z]+)?\s*(?:\([^()]*\))?\s*\z"
 )
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}(?:[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[Zz]|[+-]\d{2}:?\d{2})?)?\z"
 
@@ -34,6 +34,9 @@ _ISO_DATE = r"^\d{4}-\d{2}-\d{2}(?:[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[Z
 def parse_mail_date(text: ColumnOrName) -> Column:
     """RFC 822 / 2822 date text to a timestamp; null if it is not one.
 
+    A missing zone means UTC; an unknown one, or text after the date other than a comment in
+    parentheses, gives null.
+
     The text is rewritten to ISO form and cast, which needs no per-row exception handling.
     """
 
@@ -45,7 +48,8 @@ def parse_mail_date(text: ColumnOrName) -> Column:
         zones = F.create_map(*[F.lit(x) for kv in ZONE_OFFSETS.items() for x in kv])
         offset = (
             F.when(p[6].rlike("^[+-]"), replace_all(p[6], r"^([+-]\d{2}):?(\d{2})", "$1:$2"))
-            .otherwise(F.coalesce(zones[F.upper(p[6])], F.lit("+00:00")))
+            .when(p[6] == "", F.lit("+00:00"))
+            .otherwise(zones[F.upper(p[6])])
         )
         iso = F.concat(
             year,

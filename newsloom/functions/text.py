@@ -8,7 +8,7 @@ and rules. Everything else is removed, its text kept.
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -63,7 +63,7 @@ def strip_tags(html: ColumnOrName) -> Column:
 
 
 # One constant, so that the plan holds a single folded map instead of hundreds of literals.
-_NAMED_ENTITIES = json.dumps({**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'"})
+_NAMED_ENTITIES = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
 
 
 def _code_point(number: Column) -> Column:
@@ -77,9 +77,8 @@ def unescape_entities(text: ColumnOrName) -> Column:
     named = F.from_json(F.lit(_NAMED_ENTITIES), "map<string,string>")
 
     def decode(token: Column) -> Column:
-        body = F.substring(token, 2, 40)
-        name = F.rtrim(body, F.lit(";"))
-        digits = F.regexp_extract(token, r"^&#(?:[xX])?([0-9A-Fa-f]+);\z", 1)
+        name = F.rtrim(F.substring(token, 2, 2147483647), F.lit(";"))
+        digits = F.regexp_extract(token, r"^&#[xX]?0*([0-9A-Fa-f]+);\z", 1)
         is_hex = token.rlike("^&#[xX]")
         number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits)
         return (
@@ -89,7 +88,7 @@ def unescape_entities(text: ColumnOrName) -> Column:
             .otherwise(token)
         )
 
-    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|&|[^&]+"
+    pattern = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|&|[^&]+"
     return bind(
         text,
         lambda v: F.when(

@@ -27,7 +27,10 @@ MAX_WAIT = 60
 # Doubling stops mattering long before this exponent.
 MAX_DOUBLINGS = 30
 
-HOST_STATE = "authority string, streak bigint, next_allowed timestamp, warm_until timestamp, last_ts timestamp"
+HOST_STATE = (
+    "authority string, streak bigint, next_allowed timestamp, warm_until timestamp, last_ts timestamp, "
+    "last_id bigint"
+)
 
 _FIRST_CHUNK = -(1 << 62)
 
@@ -39,7 +42,7 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 
 def throttle_streaks(
     log: DataFrame,
-    order: Sequence[str] = ("ts",),
+    order: Sequence[str] = ("ts", "log_id"),
     chunk_seconds: int = 3600,
     state: DataFrame | None = None,
 ) -> DataFrame:
@@ -101,13 +104,14 @@ def cooldown_seconds(streak: Column, retry_after: Column) -> Column:
 
 def host_cooldowns(
     log: DataFrame,
-    order: Sequence[str] = ("ts",),
+    order: Sequence[str] = ("ts", "log_id"),
     chunk_seconds: int = 3600,
     state: DataFrame | None = None,
 ) -> DataFrame:
     """``HOST_STATE`` after the log: streak, earliest next request, end of the warm period.
 
-    Both times only move forward, so they are plain maxima over the throttled rows.
+    Both times only move forward, so they are plain maxima over the throttled rows. ``order`` is the
+    time and a whole-number id that tells rows of equal times apart.
     """
     rows = throttle_streaks(log, order, chunk_seconds, state)
     wait = cooldown_seconds(F.col("streak"), retry_after_seconds("retry_after", "ts"))
@@ -116,7 +120,14 @@ def host_cooldowns(
         F.max_by("streak", F.struct(*order)).alias("streak"),
         F.max(F.when(hit, plus_seconds(F.col("ts"), wait))).alias("next_allowed"),
         F.max(F.when(hit, plus_seconds(F.col("ts"), F.lit(WARM_WINDOW)))).alias("warm_until"),
-        F.max("ts").alias("last_ts"),
+        F.max(F.struct(*order)).alias("_last"),
+    ).select(
+        "authority",
+        "streak",
+        "next_allowed",
+        "warm_until",
+        F.col("_last")[order[0]].alias("last_ts"),
+        F.col("_last")[order[1]].cast("bigint").alias("last_id"),
     )
     if state is None:
         return after
@@ -124,11 +135,12 @@ def host_cooldowns(
         after.unionByName(state)
         .groupBy("authority")
         .agg(
-            F.max_by("streak", "last_ts").alias("streak"),
+            F.max_by("streak", F.struct("last_ts", "last_id")).alias("streak"),
             F.max("next_allowed").alias("next_allowed"),
             F.max("warm_until").alias("warm_until"),
-            F.max("last_ts").alias("last_ts"),
+            F.max(F.struct("last_ts", "last_id")).alias("_last"),
         )
+        .select("authority", "streak", "next_allowed", "warm_until", "_last.last_ts", "_last.last_id")
     )
 
 

@@ -204,16 +204,16 @@ class FeedRun:
         )
 
     def feeds(self, **extra: Column) -> DataFrame:
-        """One row per feed: its description, error, totals and the counts warnings need.
+        """One row per request: its description, error, totals and the counts warnings need.
 
         ``extra`` aggregates over the feed's rows come along in the same pass.
         """
         is_item = F.col("pos") > 0
-        head = F.struct("request_pos", "status", "from_cache", "title", "url", "updated", "error")
+        head = F.struct("status", "from_cache", "title", "url", "updated", "error")
         return (
-            self.rows.groupBy("feed_url")
+            self.rows.groupBy("request_pos", "feed_url")
             .agg(
-                F.max_by(F.when(~is_item, head), F.when(~is_item, F.col("request_pos"))).alias("_head"),
+                F.max_by(F.when(~is_item, head), F.when(~is_item, F.lit(1))).alias("_head"),
                 F.count_if(is_item).alias("item_count"),
                 F.coalesce(F.sum(F.when(is_item, F.col("content_tokens_est"))), F.lit(0))
                 .cast("bigint")
@@ -224,7 +224,7 @@ class FeedRun:
                 *[aggregate.alias(name) for name, aggregate in extra.items()],
             )
             .select(
-                F.col("_head")["request_pos"].alias("request_pos"),
+                "request_pos",
                 "feed_url",
                 F.col("_head")["status"].alias("status"),
                 F.col("_head")["from_cache"].alias("from_cache"),
@@ -256,7 +256,8 @@ class FeedRun:
 
 
 def fetch(documents: DataFrame, params: FeedParams = FeedParams()) -> FeedRun:
-    """Run over ``documents(request_pos, feed_url, body, …)``, one document per feed.
+    """Run over ``documents(request_pos, feed_url, body, …)``, one document per request; several
+    requests of one feed are kept apart.
 
     The output of ``operators.snapshots.resolve_fetch`` fits as it is: its status, cache flag and
     error columns are carried through.

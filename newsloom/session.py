@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.errors import UsageError
+
 # Runtime settings every job assumes. UTC keeps RFC 3339 text and timestamps in step;
 # the adaptive settings let Spark split hot join keys and size shuffles from real statistics.
 RUNTIME_CONF = {
@@ -42,14 +44,16 @@ def build_session(app_name: str = "newsloom", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (single-machine
-    runs such as the tests) a local temporary folder is chosen, once per session.
+    A cluster names it in ``spark.checkpoint.dir``; without it a job there fails at once. Only in
+    single-process runs (such as the tests) a local temporary folder stands in, once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise UsageError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

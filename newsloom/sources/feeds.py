@@ -7,6 +7,8 @@ to be and the table is scanned once.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.base import bind, per_session
@@ -76,6 +78,44 @@ def plain_prefixes(body: Column) -> Column:
     )
 
 
+# The namespaces of the fields above, and the prefixes the parse schema knows them by.
+_NAMESPACES = (
+    ("http://purl.org/rss/1.0/modules/content/", "content"),
+    ("http://purl.org/dc/elements/1.1/", "dc"),
+    ("http://search.yahoo.com/mrss/", "media"),
+)
+
+
+def _usual_prefix(text: Column, root: Column, uri: str, usual: str) -> Column:
+    declared = rf"""xmlns:([A-Za-z_][A-Za-z0-9_.\-]*)\s*=\s*["']{re.escape(uri.rstrip("/"))}/?["']"""
+    return bind(
+        F.regexp_extract(root, declared, 1),
+        lambda p: F.when(
+            (F.length(p) > 0) & (p != usual),
+            F.regexp_replace(
+                text,
+                F.concat(F.lit("(</?)"), F.replace(p, F.lit("."), F.lit("\\.")), F.lit(":")),
+                F.lit(f"$1{usual}:"),
+            ),
+        ).otherwise(text),
+    )
+
+
+def known_prefixes(body: Column) -> Column:
+    """Rename prefixes that the root element binds to the namespaces above to the usual ones.
+
+    Only bodies whose root binds another prefix are rewritten.
+    """
+
+    def build(root: Column) -> Column:
+        out = body
+        for uri, usual in _NAMESPACES:
+            out = _usual_prefix(out, root, uri, usual)
+        return out
+
+    return bind(F.regexp_extract(body, _ROOT + "[^>]*>", 0), build)
+
+
 def _links(raw: Column) -> Column:
     return F.transform(
         raw,
@@ -249,9 +289,8 @@ def parse_documents(documents: DataFrame, body: str = "body") -> DataFrame:
     keys = [c for c in documents.columns if c != body]
     fmt = F.col("_format")
     routed = documents.withColumn("_format", detect_format(F.col(body)))
-    xml = F.when(fmt == "xml-atom", plain_prefixes(F.col(body))).when(
-        fmt.startswith("xml"), F.col(body)
-    )
+    renamed = known_prefixes(F.col(body))
+    xml = F.when(fmt == "xml-atom", plain_prefixes(renamed)).when(fmt.startswith("xml"), renamed)
     json = F.when(fmt == "json", F.col(body))
     parsed = routed.select(
         *keys,

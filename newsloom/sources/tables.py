@@ -18,7 +18,7 @@ SNAPSHOTS = (
     "feed_url string, etag string, last_modified string, fetched_at timestamp, "
     "content_type string, body string"
 )
-FETCH_LOG = "authority string, ts timestamp, http_status int, retry_after string"
+FETCH_LOG = "log_id bigint, authority string, ts timestamp, http_status int, retry_after string"
 PAGES = "url string, html string"
 
 

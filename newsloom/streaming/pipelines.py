@@ -66,7 +66,11 @@ def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
     package installed.
     """
     stored_type = T.StructType(
-        [T.StructField("content_hash", T.StringType()), T.StructField("at_us", T.LongType())]
+        [
+            T.StructField("content_hash", T.StringType()),
+            T.StructField("at_us", T.LongType()),
+            T.StructField("tie", T.LongType()),
+        ]
     )
 
     class LastHash(StatefulProcessor):
@@ -80,21 +84,25 @@ def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             # Two small values per version of one item within one (size-bounded) micro-batch.
-            versions = sorted((r["at_us"], r["content_hash"] or "") for r in rows)
+            versions = sorted((r["at_us"], r["tie"], r["content_hash"] or "") for r in rows)
             known = self._seen.get()
-            last_hash, last_at = known if known is not None else (None, None)
-            for at, digest in versions:
-                # Late versions are ignored.
-                if last_at is not None and at <= last_at:
+            last = None if known is None else (known[1], known[2], known[0] or "")
+            for version in versions:
+                # Only versions that come before the last one are late; equal times are told apart
+                # by the tie-breaker, and equal tie-breakers by the hash.
+                if last is not None and version <= last:
                     continue
-                if last_at is None or digest != (last_hash or ""):
-                    change = "added" if last_at is None else "changed"
+                if last is None or version[2] != last[2]:
                     yield Row(
-                        feed_url=key[0], id=key[1], at_us=at, change=change, content_hash=digest or None
+                        feed_url=key[0],
+                        id=key[1],
+                        at_us=version[0],
+                        change="added" if last is None else "changed",
+                        content_hash=version[2] or None,
                     )
-                last_hash, last_at = digest, at
-            if known is None or last_at != known[1]:
-                self._seen.update((last_hash or None, last_at))
+                last = version
+            if last is not None and (known is None or last != (known[1], known[2], known[0] or "")):
+                self._seen.update((last[2] or None, last[0], last[1]))
 
         def close(self) -> None:
             pass
@@ -102,13 +110,18 @@ def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
     return LastHash(ttl_ms)
 
 
-def stream_changes(items: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_changes(items: DataFrame, ttl_ms: int | None = None, tie: str = "request_pos") -> DataFrame:
     """``added`` / ``changed`` per (feed, id) by content hash, in the order of ``fetched_at``.
 
-    Versions older than the last one seen are ignored. Call ``use_rocksdb`` first.
+    Versions of one time follow each other by the whole number ``tie``. Versions before the last one
+    seen are ignored. Call ``use_rocksdb`` first.
     """
     narrow = items.select(
-        "feed_url", "id", F.unix_micros("fetched_at").alias("at_us"), "content_hash"
+        "feed_url",
+        "id",
+        F.unix_micros("fetched_at").alias("at_us"),
+        F.col(tie).cast("bigint").alias("tie"),
+        "content_hash",
     )
     changes = narrow.groupBy("feed_url", "id").transformWithState(
         statefulProcessor=_last_hash(ttl_ms),
@@ -133,25 +146,27 @@ def host_state_table(spark: SparkSession, path: str) -> VersionedTable:
 
 
 def update_host_state(
-    table: VersionedTable, log: DataFrame, version: int, order: tuple[str, ...] = ("ts",)
+    table: VersionedTable, log: DataFrame, version: int, order: tuple[str, str] = ("ts", "log_id")
 ) -> None:
     """Fold a batch of fetch-log rows into the host table with the batch operator.
 
-    Rows older than a host's last seen time are ignored. One host may hold most of a batch: the
+    Rows that come before a host's last seen row, by time and then id, are ignored. One host may hold most of a batch: the
     operator works in time chunks and never puts a host in one task.
     """
     state = table.read(before=version)
     if state is not None:
-        seen = state.select("authority", F.col("last_ts").alias("_seen"))
+        seen = state.select("authority", F.struct("last_ts", "last_id").alias("_seen"))
+        at, tie = order
+        later = F.struct(F.col(at).alias("last_ts"), F.col(tie).cast("bigint").alias("last_id")) > F.col("_seen")
         log = (
             log.join(seen, "authority", "left")
-            .where(F.col("_seen").isNull() | (F.col("ts") > F.col("_seen")))
+            .where(F.col("_seen").isNull() | later)
             .drop("_seen")
         )
     table.write(host_cooldowns(log, order, state=state), version)
 
 
-def stream_host_state(log: DataFrame, table: VersionedTable, order: tuple[str, ...] = ("ts",)):
+def stream_host_state(log: DataFrame, table: VersionedTable, order: tuple[str, str] = ("ts", "log_id")):
     """A stream writer that keeps cooldown, warm period and streak per host."""
     return log.writeStream.foreachBatch(
         lambda batch, batch_id: update_host_state(table, batch, batch_id + 1, order)

@@ -289,3 +289,18 @@ def test_bodies_are_parsed_once_and_nothing_is_shuffled(documents):
     plan = run.items().where(F.col("title") == "Newer")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_xml(") == 1
     assert plan.count("Exchange") == 1  # the repartition of this test
+
+
+def test_namespaces_by_address_and_requests_apart(spark):
+    body = (
+        '<rss xmlns:c="http://purl.org/rss/1.0/modules/content/" xmlns:m=\'http://search.yahoo.com/mrss/\' '
+        'xmlns:d="http://purl.org/dc/elements/1.1/"><channel><title>t</title><item><title>a</title><link>/x</link>'
+        "<pubDate>01 Jan 2026 08:00:00 CEST</pubDate><d:creator>Bo</d:creator><description>short</description>"
+        '<c:encoded>long &amp;#00000038; &amp;lbrace;</c:encoded><m:content url="http://v/1.mp4" type="video/mp4" fileSize="5"/></item></channel></rss>'
+    )
+    schema = "request_pos bigint, feed_url string, body string, content_type string, fetched_at timestamp"
+    docs = spark.createDataFrame([(k, "https://a/f", body, "x", None) for k in range(2)], schema)
+    run = fetch(docs, FeedParams(content_format="text"))
+    items = run.items().collect()
+    assert [(i.content, i.authors, i.enclosures[0].length, i.published) for i in items] == [("long & {", ["Bo"], 5, None)] * 2
+    assert sorted((f.request_pos, f.item_count) for f in run.feeds().collect()) == [(0, 1), (1, 1)]

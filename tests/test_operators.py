@@ -187,7 +187,7 @@ def test_default_cooldowns_double_up_to_the_maximum(evaluate):
 
 def test_polite_schedule(spark):
     state = spark.createDataFrame(
-        [("warm:443", 1, at(10), at(13), T0), ("far:443", 1, at(61), at(200), T0), ("long:443", 1, at(0), at(120), T0)],
+        [("warm:443", 1, at(10), at(13), T0, 0), ("far:443", 1, at(61), at(200), T0, 0), ("long:443", 1, at(0), at(120), T0, 0)],
         hosts.HOST_STATE,
     )
     pending = [(i, f"https://{h}/{i}") for i, h in enumerate(["warm", "cold", "warm", "far", "warm", "cold", "warm", "warm", "warm", "long", "long"])]

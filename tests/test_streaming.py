@@ -86,8 +86,8 @@ def test_host_state_stream(spark, tmp_path):
     rng = random.Random(4)
     rows, t = [], 0
     for _ in range(200):
-        t += rng.randrange(1, 900)
-        rows.append((rng.choice(["hot:443", "hot:443", "b:80"]), T0 + timedelta(seconds=t), rng.choice([200, 429, 429, 403]), rng.choice([None, "7"])))
+        t += rng.randrange(0, 3) * 300  # equal times are common, also across batches
+        rows.append((len(rows), rng.choice(["hot:443", "hot:443", "b:80"]), T0 + timedelta(seconds=t), rng.choice([200, 429, 429, 403]), rng.choice([None, "7"])))
     path = land(spark, rows, tables.FETCH_LOG, str(tmp_path / "in"))
     table = pipelines.host_state_table(spark, str(tmp_path / "table"))
     stream = pipelines.fetch_log_stream(spark, path, files_per_batch=1)
@@ -99,3 +99,14 @@ def test_host_state_stream(spark, tmp_path):
     last = table.versions()[-1]
     pipelines.update_host_state(table, spark.createDataFrame(rows[150:], tables.FETCH_LOG), last)
     assert sorted(table.read().collect()) == sorted(want.collect())
+
+
+def test_changes_of_equal_times_across_batches(spark, tmp_path):
+    schema = "request_pos bigint, feed_url string, id string, fetched_at timestamp, content_hash string"
+    rows = [(0, "f", "i", T0, "a"), (1, "f", "i", T0 + timedelta(seconds=1), "c"), (2, "f", "i", T0 + timedelta(seconds=1), "b"), (3, "f", "i", T0 + timedelta(seconds=1), "a")]
+    for parts in (4, 2, 1):
+        path = land(spark, rows, schema, str(tmp_path / f"in{parts}"), parts=parts)
+        pipelines.use_rocksdb(spark)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        got = finish(pipelines.stream_changes(stream), str(tmp_path / f"out{parts}"))
+        assert sorted((r.change, r.content_hash) for r in got.collect()) == [("added", "a"), ("changed", "a"), ("changed", "b"), ("changed", "c")]
