@@ -236,7 +236,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
             for qid, visited, query in zip(left["query_id"].to_pylist(), left["leaves"].to_pylist(), asked_, strict=True):
                 own = np.flatnonzero(np.isin(leaf_of, visited))
                 gap = x[own] - query
-                score = np.sqrt((gap * gap).sum(axis=1))
+                score = np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])  # added in order, as SQL does
                 if len(own) > k + 1:
                     edge = np.partition(score, k)[k]
                     own, score = own[score <= edge], score[score <= edge]

@@ -64,4 +64,41 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+#: Queries that SQL can express. The others are held against brute force, round trips and held-out labels in tests/llm.
+ORACLE: dict[str, str] = {
+    "op4_near_duplicates": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM t),
+cut AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM words),
+bags AS (SELECT doc_id, h, count(*) AS n FROM cut GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(n) AS total FROM bags GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS o
+  FROM bags a JOIN bags b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE o * 5 >= 4 * (a.total + b.total - o)
+  UNION SELECT min(doc_id) OVER (PARTITION BY text), doc_id FROM t),
+pairs AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT r.doc_id, b.y FROM reach r JOIN pairs b ON b.x = r.other)
+SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, payload_bytes >= 100 AND page_id > min(page_id) OVER (PARTITION BY payload_digest) AS again,
+  min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM f""",
+    # The search visits whole tables of up to SEARCH / TREES vectors; there it gives the true neighbours.
+    "op9_nearest": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)
+    AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY rank <= 10""",
+}
