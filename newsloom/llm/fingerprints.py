@@ -112,8 +112,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)).cast("double") / either)
 
 
-def with_next(rows: DataFrame, columns: list[str], ids_per_bucket: int = IDS_PER_BUCKET) -> DataFrame:
-    """``rows`` with next_<column> of the following row by (doc_id, text); after the last comes the first.
+def with_next(rows: DataFrame, derived: dict[str, Column] | None = None, ids_per_bucket: int = IDS_PER_BUCKET) -> DataFrame:
+    """``rows`` (doc_id, text) and the ``derived`` columns, with next_<column> of the following row by (doc_id, text) for the
+    text and each derived column; after the last row comes the first.
 
     Rows are dealt into ranges of doc_id and follow each other inside a range; the last of a range takes the first of
     the next range that has rows, which is found among the ranges alone, in two steps. No task sees more than a range
@@ -124,10 +125,14 @@ def with_next(rows: DataFrame, columns: list[str], ids_per_bucket: int = IDS_PER
     bucketed = rows.withColumn("__b", F.coalesce(F.expr(f"(doc_id - {low}L) div {width}L"), F.lit(-1).cast("bigint")))
 
     order = Window.partitionBy("__b").orderBy("doc_id", F.xxhash64("text"))
-    led = bucketed.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).withColumns(
-        {"__last": F.lead(F.lit(True)).over(order).isNull(), "__turn": F.row_number().over(order)}
+    derived = derived or {}
+    columns = ["text", *derived]
+    led = bucketed.withColumns(derived).withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).withColumns(
+        {"__last": F.lead(F.lit(True)).over(order).isNull()}
     )
-    firsts = led.where("__turn = 1").select(F.col("__b").alias("__next_b"), *[F.col(c).alias(f"__first_{c}") for c in columns])
+    # The first rows are picked before anything is derived, in the map tasks, so only they are worked out twice.
+    firsts = bucketed.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").withColumns(derived)
+    firsts = firsts.select(F.col("__b").alias("__next_b"), *[F.col(c).alias(f"__first_{c}") for c in columns])
 
     ranges = bucketed.select("__b").distinct().withColumn("__s", F.expr("__b div 1024"))
     groups = ranges.groupBy("__s").agg(F.min("__b").alias("m"))
@@ -141,7 +146,7 @@ def with_next(rows: DataFrame, columns: list[str], ids_per_bucket: int = IDS_PER
     edge = following.join(firsts, "__next_b").drop("__next_b")
     joined = led.join(edge, (F.col("__b") == F.col("__own_b")) & F.col("__last"), "left")
     return joined.select(
-        *rows.columns, *[F.when(F.col("__last"), F.col(f"__first_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns]
+        *rows.columns, *derived, *[F.when(F.col("__last"), F.col(f"__first_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns]
     )
 
 
@@ -149,7 +154,7 @@ def fingerprint_documents(docs: DataFrame, words: int = WORDS, bins: int = BINS)
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The edited
     text has its second half (rounded down) replaced by the start of the next document."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(own.withColumn("samples", sample_array(F.col("text"), words, bins)), ["text", "samples"])
+    rows = with_next(own, {"samples": sample_array(F.col("text"), words, bins)})
     n = F.length("text")
     half = F.expr("length(text) div 2").cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))

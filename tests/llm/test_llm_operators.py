@@ -261,7 +261,7 @@ def test_fingerprints_follow_the_contract(spark):
             assert abs(got[i].near_edited - similarity(plain[k], edited)) < 0.2
     assert got[99_999].fingerprint == got[100_000].fingerprint and got[99_999].near_next == 1.0
     assert got[20].fingerprint == "" and got[20].near_next == 1.0 and got[25].near_next == 0.0
-    small = fingerprints.with_next(frame.select("doc_id", "text"), ["text"], ids_per_bucket=1)
+    small = fingerprints.with_next(frame.select("doc_id", "text"), ids_per_bucket=1)
     assert {r.doc_id: r.next_text for r in small.collect()} == {i: texts[(k + 1) % len(ids)] for k, i in enumerate(ids)}
     assert fingerprints.fingerprint_documents(frame.limit(0)).count() == 0
     single = fingerprints.fingerprint_documents(frame.where("doc_id = 10")).first()
