@@ -123,6 +123,9 @@ folded AS (
 """
 )
 
+# The time of the runs.
+STAMP = "2024-01-31T00:00:00Z"
+
 STREAKS = """
 elog AS (
   SELECT event_id, 'h' || user_id || '.example.com:443' AS authority, ts, event_type = 'error' AS throttled,
@@ -627,8 +630,22 @@ UNION ALL SELECT site_url, pos, '  ' || url || '  [' || feed_type || ']  ' || co
         PICKED,
         """SELECT CAST(0 AS BIGINT) AS kind_rank, doc_id AS request_pos, pos, 'item' AS type, guid AS what FROM sized
 UNION ALL SELECT 1, request_pos, 0, 'error', error_code FROM feeds WHERE error_code IS NOT NULL
+UNION ALL SELECT 3, 0, 0, 'summary', '{"errors":' || count(error_code) || ',"feeds":' || count(*) ||
+    ',"fetched_at":"' || '@STAMP@' || '","schema_version":"1","total_content_tokens_est":' || CAST(sum(tokens) AS BIGINT) ||
+    ',"total_items":' || CAST(sum(item_count) AS BIGINT) || ',"truncation":' ||
+    CASE WHEN sum(n_cut) > 0 THEN '{"applied_limit":null,"items_content_truncated":' || CAST(sum(n_cut) AS BIGINT) ||
+      ',"items_omitted":0,"estimated_tokens":null,"suggestion":null}' ELSE 'null' END ||
+    ',"type":"summary","warnings":[' || coalesce(string_agg(CASE WHEN item_count > 0 AND n_dated = 0 THEN
+      '{"code":"UNDATED_ITEMS","feed_url":"' || feed_url || '","message":"all ' || item_count ||
+      ' returned item(s) lack a published/updated date; newest-first ordering falls back to the feed''s original order"}' END, ',' ORDER BY request_pos), '') || ']}'
+  FROM feeds""".replace("@STAMP@", STAMP),
+    ),
+    "tagged_warning_lines": with_(
+        PICKED,
+        """SELECT CAST(0 AS BIGINT) AS kind_rank, doc_id AS request_pos, pos, 'item' AS type, guid AS what FROM sized
+UNION ALL SELECT 1, request_pos, 0, 'error', error_code FROM feeds WHERE error_code IS NOT NULL
 UNION ALL SELECT 2, request_pos, 1, 'warning', 'UNDATED_ITEMS' FROM feeds WHERE item_count > 0 AND n_dated = 0
-UNION ALL SELECT 3, 0, 0, 'summary', CAST(sum(item_count) AS VARCHAR) FROM feeds""",
+UNION ALL SELECT 3, 0, 0, 'summary', CAST(count(*) AS VARCHAR) FROM feeds WHERE item_count > 0 AND n_dated = 0""",
     ),
     "text_summary": with_(
         PICKED,

@@ -541,7 +541,20 @@ def tagged_records(spark: SparkSession, sf: str) -> DataFrame:
         "request_pos",
         "pos",
         field("$.type").alias("type"),
-        F.coalesce(field("$.guid"), field("$.code"), field("$.total_items")).alias("what"),
+        F.when(F.col("kind_rank") == 3, F.col("line")).otherwise(F.coalesce(field("$.guid"), field("$.code"))).alias("what"),
+    )
+
+
+def tagged_warning_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The form for runs over very many feeds: warnings as records, counted in the summary."""
+    lines = records.tagged_records(_run(spark, sf, content_format="none"), F.lit(STAMP), warning_lines=True)
+    field = lambda path: F.get_json_object("line", path)
+    return lines.select(
+        F.col("kind_rank").cast("bigint").alias("kind_rank"),
+        "request_pos",
+        "pos",
+        field("$.type").alias("type"),
+        F.coalesce(field("$.guid"), field("$.code"), field("$.warnings")).alias("what"),
     )
 
 
@@ -771,6 +784,7 @@ QUERIES: dict[str, Query] = {
     "discovery_ndjson": discovery_ndjson,
     "ndjson_items": ndjson_items,
     "tagged_records": tagged_records,
+    "tagged_warning_lines": tagged_warning_lines,
     "text_summary": text_summary,
     "report_lines": report_lines,
     "contract_check": contract_check,

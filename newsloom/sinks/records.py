@@ -29,13 +29,12 @@ def _tagged(kind: str, fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[named[k].alias(k) for k in sorted(named)]), _KEEP_NULLS)
 
 
-def tagged_records(run: FeedRun, fetched_at: Column) -> DataFrame:
-    """``(kind_rank, request_pos, ts, pos, line)``: item, error, warning and summary records.
+def tagged_records(run: FeedRun, fetched_at: Column, warning_lines: bool = False) -> DataFrame:
+    """``(kind_rank, request_pos, ts, pos, line)``: item and error records, then one summary record.
 
-    Warnings are records of their own, one per line like the errors, because a list of them inside
-    the single summary line would grow with the number of feeds; the summary counts them.
+    The summary lists the warnings, at most two per feed. For runs over so many feeds that one line
+    should not hold them, ``warning_lines`` makes each a record of its own and the summary counts them.
     """
-    run = run.saved()
     items = contract_items(run.items(), "request_pos", "ts", "pos")
     shown = {c: F.col(c) for c in ITEM_COLUMNS}
     none_ts = F.lit(None).cast("timestamp").alias("ts")
@@ -52,7 +51,7 @@ def tagged_records(run: FeedRun, fetched_at: Column) -> DataFrame:
     error_lines = run.errors().select(
         F.lit(1).alias("kind_rank"), "request_pos", none_ts, F.lit(0).cast("bigint").alias("pos"), error_line.alias("line")
     )
-    warning_lines = run.warnings().select(
+    warned = run.warnings().select(
         F.lit(2).alias("kind_rank"),
         "request_pos",
         none_ts,
@@ -69,7 +68,7 @@ def tagged_records(run: FeedRun, fetched_at: Column) -> DataFrame:
         F.count_if(F.col("error").isNotNull()).alias("errors"),
         F.coalesce(F.sum("item_count"), F.lit(0)).alias("total_items"),
         F.coalesce(F.sum("content_tokens_est_total"), F.lit(0)).alias("total_content_tokens_est"),
-        F.coalesce(F.sum("_warnings"), F.lit(0)).alias("warnings"),
+        F.coalesce(F.sum("_warnings"), F.lit(0)).alias("n_warnings"),
         F.coalesce(F.sum("n_cut"), F.lit(0)).alias("_cut"),
     )
     marker = truncation_struct(F.col("_cut"), F.lit(None), F.lit(None), F.lit(None))
@@ -77,26 +76,30 @@ def tagged_records(run: FeedRun, fetched_at: Column) -> DataFrame:
         "schema_version": F.lit(SCHEMA_VERSION),
         "fetched_at": fetched_at,
         "truncation": marker,
-        **{
-            c: F.col(c)
-            for c in ("feeds", "errors", "total_items", "total_content_tokens_est", "warnings")
-        },
+        "warnings": F.col("n_warnings") if warning_lines else F.lit("@warnings@"),
+        **{c: F.col(c) for c in ("feeds", "errors", "total_items", "total_content_tokens_est")},
     }
+    summary_text = _tagged("summary", summary)
+    if not warning_lines:
+        entry = F.struct("request_pos", (F.col("code") == "UNDATED_ITEMS").alias("_rank"), F.to_json(F.struct("code", "feed_url", "message"), _KEEP_NULLS).alias("_json"))
+        listed = run.warnings().agg(F.array_sort(F.collect_list(entry)).alias("_listed")).withColumn("_one", F.lit(1))
+        totals = totals.withColumn("_one", F.lit(1)).join(listed, "_one")
+        texts = F.transform("_listed", lambda w: w["_json"])
+        summary_text = F.replace(summary_text, F.lit('"@warnings@"'), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
     summary_line = totals.select(
         F.lit(3).alias("kind_rank"),
         F.lit(0).cast("bigint").alias("request_pos"),
         none_ts,
         F.lit(0).cast("bigint").alias("pos"),
-        _tagged("summary", summary).alias("line"),
-    )
-    return (
-        item_lines.unionByName(error_lines).unionByName(warning_lines).unionByName(summary_line)
+        summary_text.alias("line"),
     )
+    lines = item_lines.unionByName(error_lines)
+    return (lines.unionByName(warned) if warning_lines else lines).unionByName(summary_line)
 
 
-def write_tagged_records(run: FeedRun, fetched_at: Column, path: str) -> None:
+def write_tagged_records(run: FeedRun, fetched_at: Column, path: str, warning_lines: bool = False) -> None:
     order = ["kind_rank", "request_pos", F.col("ts").desc_nulls_last(), "pos"]
-    lines = tagged_records(run, fetched_at).orderBy(*order)
+    lines = tagged_records(run, fetched_at, warning_lines).orderBy(*order)
     lines.select("line").write.mode("overwrite").text(path)
 
 
@@ -104,7 +107,6 @@ def text_summary(run: FeedRun) -> DataFrame:
     """``(part, request_pos, row, ts, pos, line)``: a readable listing, ordered by its key columns."""
     bigint = lambda n: F.lit(n).cast("bigint")
     no_ts = F.lit(None).cast("timestamp").alias("ts")
-    run = run.saved()
     feeds = run.feeds()
     header = F.concat(
         F.coalesce("title", "feed_url"),
