@@ -30,8 +30,19 @@ def committed(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(found)
 
 
+def drop_below(spark: SparkSession, path: str, prefix: str, version: int) -> None:
+    """Delete the directories ``<prefix><number>`` with numbers below ``version``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith(prefix) and name[len(prefix) :].isdigit() and int(name[len(prefix) :]) < version:
+            fs.delete(status.getPath(), True)
+
+
 class VersionedTable:
-    """A small table rewritten as a whole for each version."""
+    """A small table rewritten as a whole for each version; the newest two are kept."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark = spark
@@ -53,13 +64,17 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.select(*column_names(self.schema)).write.mode("overwrite").parquet(self._directory(version))
+        # The one before stays: a repeated batch starts from it, and readers may still be at it.
+        kept = [v for v in self.versions() if v <= version][-2:]
+        drop_below(self.spark, self.path, "v", kept[0])
 
 
 class SnapshotTable:
     """The latest body per feed: a base plus one delta per batch, merged when read.
 
     A batch only writes what it brought (at most two rows per feed), never the whole table;
-    ``compact`` folds everything into a new base when there are many deltas.
+    ``compact`` folds everything into a new base when there are many deltas, and deletes what the base
+    before it had made superfluous (not what this one does, for readers that are still at it).
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -96,6 +111,12 @@ class SnapshotTable:
 
     def compact(self, version: int) -> None:
         """Write the merged table up to ``version`` as a new base."""
-        merged = self.read(version)
-        if merged is not None:
-            merged.write.mode("overwrite").parquet(self._directory("base", version))
+        bases = committed(self.spark, self.path, "base")
+        merged = None if version in bases else self.read(version)
+        if merged is None:
+            return
+        before = [v for v in bases if v < version]
+        merged.write.mode("overwrite").parquet(self._directory("base", version))
+        if before:
+            drop_below(self.spark, self.path, "base", before[-1])
+            drop_below(self.spark, self.path, "delta", before[-1] + 1)

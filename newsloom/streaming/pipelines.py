@@ -134,11 +134,19 @@ def stream_changes(items: DataFrame, ttl_ms: int | None = None, tie: str = "requ
     )
 
 
-def stream_snapshots(responses: DataFrame, table: SnapshotTable):
-    """A stream writer that keeps the latest body per feed, one delta per micro-batch."""
-    return responses.writeStream.foreachBatch(
-        lambda batch, batch_id: table.append(batch, batch_id + 1)
-    )
+def stream_snapshots(responses: DataFrame, table: SnapshotTable, compact_every: int = 20):
+    """A stream writer that keeps the latest body per feed, one delta per micro-batch.
+
+    Every ``compact_every`` batches the deltas are folded, so a read meets a bounded number of them.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + 1
+        table.append(batch, version)
+        if version % compact_every == 0:
+            table.compact(version)
+
+    return responses.writeStream.foreachBatch(keep)
 
 
 def host_state_table(spark: SparkSession, path: str) -> VersionedTable:
