@@ -5,9 +5,11 @@
 2. Occurrence vectors. The vector of a token over the pages of a host says how often it is on each page. Tokens with
    equal vectors form an equivalence class. Vectors are never built: the sum of hash(page, count) over the pages stands for one,
    so a host of any size is added up with partial sums, one row per (host, path, text).
-3. Template. The class of the page itself (once on every page) is the skeleton; classes whose tokens repeat are lists nested in it, and
-   their place is given by the paths, which must lie below a skeleton token to be valid. Text of the skeleton class is template text, as are
-   lists of blocks that repeat the same few texts on most pages (menus).
+3. Template. The class of the page itself (once on every page) is the skeleton. Another class is valid if it has at least ``LARGE`` tokens
+   on at least ``MIN_PAGES`` pages, each of its texts lies directly in a tag of the class, and its outermost tags lie below a tag that is
+   on every page or in a valid class (or at the top of the page). So a section that some pages have is template, while the texts of a
+   copied article are not: they fill paragraphs, whose tags occur elsewhere too. Text of the skeleton is template text; text of a valid
+   class is, on pages that have its tokens in the order of the host.
 4. Slots. What is left are slots. Slots below menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element
    or by class, id and role words) are dropped, template text is dropped, and the rest is the main text: the slots below ``article`` or ``main``
    elements if the page has text there, else the host's slots whose text varies from page to page, else all.
@@ -16,7 +18,7 @@ A template needs ``MIN_PAGES`` pages; below that only step 4's element rules app
 mistaken for a template. If dropping template text would leave nothing, it stays.
 
 Only path and text hashes, counts and sums are shuffled, and one row per host joins the pages; what a host's row holds is bounded by
-the size of its pages, not by their number (tokens of less than 2 % of the pages are no template).
+the size of its pages, not by their number (tokens of less than 2 % of the pages are no template, and their text is kept).
 
 Rules for odd input: null or empty html gives an empty text; a null url belongs to the host ""; unclosed and crossing tags end with their
 parent; repeated rows get equal texts; an empty table an empty result.
@@ -38,6 +40,7 @@ from newsloom.llm.common import small_batches
 
 MIN_PAGES = 8
 RARE = 0.02
+LARGE = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -80,9 +83,11 @@ class Block:
 
 @dataclass
 class Page:
-    """Counts of the tags by path, and the text blocks, of one page."""
+    """Counts of the tags by path, the path above each and its first place, and the text blocks, of one page."""
 
     tags: Counter = field(default_factory=Counter)
+    above: dict[int, int] = field(default_factory=dict)
+    places: dict[int, int] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
 
 
@@ -119,6 +124,8 @@ def read_page(source: str | None) -> Page:
             if whole:
                 _, path, main, dropped = stack[-1]
                 page.blocks.append(Block(path, whole, main, dropped))
+                if not dropped:
+                    page.places.setdefault(_hash(path, whole), len(page.places))
 
     def close(names: set[str], within: frozenset[str] | None = None) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -166,6 +173,8 @@ def read_page(source: str | None) -> Page:
         _, parent, main, dropped = stack[-1]
         path = _path(parent, name, " ".join(words[:4]) if not any(len(w) > 20 for w in words) else "")
         page.tags[path] += 1
+        page.above[path] = parent
+        page.places.setdefault(path, len(page.places))
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         stack.append((name, path, main or name in ("article", "main") or "main" in words, dropped or name in DROPPED or (marked and name not in ("html", "body", "article", "main") or marked and bool({"comment", "comments", "reply", "related", "ad", "ads"} & set(words)))))
@@ -177,9 +186,11 @@ def read_page(source: str | None) -> Page:
 
 @dataclass
 class Template:
-    """What a host's pages have in common: hashes of (path, text) that are template, and the slots whose text varies."""
+    """What a host's pages have in common: hashes of (path, text) that are template, the other valid classes as tokens in order (a
+    tag is its path, a text the hash of path and text), and the slots whose text varies."""
 
     fixed: frozenset[int] = frozenset()
+    classes: tuple[tuple[int, ...], ...] = ()
     slots: frozenset[int] = frozenset()
 
 
@@ -190,8 +201,13 @@ def main_text(page: Page, template: Template = Template()) -> str:
         kept = [b for b in kept if b.main]
     elif any(b.path in template.slots for b in kept):
         kept = [b for b in kept if b.path in template.slots]
-    if template.fixed:
-        varying = [b for b in kept if _hash(b.path, b.text) not in template.fixed]
+    fixed = set(template.fixed)
+    for tokens in template.classes:
+        places = [page.places.get(t, -1) for t in tokens]
+        if places[0] >= 0 and all(a < b for a, b in zip(places, places[1:])):
+            fixed.update(tokens)
+    if fixed:
+        varying = [b for b in kept if _hash(b.path, b.text) not in fixed]
         kept = varying or kept
     return "\n\n".join(b.text for b in kept)
 
@@ -202,13 +218,14 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-_TOKENS = "host string, path bigint, text bigint, vector bigint, n bigint, chars bigint"
+_TOKENS = "host string, path bigint, text bigint, vector bigint, n bigint, above bigint, place bigint"
 _MASK = (1 << 64) - 1
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, path, text, vector, pages, n, chars): a row per token of a host; text is 0 for tags, path and text are 0 for the page
-    itself. Equal vectors (with equal pages) mean equal occurrence on all pages."""
+    """(host, path, text, vector, pages, n, above, place): a row per token of a host; text is 0 for tags, path and text are 0 for the page
+    itself. Equal vectors (with equal pages) mean equal occurrence on all pages; place is the sum of the first places, so the tokens
+    of a class that keep one order have it by place."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(batches):
@@ -217,15 +234,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 host, page = host_of(url), read_page(source)
                 own = _hash(url, len(source or ""), xxhash.xxh3_64_intdigest(source or ""))
                 once = _hash(own, 1) >> 16
-                rows.append((host, 0, 0, once, 1, 0))
+                rows.append((host, 0, 0, once, 1, 0, 0))
                 for path, n in page.tags.items():
-                    rows.append((host, path, 0, once if n == 1 else _hash(own, n) >> 16, n, 0))
+                    rows.append((host, path, 0, once if n == 1 else _hash(own, n) >> 16, n, page.above[path], page.places[path]))
                 texts = Counter((b.path, b.text) for b in page.blocks if not b.dropped)
                 for (path, text), n in texts.items():
-                    rows.append((host, path, _hash(path, text), once if n == 1 else _hash(own, n) >> 16, n, len(text) * n))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.string(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "text", "vector", "n", "chars"])
+                    token = _hash(path, text)
+                    rows.append((host, path, token, once if n == 1 else _hash(own, n) >> 16, n, path, page.places[token]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.string(), *[pa.int64()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "text", "vector", "n", "above", "place"])
 
     tokens = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _TOKENS)
     # Vectors are 48-bit hashes: their sum cannot overflow below 2^16 pages and wraps harmlessly above.
@@ -233,25 +251,79 @@ def occurrences(pages: DataFrame) -> DataFrame:
         F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"),
         F.count(F.lit(1)).alias("pages"),
         F.sum("n").alias("n"),
-        F.sum("chars").alias("chars"),
+        F.min("above").alias("above"),
+        F.sum("place").alias("place"),
     )
 
 
+@dataclass
+class Token:
+    path: int
+    text: int
+    above: int
+    place: int
+    group: str
+    everywhere: bool
+
+    @property
+    def id(self) -> int:
+        return self.text or self.path
+
+
+def valid_classes(tokens: list[Token]) -> list[list[int]]:
+    """The valid classes with text among a host's tokens, in order of place; see the module text. The skeleton is not among them."""
+    groups: dict[str, list[Token]] = {}
+    for token in tokens:
+        groups.setdefault(token.group, []).append(token)
+    grounds = {_path(0, "", "")} | {t.path for t in tokens if t.everywhere and not t.text}
+    waiting = []
+    for group in groups.values():
+        tags = {t.path for t in group if not t.text}
+        if len(group) >= LARGE and tags and all(t.path in tags for t in group if t.text):
+            waiting.append((sorted(group, key=lambda t: (t.place, t.id)), tags))
+    valid = []
+    while True:
+        ready = [w for w in waiting if all(t.above in w[1] or t.above in grounds for t in w[0])]
+        if not ready:
+            return sorted(valid)
+        waiting = [w for w in waiting if w not in ready]
+        for group, tags in ready:
+            grounds |= tags
+            if any(t.text for t in group):
+                valid.append([t.id for t in group])
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed, slots) for hosts of at least MIN_PAGES pages."""
+    """(host, fixed, classes, slots) for hosts of at least MIN_PAGES pages."""
     tokens = occurrences(pages)
     hosts = tokens.where("path = 0").select("host", F.col("pages").alias("all_pages"), F.col("vector").alias("page_vector")).where(F.col("all_pages") >= MIN_PAGES)
     known = tokens.where("path <> 0").join(hosts, "host")
     texts = known.where("text <> 0")
-    # Skeleton text: the class of the page itself.
-    fixed = texts.where((F.col("vector") == F.col("page_vector")) & (F.col("pages") == F.col("all_pages"))).select("host", "text")
+    skeleton = (F.col("vector") == F.col("page_vector")) & (F.col("pages") == F.col("all_pages"))
     # Slots: how varied the text at a path is. A path where most pages repeat few texts is a list of the template.
     slots = texts.groupBy("host", "path").agg(F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("kinds"), F.max("all_pages").alias("all_pages"))
     main = slots.where((F.col("blocks") >= F.col("all_pages") * RARE) & (F.col("kinds") * 2 > F.col("blocks"))).select("host", "path")
-    gathered = fixed.select("host", F.col("text").alias("f"), F.lit(None).cast("bigint").alias("s")).union(
-        main.select("host", F.lit(None).cast("bigint").alias("f"), F.col("path").alias("s"))
-    )
-    return gathered.groupBy("host").agg(F.collect_set("f").alias("fixed"), F.collect_set("s").alias("slots"))
+    # Tokens of too few pages are in no valid class; the others of a host are at most 1 / RARE times those of an average page.
+    frequent = known.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("all_pages") * RARE)).select(
+        "host",
+        F.struct(
+            "path", "text", "above", "place", F.concat_ws(" ", F.col("vector").cast("string"), "pages").alias("grp"),
+            (F.col("pages") == F.col("all_pages")).alias("everywhere"), skeleton.alias("skeleton"),
+        ).alias("token"),
+    )
+    token = frequent.schema["token"].dataType
+    gathered = frequent.select("host", "token", F.lit(None).cast("bigint").alias("s")).union(main.select("host", F.lit(None).cast(token).alias("token"), F.col("path").alias("s")))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in small_batches(batches, 16):
+            fixed, classes = [], []
+            for found in batch.column(1).to_pylist():
+                fixed.append(sorted(t["text"] for t in found if t["skeleton"] and t["text"]))
+                classes.append(valid_classes([Token(t["path"], t["text"], t["above"], t["place"], "" if t["skeleton"] else t["grp"], t["everywhere"]) for t in found if not (t["skeleton"] and t["text"])]))
+            kinds = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, kinds[0]), pa.array(classes, kinds[1]), batch.column(2)], names=["host", "fixed", "classes", "slots"])
+
+    return gathered.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_set("s").alias("slots")).mapInArrow(run, "host string, fixed array<bigint>, classes array<array<bigint>>, slots array<bigint>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -259,15 +331,15 @@ def extract(pages: DataFrame) -> DataFrame:
     named = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rest = F.regexp_extract(F.substring("url", F.instr("url", "://") + 3, F.lit(2147483647)), r"^([^/?#]*)", 1)
     host = F.coalesce(F.when(F.instr("url", "://") > 0, F.lower(rest)), F.lit(""))
-    joined = named.withColumn("host", host).join(templates(pages), "host", "left").select("page_id", "url", "html", "fixed", "slots")
+    joined = named.withColumn("host", host).join(templates(pages), "host", "left").select("page_id", "url", "html", "fixed", "classes", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(batches):
             known: dict[tuple, Template] = {}
             texts = []
-            for source, fixed, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                key = (tuple(sorted(fixed or ())), tuple(sorted(slots or ())))
-                template = known.get(key) or known.setdefault(key, Template(frozenset(key[0]), frozenset(key[1])))
+            for source, fixed, classes, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                key = (tuple(sorted(fixed or ())), tuple(map(tuple, classes or ())), tuple(sorted(slots or ())))
+                template = known.get(key) or known.setdefault(key, Template(frozenset(key[0]), key[1], frozenset(key[2])))
                 texts.append(main_text(read_page(source), template))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -482,3 +482,18 @@ def test_main_text(spark):
     assert got[900].text == got[901].text == "" and got[900].n_chars == 0
     assert got[902].text == "plain text" and got[903].text == "a\n\nb\n\nc \u263a &nosuch;"
     assert extraction.extract(frame).count() == len(rows) and extraction.extract(frame.limit(0)).count() == 0
+
+
+def test_sections_of_some_pages_are_template(spark):
+    rng = random.Random(14)
+    promo = "<div class=box><p class=lead>Read on in our app</p><ul class=stores><li>One store</li></ul></div>"
+    copied = [prose(rng, 20) for _ in range(3)]
+    rows, want = [], {}
+    for k in range(40):
+        # Ten pages are copies of one article, with an own tag; half of all pages, copies among them, have the section.
+        body = copied if k < 10 else [prose(rng, 20) for _ in range(1 + k % 3)]
+        rare = "<pre>copied code</pre>" if k < 10 else ""
+        rows.append((k, f"http://h.example/{k}", f"<html><body><article>{''.join(f'<p>{b}</p>' for b in body)}{rare}{promo * (k % 2)}</article><i>{k}</i></body></html>"))
+        want[k] = "\n\n".join([*body, *(["copied code"] if k < 10 else [])])
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in extraction.extract(frame).collect()} == want
