@@ -10,9 +10,11 @@
    on every page or in a valid class (or at the top of the page). So a section that some pages have is template, while the texts of a
    copied article are not: they fill paragraphs, whose tags occur elsewhere too. Text of the skeleton is template text; text of a valid
    class is, on pages that have its tokens in the order of the host.
+   Repeated lists (menus outside of menu elements) are paths with at least two texts, all of them on more than half of the host's pages;
+   their text is template text too.
 4. Slots. What is left are slots. Slots below menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element
    or by class, id and role words) are dropped, template text is dropped, and the rest is the main text: the slots below ``article`` or ``main``
-   elements if the page has text there, else the host's slots whose text varies from page to page, else all.
+   elements if the page has text there, else all. A slot is kept however rare its path is and however often its text repeats.
 
 A template needs ``MIN_PAGES`` pages; below that only step 4's element rules apply, so copies of one article on a small host are not
 mistaken for a template. If dropping template text would leave nothing, it stays.
@@ -187,11 +189,10 @@ def read_page(source: str | None) -> Page:
 @dataclass
 class Template:
     """What a host's pages have in common: hashes of (path, text) that are template, the other valid classes as tokens in order (a
-    tag is its path, a text the hash of path and text), and the slots whose text varies."""
+    tag is its path, a text the hash of path and text)."""
 
     fixed: frozenset[int] = frozenset()
     classes: tuple[tuple[int, ...], ...] = ()
-    slots: frozenset[int] = frozenset()
 
 
 def main_text(page: Page, template: Template = Template()) -> str:
@@ -199,8 +200,6 @@ def main_text(page: Page, template: Template = Template()) -> str:
     kept = [b for b in page.blocks if not b.dropped]
     if any(b.main for b in kept):
         kept = [b for b in kept if b.main]
-    elif any(b.path in template.slots for b in kept):
-        kept = [b for b in kept if b.path in template.slots]
     fixed = set(template.fixed)
     for tokens in template.classes:
         places = [page.places.get(t, -1) for t in tokens]
@@ -294,15 +293,15 @@ def valid_classes(tokens: list[Token]) -> list[list[int]]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed, classes, slots) for hosts of at least MIN_PAGES pages."""
+    """(host, fixed, classes) for hosts of at least MIN_PAGES pages."""
     tokens = occurrences(pages)
     hosts = tokens.where("path = 0").select("host", F.col("pages").alias("all_pages"), F.col("vector").alias("page_vector")).where(F.col("all_pages") >= MIN_PAGES)
     known = tokens.where("path <> 0").join(hosts, "host")
     texts = known.where("text <> 0")
     skeleton = (F.col("vector") == F.col("page_vector")) & (F.col("pages") == F.col("all_pages"))
-    # Slots: how varied the text at a path is. A path where most pages repeat few texts is a list of the template.
-    slots = texts.groupBy("host", "path").agg(F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("kinds"), F.max("all_pages").alias("all_pages"))
-    main = slots.where((F.col("blocks") >= F.col("all_pages") * RARE) & (F.col("kinds") * 2 > F.col("blocks"))).select("host", "path")
+    # Repeated lists: paths all of whose texts are on most pages. One text that is not makes the path a slot.
+    lists = texts.groupBy("host", "path").agg(F.min("pages").alias("least"), F.count(F.lit(1)).alias("kinds"), F.max("all_pages").alias("all_pages"))
+    menus = lists.where((F.col("least") * 2 > F.col("all_pages")) & (F.col("kinds") > 1)).select("host", "path")
     # Tokens of too few pages are in no valid class; the others of a host are at most 1 / RARE times those of an average page.
     frequent = known.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("all_pages") * RARE)).select(
         "host",
@@ -312,18 +311,18 @@ def templates(pages: DataFrame) -> DataFrame:
         ).alias("token"),
     )
     token = frequent.schema["token"].dataType
-    gathered = frequent.select("host", "token", F.lit(None).cast("bigint").alias("s")).union(main.select("host", F.lit(None).cast(token).alias("token"), F.col("path").alias("s")))
+    gathered = frequent.select("host", "token", F.lit(None).cast("bigint").alias("m")).union(menus.select("host", F.lit(None).cast(token).alias("token"), F.col("path").alias("m")))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(batches, 16):
             fixed, classes = [], []
-            for found in batch.column(1).to_pylist():
-                fixed.append(sorted(t["text"] for t in found if t["skeleton"] and t["text"]))
+            for found, menus_ in zip(batch.column(1).to_pylist(), map(set, batch.column(2).to_pylist()), strict=True):
+                fixed.append(sorted(t["text"] for t in found if t["text"] and (t["skeleton"] or t["path"] in menus_)))
                 classes.append(valid_classes([Token(t["path"], t["text"], t["above"], t["place"], "" if t["skeleton"] else t["grp"], t["everywhere"]) for t in found if not (t["skeleton"] and t["text"])]))
             kinds = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, kinds[0]), pa.array(classes, kinds[1]), batch.column(2)], names=["host", "fixed", "classes", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, kinds[0]), pa.array(classes, kinds[1])], names=["host", "fixed", "classes"])
 
-    return gathered.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_set("s").alias("slots")).mapInArrow(run, "host string, fixed array<bigint>, classes array<array<bigint>>, slots array<bigint>")
+    return gathered.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_set("m").alias("menus")).mapInArrow(run, "host string, fixed array<bigint>, classes array<array<bigint>>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -331,15 +330,15 @@ def extract(pages: DataFrame) -> DataFrame:
     named = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rest = F.regexp_extract(F.substring("url", F.instr("url", "://") + 3, F.lit(2147483647)), r"^([^/?#]*)", 1)
     host = F.coalesce(F.when(F.instr("url", "://") > 0, F.lower(rest)), F.lit(""))
-    joined = named.withColumn("host", host).join(templates(pages), "host", "left").select("page_id", "url", "html", "fixed", "classes", "slots")
+    joined = named.withColumn("host", host).join(templates(pages), "host", "left").select("page_id", "url", "html", "fixed", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(batches):
             known: dict[tuple, Template] = {}
             texts = []
-            for source, fixed, classes, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                key = (tuple(sorted(fixed or ())), tuple(map(tuple, classes or ())), tuple(sorted(slots or ())))
-                template = known.get(key) or known.setdefault(key, Template(frozenset(key[0]), key[1], frozenset(key[2])))
+            for source, fixed, classes in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                key = (tuple(fixed or ()), tuple(map(tuple, classes or ())))
+                template = known.get(key) or known.setdefault(key, Template(frozenset(key[0]), key[1]))
                 texts.append(main_text(read_page(source), template))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -497,3 +497,19 @@ def test_sections_of_some_pages_are_template(spark):
         want[k] = "\n\n".join([*body, *(["copied code"] if k < 10 else [])])
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert {r.page_id: r.text for r in extraction.extract(frame).collect()} == want
+
+
+def test_rare_and_repeated_blocks_are_kept(spark):
+    rng = random.Random(15)
+    copied = [prose(rng, 20) for _ in range(2)]
+    rows, want = [], {}
+    for k in range(60):
+        # No article elements: a menu that leaves out the page's own entry, a sub-heading, copies on most pages, one table.
+        body = copied if k < 40 else [prose(rng, 20) for _ in range(2)]
+        menu = "".join(f"<li>{w}</li>" for i, w in enumerate(("home", "news", "sports", "about")) if i != k % 4)
+        table = "<table><tr><td>only here</td></tr></table>" if k == 50 else ""
+        summary = "<h3>Summary</h3>" if k % 3 else f"<h3>{k} parts</h3>"
+        rows.append((k, f"http://h.example/{k}", f"<html><body><ul>{menu}</ul><div>{''.join(f'<p>{b}</p>' for b in body)}{summary}{table}</div></body></html>"))
+        want[k] = "\n\n".join([*body, "Summary" if k % 3 else f"{k} parts", *(["only here"] if k == 50 else [])])
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in extraction.extract(frame).collect()} == want
