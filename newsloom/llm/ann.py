@@ -9,8 +9,13 @@ It pops nodes and visits leaves, of whichever tree, until they hold ``search`` v
 counts of the whole table. The rows of those leaves are its candidates; their exact
 Euclidean distances on the original vectors, in double precision, give the result.
 
+Budget. ``search`` is measured unless it is given: for ``TRIED`` queries (smallest hashes) the true neighbours are found by brute force,
+their places in the queue say how many vectors must be visited to reach each, and the least budget that reaches ``RECALL`` of
+them, but at least ``SEARCH``, holds for all queries. That costs one pass over the table with ``TRIED`` distances a vector. A measured
+budget of the size of the table or more means that the forest does not pay: all leaves of one tree are visited then, which is exact.
+
 Equal vectors are one entry: a vector that makes up a third of the table fills one place of a leaf, not a leaf. It stands for its
-``k + 1`` smallest ids, and no query can need more of them. A table of at most ``search`` vectors is searched whole.
+``k + 1`` smallest ids, and no query can need more of them. A table of at most ``SEARCH / TREES`` vectors is searched whole.
 
 Distribution. Leaves that follow each other along a tree form groups of about ``GROUP`` vectors. A vector goes once per tree to its
 group, a query to the groups it visits, with the list of its leaves; each group gives at most k + 1 rows for a query that visits
@@ -26,6 +31,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +43,10 @@ from newsloom.session import scratch_path
 TREES = 12
 LEAF = 32
 SAMPLE = 60_000
-#: Vectors in the visited leaves of a query. The supplied vectors are uniform on the sphere, so near ones are scattered over
-#: many leaves: this reaches 0.94 of the true neighbours among 51,282 vectors (2,000 would reach 0.45).
+#: Vectors in the visited leaves of a query, at least; larger tables get the measured budget.
 SEARCH = 26_000
+#: Queries the budget is measured on, and the share of their true neighbours it must reach (0.9 is asked for).
+TRIED, RECALL = 100, 0.95
 K = 10
 GROUP = 4096
 
@@ -103,25 +110,80 @@ def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
     return Tree(np.array(planes).reshape(-1, dim), np.array(offsets), np.array(children, np.int64).reshape(-1, 2))
 
 
-def visit(query: np.ndarray, forest: list[Tree], counts: list[np.ndarray], search: int) -> list[tuple[int, int]]:
-    """(tree, leaf) pairs in the order of the shared queue until they hold ``search`` vectors."""
+def leaves_in_order(query: np.ndarray, forest: list[Tree], counts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(tree, leaf, vectors in the leaves before it) in the order of the shared queue."""
     margins = [tree.planes @ query - tree.offsets for tree in forest]
     queue = [(-np.inf, t, 0 if len(tree.planes) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
-    found, held = [], 0
-    while queue and held < search:
+    held = 0
+    while queue:
         worst, t, node = heapq.heappop(queue)
         if node < 0:
             leaf = -1 - node
             if leaf < len(counts[t]) and counts[t][leaf]:
-                found.append((t, leaf))
+                yield t, leaf, held
                 held += int(counts[t][leaf])
             continue
         margin = margins[t][node]
         near, far = (1, 0) if margin > 0 else (0, 1)
         heapq.heappush(queue, (worst, t, int(forest[t].children[node, near])))
         heapq.heappush(queue, (max(worst, abs(margin)), t, int(forest[t].children[node, far])))
-    return found
+
+
+def visit(query: np.ndarray, forest: list[Tree], counts: list[np.ndarray], search: int) -> list[tuple[int, int]]:
+    """(tree, leaf) pairs in the order of the shared queue until they hold ``search`` vectors."""
+    return [(t, leaf) for t, leaf, _ in takewhile(lambda x: x[2] < search, leaves_in_order(query, forest, counts))]
+
+
+def measured_budget(heads: DataFrame, tried: np.ndarray, forest: list[Tree], counts: list[np.ndarray], k: int) -> int:
+    """The least ``search`` that reaches ``RECALL`` of the true neighbours of the tried queries (rows)."""
+    dim, n = tried.shape[1], len(tried)
+
+    def closest(batches: Iterator[pa.RecordBatch]):
+        """The k nearest vectors of the partition for every tried query, with their leaves."""
+        best, near = np.full((n, k), np.inf), np.zeros((n, k, dim))
+        for batch in small_batches(batches, 1024):
+            if not batch.num_rows:
+                continue
+            rows = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
+            for q in range(n):
+                gap = rows - tried[q]
+                score = np.einsum("ij,ij->i", gap, gap)
+                score[score == 0] = np.inf  # the query itself
+                own = np.flatnonzero(score < best[q, -1])
+                if own.size:
+                    scores, found = np.append(best[q], score[own]), np.concatenate([near[q], rows[own]])
+                    order = np.argsort(scores, kind="stable")[:k]
+                    best[q], near[q] = scores[order], found[order]
+        real = best.reshape(-1) < np.inf
+        rows = near.reshape(-1, dim)[real]
+        leaves = np.stack([tree.leaves(rows) for tree in forest], axis=1).tolist() if real.any() else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(n), k)[real], pa.int32()), pa.array(best.reshape(-1)[real], pa.float64()), pa.array(leaves, pa.list_(pa.int32()))],
+            names=["q", "score", "leaves"],
+        )
+
+    order = Window.partitionBy("q").orderBy("score", "leaves")
+    true = heads.select("vector").mapInArrow(closest, "q int, score double, leaves array<int>").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    wanted: dict[int, list[list[int]]] = {}
+    for r in true.select("q", "leaves").collect():  # at most k rows a tried query
+        wanted.setdefault(r["q"], []).append(r["leaves"])
+    needs = []
+    for q, neighbours in wanted.items():
+        open_ = set(range(len(neighbours)))
+        at: dict[tuple[int, int], list[int]] = {}
+        for i, leaves in enumerate(neighbours):
+            for pair in enumerate(leaves):
+                at.setdefault(pair, []).append(i)
+        for t, leaf, held in leaves_in_order(tried[q], forest, counts):
+            for i in at.get((t, leaf), ()):
+                if i in open_:
+                    open_.discard(i)
+                    needs.append(held + 1)
+            if not open_:
+                break
+    needs.sort()
+    return needs[int(np.ceil(len(needs) * RECALL)) - 1] if needs else 0
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -142,8 +204,8 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return usable
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, search: int = SEARCH, seed: int = 1) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` nearest other vectors found for each query.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, search: int | None = None, seed: int = 1) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the ``k`` nearest other vectors found for each query. ``search`` None is measured.
 
     Both frames have vec_id and embedding."""
     spark = vectors.sparkSession
@@ -170,11 +232,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
     # The sample (at most SAMPLE vectors, a fixed bound) is fitted in one place; the forest goes out with the tasks.
     chosen = heads.orderBy(F.xxhash64("key"), "head").limit(sample).select("vector")
     x = np.array([r["vector"] for r in chosen.toLocalIterator()], dtype=np.float64).reshape(-1, dim)
+    total = heads.count()
     forest = [grow(x, leaf, np.random.default_rng([seed, t])) for t in range(trees)]
 
     def drop(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(batches, 1024):
             rows = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
+            trees = len(forest)
             leaves = np.stack([tree.leaves(rows) for tree in forest], axis=1) if len(rows) else np.empty((0, trees), np.int64)
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
@@ -187,14 +251,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
                 names=["head", "tree", "leaf", "vector"],
             )
 
+    asked = (
+        _valid(queries)
+        .where(F.size("vector") == dim)
+        .groupBy("vec_id")
+        .agg(F.min("vector").alias("query"))
+        .select(F.col("vec_id").alias("query_id"), F.transform("query", lambda c: F.when(c == 0, 0.0).otherwise(c)).alias("query"))
+    )
     # Neighbouring leaves (they are numbered along the tree) share a group of about GROUP vectors.
-    total = heads.count()
     leaves = max(len(tree.planes) + 1 for tree in forest)
     per_group = max(1, GROUP * leaves // max(1, total))
-    index = heads.select("head", "vector").mapInArrow(drop, "head bigint, tree int, leaf int, vector array<double>").withColumn("grp", F.expr(f"cast(leaf div {per_group} as int)"))
+
+    def indexed() -> DataFrame:
+        return heads.select("head", "vector").mapInArrow(drop, "head bigint, tree int, leaf int, vector array<double>").withColumn("grp", F.expr(f"cast(leaf div {per_group} as int)"))
+
     counts = [np.zeros(len(tree.planes) + 1, np.int64) for tree in forest]
-    for r in index.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per leaf of the forest
+    for r in indexed().groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per leaf of the forest
         counts[r["tree"]][r["leaf"]] = r["n"]
+    budget = SEARCH if search is None else search
+    if search is None and SEARCH < trees * total:
+        tried = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED).select("query").collect()
+        measured = measured_budget(heads, np.array([r["query"] for r in tried], dtype=np.float64).reshape(-1, dim), forest, counts, k)
+        budget = max(SEARCH, measured)
+        if measured >= total:  # one tree, all leaves
+            budget, forest, counts = total, forest[:1], counts[:1]
+    index = indexed()
 
     def walk(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(batches, 256):
@@ -202,7 +283,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
             rows = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
             for at, (qid, row) in enumerate(zip(batch.column(0).to_pylist(), rows, strict=True)):
                 own: dict[tuple[int, int], list[int]] = {}
-                for t, leaf_ in visit(row, forest, counts, search):
+                for t, leaf_ in visit(row, forest, counts, budget):
                     own.setdefault((t, leaf_ // per_group), []).append(leaf_)
                 for (t, g), group in own.items():
                     ids.append(qid)
@@ -215,13 +296,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
                 names=["query_id", "tree", "grp", "leaves", "query"],
             )
 
-    asked = (
-        _valid(queries)
-        .where(F.size("vector") == dim)
-        .groupBy("vec_id")
-        .agg(F.min("vector").alias("query"))
-        .select(F.col("vec_id").alias("query_id"), F.transform("query", lambda c: F.when(c == 0, 0.0).otherwise(c)).alias("query"))
-    )
     visits = asked.mapInArrow(walk, "query_id bigint, tree int, grp int, leaves array<int>, query array<double>")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:

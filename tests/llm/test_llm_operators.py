@@ -452,6 +452,19 @@ def test_nearest_of_odd_tables(spark):
     assert ann.nearest(few.limit(0), few).count() == 0 and ann.nearest(few, few.limit(0)).count() == 0
 
 
+def test_nearest_measures_its_budget(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SEARCH", 50)  # far too little for these vectors
+    rng = np.random.default_rng(21)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((2000, 6)).astype(np.float64))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {q: {i for _, i in near} for q, near in plain_nearest(rows, 10).items()}
+    recall = []
+    for search in (50, None):
+        found = ann.nearest(frame, frame.where("vec_id % 100 = 0"), trees=4, search=search, sample=1000).collect()
+        recall.append(sum(r.vec_id in want[r.query_id] for r in found) / sum(map(len, want.values())))
+    assert recall[0] < 0.9 <= recall[1]
+
+
 # --- main text
 
 
