@@ -709,3 +709,12 @@ ORACLE["fetch_captures"] = with_(
     """SELECT request_pos + n AS request_pos, feed_url, item_count, error_code
 FROM feeds, (SELECT unnest([0, 1000000000]) AS n)""",
 )
+ORACLE["throttle_streaks_one_host"] = """
+WITH l AS (SELECT event_id, date_trunc('month', ts) AS m, event_type = 'error' AS throttled FROM events),
+i AS (SELECT *, sum(CASE WHEN throttled THEN 0 ELSE 1 END) OVER (ORDER BY m, event_id ROWS UNBOUNDED PRECEDING) AS island FROM l)
+SELECT 'one:443' AS authority, event_id, CASE WHEN throttled THEN CAST(sum(CASE WHEN throttled THEN 1 ELSE 0 END) OVER (
+  PARTITION BY island ORDER BY m, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) ELSE 0 END AS streak FROM i"""
+ORACLE["item_positions_one_feed"] = with_(
+    EVENT_ITEMS,
+    "SELECT event_id, row_number() OVER (ORDER BY date_trunc('day', ts) DESC NULLS LAST, event_id) AS item_pos FROM ev",
+)

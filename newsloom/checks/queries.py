@@ -466,12 +466,23 @@ def snapshots_fresh(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def throttle_streaks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hosts.throttle_streaks(fx.event_log(spark, sf), ("ts", "event_id"), chunk_seconds=6 * 3600)
+    rows = hosts.throttle_streaks(fx.event_log(spark, sf), ("ts", "event_id"))
     return rows.select("authority", "event_id", "streak")
 
 
+def throttle_streaks_one_host(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole log as one host whose rows share a few minutes: its chunks follow the row counts."""
+    log = fx.event_log(spark, sf).withColumns({"authority": F.lit("one:443"), "ts": F.date_trunc("month", "ts")})
+    return hosts.throttle_streaks(log, ("ts", "event_id"), chunk_rows=500).select("authority", "event_id", "streak")
+
+
+def item_positions_one_feed(spark: SparkSession, sf: str) -> DataFrame:
+    items = _event_items(spark, sf).withColumns({"feed_url": F.lit("u"), "ts": F.date_trunc("day", "ts")})
+    return item_ops.item_positions(items, chunk_rows=500).select("event_id", "item_pos")
+
+
 def _host_state(spark: SparkSession, sf: str) -> DataFrame:
-    return hosts.host_cooldowns(fx.event_log(spark, sf), ("ts", "event_id"), chunk_seconds=6 * 3600)
+    return hosts.host_cooldowns(fx.event_log(spark, sf), ("ts", "event_id"))
 
 
 def host_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
@@ -776,6 +787,8 @@ QUERIES: dict[str, Query] = {
     "snapshot_list": snapshot_list,
     "snapshots_fresh": snapshots_fresh,
     "throttle_streaks": throttle_streaks,
+    "throttle_streaks_one_host": throttle_streaks_one_host,
+    "item_positions_one_feed": item_positions_one_feed,
     "host_cooldowns": host_cooldowns,
     "polite_schedule": polite_schedule,
     "discover": discover,

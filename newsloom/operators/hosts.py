@@ -1,8 +1,9 @@
 """Per-host throttle analysis of fetch logs, exact for hosts of any size.
 
 A streak of throttled responses depends on everything before it, which would put a whole host in
-one window. Instead the log is cut in time chunks: rows are counted inside (host, chunk), the few
-chunks of a host are scanned for what they carry over, and the carry is added back.
+one window. Instead a large host's log is cut in chunks of about equal row counts: rows are counted
+inside (host, chunk), the few chunks of a host are scanned for what they carry over, and the carry is
+added back.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsloom.functions.dates import retry_after_seconds
 from newsloom.functions.urls import authority
 from newsloom.functions.values import error_object, wait_details
-from newsloom.operators.ranking import position_in_group
+from newsloom.operators.ranking import CHUNK_ROWS, position_in_group, with_chunks
 from newsloom.operators.snapshots import is_throttled
 
 # Pacing defaults in seconds.
@@ -43,7 +44,7 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 def throttle_streaks(
     log: DataFrame,
     order: Sequence[str] = ("ts", "log_id"),
-    chunk_seconds: int = 3600,
+    chunk_rows: int = CHUNK_ROWS,
     state: DataFrame | None = None,
 ) -> DataFrame:
     """The log with ``streak``: consecutive throttled responses of the host up to each row.
@@ -51,16 +52,32 @@ def throttle_streaks(
     Any other response resets it (and has streak 0). ``order`` must start with ``ts`` and order a
     host's rows totally. ``state`` (``HOST_STATE``) carries the streaks of earlier logs over.
     """
-    chunked = log.withColumn("_chunk", F.floor(F.unix_seconds("ts") / chunk_seconds).cast("bigint"))
-    inside = (
-        Window.partitionBy("authority", "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    rank = [F.unix_micros(order[0]), *[F.col(c) for c in order[1:]]]
+    chunked, is_cut = with_chunks(log, ["authority"], rank, chunk_rows)
+    along_rows = Window.partitionBy("authority", *(["_chunk"] if is_cut else [])).orderBy(*rank)
+    inside = along_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     throttled = is_throttled(F.col("http_status"))
-    local = chunked.withColumn("_n", F.row_number().over(
-        Window.partitionBy("authority", "_chunk").orderBy(*order)
-    )).withColumn("_last_reset", F.max(F.when(~throttled, F.col("_n"))).over(inside))
+    local = chunked.withColumn("_n", F.row_number().over(along_rows)).withColumn(
+        "_last_reset", F.max(F.when(~throttled, F.col("_n"))).over(inside)
+    )
+    if is_cut or state is not None:
+        local = local.join(_carries(local, state), ["authority", "_chunk"], "left")
+    else:
+        local = local.withColumn("_carry", F.lit(0))
+    streak = (
+        F.when(~throttled, F.lit(0))
+        .when(F.col("_last_reset").isNull(), F.col("_n") + F.coalesce("_carry", F.lit(0)))
+        .otherwise(F.col("_n") - F.col("_last_reset"))
+    )
+    return local.withColumn("streak", streak.cast("bigint")).drop("_chunk", "_n", "_last_reset", "_carry")
+
+
+def _carries(local: DataFrame, state: DataFrame | None) -> DataFrame:
+    """``(authority, _chunk, _carry)``: the streak that reaches into each chunk from those before it.
+
+    A chunk is summed up by its last streak and whether it holds a reset; such summaries add up in
+    any grouping, so a host's few chunks are scanned instead of its rows.
+    """
     chunks = local.groupBy("authority", "_chunk").agg(
         (F.max("_n") - F.coalesce(F.max("_last_reset"), F.lit(0))).cast("bigint").alias("_tail"),
         F.max("_last_reset").isNotNull().alias("_resets"),
@@ -76,22 +93,12 @@ def throttle_streaks(
         )
     along = Window.partitionBy("authority").orderBy("_chunk")
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = (
+    return (
         chunks.withColumn("_sum", F.sum("_tail").over(upto))
         .withColumn("_base", F.max(F.when(F.col("_resets"), F.col("_sum") - F.col("_tail"))).over(upto))
         .withColumn("_carry", F.lag(F.col("_sum") - F.coalesce("_base", F.lit(0)), 1, 0).over(along))
         .select("authority", "_chunk", "_carry")
     )
-    streak = (
-        F.when(~throttled, F.lit(0))
-        .when(F.col("_last_reset").isNull(), F.col("_n") + F.col("_carry"))
-        .otherwise(F.col("_n") - F.col("_last_reset"))
-    )
-    return (
-        local.join(carried, ["authority", "_chunk"])
-        .withColumn("streak", streak.cast("bigint"))
-        .drop("_chunk", "_n", "_last_reset", "_carry")
-    )
 
 
 def cooldown_seconds(streak: Column, retry_after: Column) -> Column:
@@ -105,7 +112,7 @@ def cooldown_seconds(streak: Column, retry_after: Column) -> Column:
 def host_cooldowns(
     log: DataFrame,
     order: Sequence[str] = ("ts", "log_id"),
-    chunk_seconds: int = 3600,
+    chunk_rows: int = CHUNK_ROWS,
     state: DataFrame | None = None,
 ) -> DataFrame:
     """``HOST_STATE`` after the log: streak, earliest next request, end of the warm period.
@@ -113,7 +120,7 @@ def host_cooldowns(
     Both times only move forward, so they are plain maxima over the throttled rows. ``order`` is the
     time and a whole-number id that tells rows of equal times apart.
     """
-    rows = throttle_streaks(log, order, chunk_seconds, state)
+    rows = throttle_streaks(log, order, chunk_rows, state)
     wait = cooldown_seconds(F.col("streak"), retry_after_seconds("retry_after", "ts"))
     hit = F.col("streak") > 0
     after = rows.groupBy("authority").agg(
@@ -149,7 +156,7 @@ def polite_schedule(
     state: DataFrame,
     as_of: datetime | Column,
     position: str = "request_pos",
-    chunk_rows: int = 100_000,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """When each pending URL may be sent: ``wait_ms`` from ``as_of``, or a ``RATE_LIMITED`` error.
 
@@ -161,9 +168,9 @@ def polite_schedule(
     queued = position_in_group(
         pending.withColumn("authority", authority("feed_url")),
         ["authority"],
-        F.floor(F.col(position) / chunk_rows),
         [F.col(position)],
         "_turn",
+        chunk_rows,
     )
     joined = queued.join(state.select("authority", "next_allowed", "warm_until"), "authority", "left")
 

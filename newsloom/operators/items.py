@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.dates import rfc3339
 from newsloom.functions.values import error_object
-from newsloom.operators.ranking import keep_first, newest_first, position_in_group, top_per_group
+from newsloom.operators.ranking import CHUNK_ROWS, keep_first, newest_first, position_in_group, top_per_group
 from newsloom.schemas import ITEM
 
 ITEM_COLUMNS = ITEM.fieldNames()
@@ -60,16 +60,10 @@ def in_request_order(feeds: DataFrame) -> DataFrame:
     return feeds.orderBy("request_pos")
 
 
-def item_positions(
-    items: DataFrame, chunk_seconds: int = 86_400, chunk_rows: int = 100_000, name: str = "item_pos"
-) -> DataFrame:
+def item_positions(items: DataFrame, chunk_rows: int = CHUNK_ROWS, name: str = "item_pos") -> DataFrame:
     """Newest-first position of every item in its feed, without gathering a feed in one task."""
-    day = F.floor(F.unix_seconds("ts") / chunk_seconds)
-    # Dated chunks run newest to oldest on negative numbers, undated ones follow by position.
-    chunk = F.when(F.col("ts").isNotNull(), -day).otherwise(
-        F.lit(1 << 40) + F.floor(F.col("pos") / chunk_rows)
-    )
-    return position_in_group(items, ["feed_url"], chunk, newest_first("pos"), name)
+    rank = [F.col("ts").isNull(), -F.unix_micros("ts"), F.col("pos")]
+    return position_in_group(items, ["feed_url"], rank, name, chunk_rows)
 
 
 def item_keys(items: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.errors import UsageError
 from newsloom.operators import discovery, hosts, items, seeds, snapshots
-from newsloom.operators.ranking import top_per_group
+from newsloom.operators.ranking import top_per_group, with_chunks
 from newsloom.sources import tables
 
 T0 = datetime(2026, 1, 1)
@@ -62,7 +62,7 @@ def test_newest_n_prunes_before_the_shuffle(skewed):
 def test_item_positions(skewed):
     rows, df = skewed
     want = {(r[0], r[1]): i + 1 for g in by_feed(rows).values() for i, r in enumerate(newest_first(g))}
-    got = items.item_positions(df, chunk_seconds=3600, chunk_rows=100).collect()
+    got = items.item_positions(df, chunk_rows=100).collect()
     assert {(r.feed_url, r.pos): r.item_pos for r in got} == want
 
 
@@ -162,15 +162,45 @@ def fetch_log():
 def test_streaks_and_cooldowns(spark, fetch_log):
     state, streaks = simulate(fetch_log)
     df = spark.createDataFrame(fetch_log, LOG)
-    got = hosts.throttle_streaks(df, ("ts", "n"), chunk_seconds=1800).collect()
+    got = hosts.throttle_streaks(df, ("ts", "n"), chunk_rows=50).collect()
     assert {(r.authority, r.n): r.streak for r in got} == streaks
     assert max(streaks.values()) > 10  # streaks do run across chunks
-    cooled = {r.authority: r for r in hosts.host_cooldowns(df, ("ts", "n"), chunk_seconds=1800).collect()}
+    cooled = {r.authority: r for r in hosts.host_cooldowns(df, ("ts", "n"), chunk_rows=50).collect()}
     for host, want in state.items():
         r = cooled[host]
         assert (r.streak, r.next_allowed, r.warm_until) == (want["streak"], want["next"], want["warm"]), host
 
 
+@pytest.mark.parametrize("spread_over", [1, 60, 40 * 86_400])
+def test_chunks_of_one_host_hold_about_equal_row_counts(spark, spread_over):
+    """All rows in one second, in one minute, or most of them in the last of forty days."""
+    rng = random.Random(3)
+    rows = [("one:443", at(int(spread_over * rng.random() ** 0.02)), rng.choice([429, 200]), None, n) for n in range(8000)]
+    rows += [(f"h{n % 50}:443", at(n), 429, None, n) for n in range(500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, LOG).repartition(5)
+    chunked, is_cut = with_chunks(df, ["authority"], [F.unix_micros("ts"), F.col("n")], 400)
+    sizes = sorted(r["count"] for r in chunked.where("authority = 'one:443'").groupBy("_chunk").count().collect())
+    assert is_cut and 14 <= len(sizes) <= 30 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    small = chunked.where("authority <> 'one:443'").select("_chunk").distinct().collect()
+    assert [r._chunk for r in small] == [0]
+    last, first = F.max(F.struct("ts", "n")).alias("last"), F.min(F.struct("ts", "n")).alias("first")
+    ends = chunked.where("authority = 'one:443'").groupBy("_chunk").agg(first, last).orderBy("_chunk").collect()
+    assert all(a["last"] < b["first"] for a, b in zip(ends, ends[1:]))
+    got = hosts.throttle_streaks(df, ("ts", "n"), chunk_rows=400).collect()
+    _, streaks = simulate(sorted(rows, key=lambda r: (r[1], r[4])))
+    assert {(r.authority, r.n): r.streak for r in got} == streaks
+
+
+def test_small_groups_take_one_shuffle_and_null_keys_stay(spark):
+    rows = [(None if n % 3 == 0 else f"h{n % 2}", at(n), 429, None, n) for n in range(60)]
+    df = spark.createDataFrame(rows, LOG)
+    got = hosts.throttle_streaks(df, ("ts", "n"))
+    assert got.count() == 60 and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    cut = hosts.throttle_streaks(df, ("ts", "n"), chunk_rows=8)
+    assert sorted((r.n, r.streak) for r in cut.collect()) == sorted((r.n, r.streak) for r in got.collect())
+
+
 def test_cooldowns_resume_from_state(spark, fetch_log):
     df = spark.createDataFrame(fetch_log, LOG)
     whole = sorted(hosts.host_cooldowns(df, ("ts", "n")).collect())
