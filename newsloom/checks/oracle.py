@@ -9,8 +9,12 @@ from __future__ import annotations
 import re
 from html.entities import name2codepoint
 
-from newsloom.functions import text
-from newsloom.functions.base import UNICODE_SPACE
+# Fixed values, stated here again so that the SQL does not follow the library: white space, and block elements.
+UNICODE_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLOCKS = (
+    "p|div|section|article|header|footer|main|aside|nav|figure|figcaption|table|thead|tbody|tr|ul|ol|dl|dt|dd|form|"
+    "fieldset|address|details|summary|blockquote|pre|h1|h2|h3|h4|h5|h6|html|body"
+)
 
 HEX16 = "substr(sha256({}), 1, 16)"
 RFC = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
@@ -196,7 +200,7 @@ _LAYOUT = [
     (r"(?i)</?br\b[^>]*>", "\n"),
     (r"(?i)<li\b[^>]*>", "\n* "),
     (r"(?i)</?t[dh]\b[^>]*>", " "),
-    (rf"(?i)</?(?:{'|'.join(text.BLOCK_TAGS)})\b[^>]*>", "\n\n"),
+    (rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n\n"),
     (r"</?[A-Za-z!][^>]*(?:>|\z)", ""),
 ]
 _TIDY = [(r"  +", " "), (r" *\n *", "\n"), (r"\n\n+", "\n\n"), (r"^[\n ]+|[\n ]+\z", "")]
@@ -718,3 +722,19 @@ ORACLE["item_positions_one_feed"] = with_(
     EVENT_ITEMS,
     "SELECT event_id, row_number() OVER (ORDER BY date_trunc('day', ts) DESC NULLS LAST, event_id) AS item_pos FROM ev",
 )
+ORACLE["nested_markdown"] = """
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+t AS (SELECT doc_id, source, i, trim(regexp_replace(raw, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS line FROM l),
+p AS (
+  SELECT doc_id, source, i, '> ' || i || '.' || CASE WHEN line = '' THEN '' ELSE ' ' || line END || chr(10) ||
+    '> ' || repeat(' ', length(i || '. ')) || '* n' || i AS part FROM t)
+SELECT doc_id, '> ' || chr(57344) || any_value(source) || chr(10) || '>' || chr(10) || string_agg(part, chr(10) ORDER BY i) AS content FROM p GROUP BY doc_id"""
+ORACLE["fetch_warnings"] = with_(
+    LINES
+    + """,
+g AS (SELECT doc_id AS request_pos, feed_url, any_value(lang) AS lang, count(*) AS n, count(ts) AS dated,
+    count(*) FILTER (lang = 'fr' AND regexp_matches(line, '[\\p{L}\\p{N}]')) AS fb FROM lines GROUP BY ALL)""",
+    f"""SELECT request_pos, feed_url, 'CONTENT_EXTRACTION_FALLBACK' AS code, {_FELL_BACK.format('fb')} AS message FROM g WHERE fb > 0
+UNION ALL SELECT request_pos, feed_url, 'UNDATED_ITEMS', {_UNDATED.format('n')} FROM g WHERE dated = 0""",
+)

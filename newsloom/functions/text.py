@@ -118,11 +118,16 @@ BLOCK_TAGS = (
     "ul ol dl dt dd form fieldset address details summary blockquote pre h1 h2 h3 h4 h5 h6 html body"
 ).split()
 
-# Private-use stand-ins that carry structure through the flat text.
-_HELD_NEWLINE, _HELD_SPACE = "\ue000", "\ue001"
-_QUOTE_OPEN, _QUOTE_CLOSE = "\ue002", "\ue003"
-_LINK_OPEN, _LINK_TEXT, _LINK_CLOSE = "\ue004", "\ue005", "\ue006"
-_MARK = "\ue00f"
+# Elements that nest: lists, their items, quotes and preformatted blocks.
+_NESTING = r"(?i)</?(?:ul|ol|li|blockquote|pre)\b[^>]*(?:>|\z)"
+# Of these, all but flat bullet lists need to know what they stand in: an item is flat without blocks of its own.
+_FLAT = "li|ul|" + "|".join(t for t in BLOCK_TAGS if t not in ("ul", "blockquote", "pre", "ol"))
+_NEEDS_STACK = (
+    r"(?i)<(?:ol|blockquote|pre)\b"
+    rf"|<li\b[^>]*+>(?:[^<]++|<(?!/?(?:{_FLAT})\b))*+<(?!li\b|/li\b|/ul\b)"
+)
+# Least room for words beside the indent of a nested block of text; with less the conversion fails.
+LEAST_WIDTH = 3
 
 
 def _text_tags() -> dict[str, str]:
@@ -136,8 +141,7 @@ def _markdown_tags() -> dict[str, str]:
     printed |= {f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)}
     for mark, tags in {"**": ("b", "strong"), "*": ("i", "em"), "`": ("code",)}.items():
         printed |= {name: mark for tag in tags for name in (tag, "/" + tag)}
-    printed |= {"hr": "\n\n* * *\n\n", "pre": "\n\n```\n", "/pre": "\n```\n\n", "/a": _LINK_CLOSE}
-    printed |= {"blockquote": "\n\n" + _QUOTE_OPEN, "/blockquote": _QUOTE_CLOSE + "\n\n"}
+    printed |= {"hr": "\n\n* * *\n\n"}
     return printed
 
 
@@ -151,13 +155,6 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
 
 
-def _link_open(tag: Column) -> Column:
-    has_target = tag.rlike(rf"(?is)^<a\b[^>]*?\shref{_ATTR}")
-    return F.when(
-        has_target, F.concat(F.lit(_LINK_OPEN), _attribute(tag, "href"), F.lit(_LINK_TEXT))
-    ).otherwise(F.lit(""))
-
-
 def _image(tag: Column) -> Column:
     shown = F.concat(
         F.lit("!["), _attribute(tag, "alt"), F.lit("]("), _attribute(tag, "src"), F.lit(")")
@@ -173,7 +170,7 @@ def _print_tags(html: Column, printed: dict[str, str], markdown: bool) -> Column
             plain = F.coalesce(_table(printed)[name], F.lit(""))
             if not markdown:
                 return plain
-            return F.when(name == "a", _link_open(token)).when(name == "img", _image(token)).otherwise(plain)
+            return F.when(name == "img", _image(token)).otherwise(plain)
 
         is_tag = token.startswith("<") & (F.length(token) > 1)
         return F.when(is_tag, bind(F.lower(F.regexp_extract(token, _TAG_NAME, 1)), by_name)).otherwise(token)
@@ -183,125 +180,183 @@ def _print_tags(html: Column, printed: dict[str, str], markdown: bool) -> Column
     )
 
 
-def _per_block(text: Column, tag: str, convert) -> Column:
-    """Apply ``convert`` to each (non-nested) element ``tag``; texts without it pass unchanged."""
-    block = rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"
+def _tidy(text: Column) -> Column:
+    text = replace_all(text, r"  +", " ")
+    text = replace_all(text, r" ?\n ?", "\n")
+    text = replace_all(text, r"\n\n\n+", "\n\n")
+    return replace_all(text, r"^[\n ]+|[\n ]+\z", "")
 
-    def split(v: Column) -> Column:
-        marked = F.regexp_replace(v, F.lit(block), F.lit(f"{_MARK}$1{_MARK}"))
-        return F.array_join(
-            F.transform(
-                F.split(marked, _MARK),
-                lambda part: F.when(part.rlike(rf"(?i)^<{tag}\b"), convert(part)).otherwise(part),
-            ),
-            "",
-        )
 
-    return bind(text, lambda v: F.when(v.rlike(rf"(?i)<{tag}\b"), split(v)).otherwise(v))
+def _wrap(text: Column, width: Column) -> Column:
+    pattern = F.concat(F.lit(r"([^\n]{1,"), F.greatest(width, F.lit(1)).cast("string"), F.lit(r"})(?: +|\n|\z)"))
+    return replace_all(F.regexp_replace(text, pattern, F.lit("$1\n")), r"\n+\z", "")
 
 
-def _hold_pre(text: Column) -> Column:
-    """Keep line breaks and blanks of preformatted blocks through the white-space squeeze."""
+def _links(html: Column) -> Column:
+    """Anchors with a target and an end as ``[text](target)``; the inner one of nested anchors counts."""
+    whole = rf"(?is)<a\b[^>]*?\shref{_ATTR}[^>]*>((?:[^<]++|<(?!/?a\b))*+)</a\s*>"
+    return bind(html, lambda v: F.when(v.rlike(r"(?i)<a\b"), replace_all(v, whole, "[$4]($1$2$3)")).otherwise(v))
 
-    def hold(part: Column) -> Column:
-        plain = replace_all(part, r"(?i)</?code\b[^>]*>", "")
-        plain = replace_all(plain, r"\r\n?|\n", _HELD_NEWLINE)
-        inner = replace_all(plain, r"(?is)^<pre\b[^>]*>|</pre\s*>\z", "")
-        return F.concat(F.lit("<pre>"), F.translate(inner, " ", _HELD_SPACE), F.lit("</pre>"))
 
-    return _per_block(text, "pre", hold)
+def _flow(html: Column, markdown: bool) -> Column:
+    """Text outside preformatted blocks: white space squeezed, tags printed, entities decoded."""
+    printed = _print_tags(replace_all(html, _SPACES, " "), _markdown_tags() if markdown else _text_tags(), markdown)
+    return _tidy(unescape_entities(printed))
 
 
-def _number_lists(text: Column) -> Column:
-    def number(part: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                F.split(part, r"(?i)<li\b[^>]*>"),
-                lambda piece, i: F.when(i == 0, piece).otherwise(
-                    F.concat(F.lit("\n"), i.cast("string"), F.lit(". "), piece)
-                ),
-            ),
-            "",
-        )
+def _preformatted(html: Column) -> Column:
+    lines = replace_all(replace_all(html, r"\r\n?", "\n"), r"^\n", "")
+    return replace_all(unescape_entities(_print_tags(lines, {"br": "\n"}, False)), r"\n+\z", "")
 
-    return _per_block(text, "ol", number)
 
+_OPEN = "array<struct<kind:string,n:int,pad:string>>"
 
-def _tidy(text: Column) -> Column:
-    text = replace_all(text, r"  +", " ")
-    text = replace_all(text, r" ?\n ?", "\n")
-    text = replace_all(text, r"\n\n\n+", "\n\n")
-    return replace_all(text, r"^[\n ]+|[\n ]+\z", "")
 
+def _element(kind: Column | str, pad: Column | str, n: Column | int = 0) -> Column:
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(lit(kind).alias("kind"), lit(n).cast("int").alias("n"), lit(pad).alias("pad"))
 
-def _wrap(text: Column) -> Column:
-    lines = replace_all(text, rf"([^\n]{{1,{TEXT_WIDTH}}})(?: +|\n|\z)", "$1\n")
-    return replace_all(lines, r"\n+\z", "")
 
+def _last(kinds: Column, kind: Column | str) -> Column:
+    """Place of the last element of a kind, from 1; 0 without one."""
+    back = F.array_position(F.reverse(kinds), kind).cast("int")
+    return F.when(back > 0, F.size(kinds) - back + 1).otherwise(0)
 
-def _links(text: Column) -> Column:
-    """Marked links to ``[text](target)``; marks without a partner are dropped."""
-    whole = f"{_LINK_OPEN}([^{_LINK_TEXT}]*){_LINK_TEXT}([^{_LINK_OPEN}{_LINK_CLOSE}]*){_LINK_CLOSE}"
-    stray = f"{_LINK_OPEN}[^{_LINK_TEXT}]*{_LINK_TEXT}|{_LINK_CLOSE}"
-    return bind(
-        text,
-        lambda v: F.when(
-            v.contains(_LINK_CLOSE) | v.contains(_LINK_OPEN),
-            replace_all(replace_all(v, whole, "[$2]($1)"), stray, ""),
-        ).otherwise(v),
-    )
 
+def _prefix(stack: Column) -> Column:
+    """What stands before a line inside the open elements."""
+    return F.array_join(F.transform(stack, lambda e: e["pad"]), "")
 
-def _prefix_quotes(text: Column) -> Column:
-    def prefix(part: Column) -> Column:
-        inner = replace_all(part, f"[{_QUOTE_OPEN}{_QUOTE_CLOSE}]", "")
-        inner = replace_all(inner, r"^[\n ]+|[\n ]+\z", "")
-        return F.concat(F.lit("> "), replace_all(inner, r"\n", "\n> "))
-
-    def split(v: Column) -> Column:
-        quote_block = f"({_QUOTE_OPEN}[^{_QUOTE_OPEN}{_QUOTE_CLOSE}]*{_QUOTE_CLOSE})"
-        marked = F.regexp_replace(v, F.lit(quote_block), F.lit(f"{_MARK}$1{_MARK}"))
-        joined = F.array_join(
-            F.transform(
-                F.split(marked, _MARK),
-                lambda p: F.when(p.startswith(_QUOTE_OPEN) & p.endswith(_QUOTE_CLOSE), prefix(p)).otherwise(p),
-            ),
-            "",
-        )
-        return replace_all(joined, f"[{_QUOTE_OPEN}{_QUOTE_CLOSE}]", "")
 
-    return bind(text, lambda v: F.when(v.contains(_QUOTE_OPEN), split(v)).otherwise(v))
+def _after_tag(stack: Column, name: Column, markdown: bool) -> Column:
+    """``struct(stack, shared, first)`` after a nesting tag: the open elements, those also open on the other
+    side of the tag, and the text before the first line that follows."""
+    kinds = F.transform(stack, lambda e: e["kind"])
+    kind = F.ltrim(name, F.lit("/"))
+    quote = "> " if markdown else ""
+
+    def result(now: Column, shared: Column, first: Column) -> Column:
+        return F.struct(now.alias("stack"), shared.alias("shared"), first.alias("first"))
+
+    def closed() -> Column:  # through the innermost one of that kind; a stray end tag closes nothing
+        at = _last(kinds, kind)
+        return bind(F.when(at > 0, F.slice(stack, F.lit(1), at - 1)).otherwise(stack), lambda left: result(left, left, _prefix(left)))
+
+    def list_item() -> Column:
+        item, in_list = _last(kinds, "li"), F.greatest(_last(kinds, "ul"), _last(kinds, "ol"))
+        # An item ends the one before it in the same list.
+        left = F.when(item > in_list, F.slice(stack, F.lit(1), item - 1)).otherwise(stack)
+        counted = F.transform(left, lambda e, i: F.when(i + 1 == in_list, _element(e["kind"], e["pad"], e["n"] + 1)).otherwise(e))
+
+        def marked(own: Column) -> Column:
+            numbered = F.coalesce(F.get(own, in_list - 1)["kind"] == "ol", F.lit(False))
+            marker = F.when(numbered, F.concat(F.get(own, in_list - 1)["n"].cast("string"), F.lit(". "))).otherwise(F.lit("* "))
+            inner = F.concat(own, F.array(_element("li", F.repeat(F.lit(" "), F.length(marker)))))
+            return result(inner, own, F.concat(_prefix(own), marker))
 
+        return bind(counted, marked)
 
-def _flatten(html: Column, markdown: bool) -> Column:
+    def opened() -> Column:
+        pad = F.when(kind == "blockquote", F.lit(quote)).otherwise(F.lit(""))
+        return bind(F.concat(stack, F.array(_element(kind, pad))), lambda now: result(now, stack, _prefix(now)))
+
+    return F.when(name.startswith("/"), closed()).when(name == "li", list_item()).otherwise(opened())
+
+
+def _nested(html: Column, markdown: bool) -> Column:
+    """A text with nesting tags: one fold over them keeps the open elements, so that lists are numbered and
+    indented and quotes marked at any depth. Null if text has no room beside its indent."""
+    tags = F.regexp_extract_all(html, F.lit(_NESTING), F.lit(0))
+    texts = F.split(html, _NESTING)
+    state = f"struct<stack:{_OPEN},out:array<string>,blank:boolean,gap:string,failed:boolean>"
+
+    def state_of(stack: Column, out: Column, blank: Column, gap: Column, failed: Column) -> Column:
+        return F.struct(
+            stack.alias("stack"), out.alias("out"), blank.alias("blank"), gap.alias("gap"), failed.alias("failed")
+        ).cast(state)
+
+    def step(s: Column, part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part["tag"], _TAG_NAME, 1))
+        kind = F.ltrim(name, F.lit("/"))
+
+        def show(t: Column) -> Column:
+            raw = F.exists(t["stack"], lambda e: e["kind"] == "pre")
+            prefix = _prefix(t["stack"])
+            room = F.lit(TEXT_WIDTH) - F.length(prefix)
+            flow = _flow(part["text"], markdown)
+            fenced = lambda v: F.concat(F.lit("```\n"), v, F.lit("\n```")) if markdown else v
+            block = bind(_preformatted(part["text"]), lambda v: F.when(v == "", v).otherwise(fenced(v)))
+            shown = F.when(raw, block).otherwise(flow if markdown else _wrap(flow, room))
+            in_item = F.exists(t["shared"], lambda e: e["kind"] == "li")
+            apart = kind.isin("blockquote", "pre") | (kind.isin("ul", "ol") & ~in_item)
+
+            def put(v: Column) -> Column:
+                gap = F.coalesce(F.when(F.length(_prefix(t["shared"])) < F.length(s["gap"]), _prefix(t["shared"])), s["gap"], _prefix(t["shared"]))
+                blank = s["blank"] | apart
+                starts = name == "li"
+                begin = F.concat(F.lit("\n"), prefix)
+                empty = F.concat(F.lit("\n"), F.rtrim(prefix), F.lit("\n"))
+                lines = F.replace(F.replace(v, F.lit("\n"), begin), F.concat(begin, F.lit("\n")), empty)
+                lines = F.rtrim(F.concat(t["first"], lines))
+                between = (
+                    F.when(F.size(s["out"]) == 0, F.lit(""))
+                    .when(blank, F.concat(F.lit("\n"), F.rtrim(gap), F.lit("\n")))
+                    .otherwise(F.lit("\n"))
+                )
+                tight = F.lit(False) if markdown else ((v != "") & ~raw & (room < LEAST_WIDTH))
+                said = state_of(
+                    t["stack"], F.concat(s["out"], F.array(F.concat(between, lines))), F.lit(False), F.lit(None).cast("string"), s["failed"] | tight
+                )
+                return F.when((v != "") | starts, said).otherwise(state_of(t["stack"], s["out"], blank, gap, s["failed"]))
+
+            return bind(shown, put)
+
+        return bind(_after_tag(s["stack"], name, markdown), show)
+
+    first = _flow(F.get(texts, F.lit(0)), markdown)
+    first = first if markdown else _wrap(first, F.lit(TEXT_WIDTH))
+    start = bind(
+        first,
+        lambda v: state_of(
+            F.array(), F.when(v == "", F.array().cast("array<string>")).otherwise(F.array(v)), F.lit(False), F.lit(None).cast("string"), F.lit(False)
+        ),
+    )
+    parts = F.zip_with(tags, F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))), lambda t, x: F.struct(t.alias("tag"), x.alias("text")))
+    return F.aggregate(
+        parts, start, step, lambda s: F.when(~s["failed"], F.array_join(s["out"], ""))
+    )
+
+
+def _convert(html: Column, markdown: bool) -> Column:
     """Tags printed, entities decoded, white space tidied; plain text only gets the last part."""
 
-    def convert(v: Column) -> Column:
-        squeezed = replace_all(replace_all(_hold_pre(v), _UNSEEN, ""), _SPACES, " ")
-        printed = _markdown_tags() if markdown else _text_tags()
-        shown = _print_tags(_number_lists(squeezed), printed, markdown)
-        return _tidy(unescape_entities(_links(shown) if markdown else shown))
+    def marked_up(v: Column) -> Column:
+        seen = replace_all(v, _UNSEEN, "")
+        flow = _flow if markdown else lambda x, m: _wrap(_flow(x, m), F.lit(TEXT_WIDTH))
+        return bind(
+            _links(seen) if markdown else seen,
+            lambda x: F.when(x.rlike(_NEEDS_STACK), _nested(x, markdown)).otherwise(flow(x, markdown)),
+        )
 
     def plain(v: Column) -> Column:
-        return F.trim(replace_all(v, _SPACES, " "))
+        squeezed = F.trim(replace_all(v, _SPACES, " "))
+        return squeezed if markdown else _wrap(squeezed, F.lit(TEXT_WIDTH))
 
     return bind(
-        html, lambda v: F.when(v.contains("<") | v.contains("&"), convert(v)).otherwise(plain(v))
+        html, lambda v: F.when(v.contains("<") | v.contains("&"), marked_up(v)).otherwise(plain(v))
     )
 
 
 @per_session
 def to_text(html: ColumnOrName) -> Column:
-    """Readable plain text, wrapped at 80 characters."""
-    return F.translate(_wrap(_flatten(col(html), False)), _HELD_NEWLINE + _HELD_SPACE, "\n ")
+    """Readable plain text, wrapped at 80 characters; null if nesting leaves no room for words."""
+    return _convert(col(html), False)
 
 
 @per_session
 def to_markdown(html: ColumnOrName) -> Column:
-    """Markdown with headings, emphasis, links, images, lists, quotes and code."""
-    return F.translate(
-        _prefix_quotes(_flatten(col(html), True)), _HELD_NEWLINE + _HELD_SPACE, "\n "
-    )
+    """Markdown with headings, emphasis, links, images, nested lists and quotes, and code."""
+    return _convert(col(html), True)
 
 
 @per_session
@@ -312,12 +367,27 @@ def content_source(content: ColumnOrName, summary: ColumnOrName) -> Column:
     )
 
 
+def _letters(text: Column) -> Column:
+    return F.length(replace_all(text, r"[^\p{L}\p{N}]+", ""))
+
+
+def _lost_text(html: Column, converted: Column) -> Column:
+    """Whether a conversion kept under half of the letters between the tags. Scripts, styles, comments and
+    document titles are not text."""
+    # No text has more letters than its source has characters, which settles most bodies.
+    beside = r"(?is)<!--.*?-->|<(script|style|title)\b[^>]*>.*?</\1\s*>"
+    kept = _letters(converted) * 2
+    return html.contains("<") & bind(
+        kept, lambda k: (k < F.length(html)) & (k < _letters(strip_tags(replace_all(html, beside, " "))))
+    )
+
+
 @per_session
 def extract_content(html: ColumnOrName, content_format: str) -> Column:
     """``struct(content, fell_back)`` of a body in the wanted format.
 
-    The format is a plan-time choice. A conversion that yields null for a present body falls back
-    to ``strip_tags`` and says so.
+    The format is a plan-time choice. A conversion that fails (no result for a present body, or one
+    that lost most of its text, such as a body put into ``head``) falls back to ``strip_tags`` and says so.
     """
     source = col(html)
     if content_format not in CONTENT_FORMATS:
@@ -327,10 +397,12 @@ def extract_content(html: ColumnOrName, content_format: str) -> Column:
     if content_format == "html":
         return F.struct(source.alias("content"), F.lit(False).alias("fell_back"))
     converted = to_markdown(source) if content_format == "markdown" else to_text(source)
-    return bind(
-        converted,
-        lambda v: F.struct(
-            F.coalesce(v, strip_tags(source)).alias("content"),
-            (v.isNull() & source.isNotNull()).alias("fell_back"),
-        ),
-    )
+
+    def checked(v: Column) -> Column:
+        failed = source.isNotNull() & F.coalesce(_lost_text(source, v), F.lit(True))
+        return bind(
+            failed,
+            lambda bad: F.struct(F.when(bad, strip_tags(source)).otherwise(v).alias("content"), bad.alias("fell_back")),
+        )
+
+    return bind(converted, checked)

@@ -83,6 +83,24 @@ HTML_CASES = [
     ("1 < 2  and\n3", "1 < 2 and 3", "1 < 2 and 3"),
     ("plain   text\n here", "plain text here", "plain text here"),
     ("<a href='x'>unclosed", "unclosed", "unclosed"),
+    ("<a href=u><b>x</b> <a href=v>y</a></a>", "**x** [y](v)", "x y"),
+    ("a\ue000b<p>c\ue002d\ue00f", "a\ue000b\n\nc\ue002d\ue00f", "a\ue000b\n\nc\ue002d\ue00f"),
+    (
+        "<ol><li>a<ul><li>b</li><li>c<ol><li>d</ol></ul></li><li>e</ol>f",
+        "1. a\n   * b\n   * c\n     1. d\n2. e\n\nf",
+        "1. a\n   * b\n   * c\n     1. d\n2. e\n\nf",
+    ),
+    ("<ol><li>a</ol><ol><li>b</ol>", "1. a\n\n1. b", "1. a\n\n1. b"),
+    (
+        "<blockquote>a<blockquote>b<br>c</blockquote>d</blockquote>e",
+        "> a\n>\n> > b\n> > c\n>\n> d\n\ne",
+        "a\n\nb\nc\n\nd\n\ne",
+    ),
+    ("<blockquote><ul><li>a<li>b</ul></blockquote>", "> * a\n> * b", "* a\n* b"),
+    ("<ul><li><p>a</p><p>b</p></li></ul>", "* a\n\n  b", "* a\n\n  b"),
+    ("<ol><li>x<pre>l\n  m &lt;\n</pre><li>y</ol>", "1. x\n\n   ```\n   l\n     m <\n   ```\n\n2. y", "1. x\n\n   l\n     m <\n\n2. y"),
+    ("</ul>a<li>b<li>c</blockquote>d", "a\n* b\n* c\n\nd", "a\n* b\n* c\n\nd"),
+    ("<ul><li></li></ul>z", "*\n\nz", "*\n\nz"),
 ]
 
 
@@ -99,6 +117,16 @@ def test_text_wraps_at_80(evaluate):
     assert wrapped.replace("\n", " ") == words
 
 
+def test_conversion_failures_fall_back(evaluate):
+    deep = "<ul><li>" * 45 + "deep word"
+    rows = [("<head><p>all the text</p></head>",), (deep,), ("<head><title>T</title></head><p>ok</p>",), ("<script>var a</script>",), (None,), ("",)]
+    got = evaluate(rows, "v string", text.extract_content("v", "text"))
+    assert [tuple(x) for x in got] == [("all the text", True), ("deep word", True), ("ok", False), ("", False), (None, False), ("", False)]
+    got = evaluate(rows, "v string", text.extract_content("v", "markdown"))
+    assert [x["fell_back"] for x in got] == [True, False, False, False, False, False]
+    assert got[1]["content"].endswith("  * deep word")
+
+
 def test_content_source_and_extraction(evaluate):
     rows = [("c", "s"), (" \u00a0\n", "s"), (None, "s"), (None, "  "), ("<b>c</b>", None)]
     source = text.content_source("c", "s")
