@@ -565,7 +565,7 @@ def ndjson_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tagged_records(spark: SparkSession, sf: str) -> DataFrame:
-    lines = records.tagged_records(_run(spark, sf), F.lit(STAMP))
+    lines = records.tagged_records(_run(spark, sf), F.lit(STAMP), warning_lines=False)
     field = lambda path: F.get_json_object("line", path)
     return lines.select(
         F.col("kind_rank").cast("bigint").alias("kind_rank"),

@@ -79,7 +79,11 @@ def find_items(items: DataFrame, keys: DataFrame, ties: tuple[str, ...] = ("pos"
     keys of each item are exploded so that the join is on equality.
     """
     wanted = keys.select("feed_url", "key").distinct()
-    hits = item_keys(items).join(wanted, ["feed_url", "key"])
+    return first_hits(item_keys(items).join(wanted, ["feed_url", "key"]), wanted, ties)
+
+
+def first_hits(hits: DataFrame, wanted: DataFrame, ties: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """The first of the ``hits`` on each of the ``wanted`` keys, or a ``NOT_FOUND`` error."""
     first = keep_first(hits, ["feed_url", "key"], newest_first(*ties))
     message = F.concat(
         F.lit("item '"), F.col("key"), F.lit("' not found in "), F.col("feed_url")

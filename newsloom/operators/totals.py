@@ -43,14 +43,6 @@ def run_totals(items: DataFrame) -> DataFrame:
     )
 
 
-def run_totals_from_feeds(feeds: DataFrame) -> DataFrame:
-    """The same totals from per-feed counts, which are already aggregated."""
-    return feeds.agg(
-        _total(F.col("item_count")).alias("total_items"),
-        _total(F.col("content_tokens_est_total")).alias("total_content_tokens_est"),
-    )
-
-
 def warnings_of(items: DataFrame) -> DataFrame:
     """``(feed_url, code, message)``: at most one warning of each code per feed."""
     counts = items.groupBy("feed_url").agg(
@@ -87,14 +79,6 @@ def warnings_from_counts(counts: DataFrame) -> DataFrame:
     )
 
 
-def warn_extraction_fallback(items: DataFrame) -> DataFrame:
-    return warnings_of(items).where(F.col("code") == "CONTENT_EXTRACTION_FALLBACK")
-
-
-def warn_undated(items: DataFrame) -> DataFrame:
-    return warnings_of(items).where(F.col("code") == "UNDATED_ITEMS")
-
-
 def truncation_marker(
     items: DataFrame, applied_limit: int | None = None, suggestion: str | None = None
 ) -> DataFrame:

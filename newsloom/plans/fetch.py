@@ -1,10 +1,10 @@
 """The main job: captured feed documents to items, feeds, warnings, errors and totals.
 
 A feed is one document, so everything about its items can be decided inside its row: the since
-filter, the newest-first order and the limit work on the parsed array before it is exploded. The
-job is therefore a single narrow stage (scan, parse once, select, explode, then links, ids and
-bodies for the survivors only), with no shuffle at all; only the totals shuffle, one partial row
-per feed. The same plan runs on a stream.
+filter, the newest-first order and the limit work on the parsed array before it is exploded, and so do the bodies
+and the totals over them. The job is therefore a single narrow stage (scan, parse once, select, bodies
+and totals of the survivors, explode, then links and ids), with no shuffle at all. The same plan runs
+on a stream.
 """
 
 from __future__ import annotations
@@ -77,10 +77,55 @@ def select_entries(entries: str, params: FeedParams) -> Column:
     return rows
 
 
+#: Columns of documents that their rows keep.
+CARRIED = ("fetched_at", "wanted")
+#: What the own row of a feed (position 0) knows of its items.
+FEED_COUNTS = ("n_items", "n_dated", "n_fell_back", "n_cut", "n_tokens")
+
+
+def with_bodies(rows: Column, params: FeedParams) -> Column:
+    """The selected entries with ``whole``, their body in the wanted format, and ``fell_back``."""
+
+    def one(row: Column) -> Column:
+        entry = row["entry"]
+        if params.content_format == "none":
+            source = F.lit(None).cast("string")
+        else:
+            source = content_source(entry["body"], entry["summary"])
+        kept = [row[f].alias(f) for f in ("undated", "age", "pos", "published", "updated", "entry")]
+        return bind(
+            bind(source, lambda s: extract_content(s, params.content_format)),
+            lambda x: F.struct(*kept, x["content"].alias("whole"), F.coalesce(x["fell_back"], F.lit(False)).alias("fell_back")),
+        )
+
+    return F.transform(rows, one)
+
+
+def counted(rows: Column, params: FeedParams) -> Column:
+    """``struct(rows, FEED_COUNTS)``: the entries of a feed and the totals over them."""
+    cut = params.max_content_chars
+    tokens = F.aggregate(
+        F.transform(rows, lambda r: estimate_tokens(truncate_chars(r["whole"], cut))), F.lit(0).cast("bigint"), lambda n, t: n + t
+    )
+
+    def n(test) -> Column:
+        return F.size(F.filter(rows, test)).cast("bigint")
+
+    counts = [
+        F.size(rows).cast("bigint"), n(lambda r: ~r["undated"]), n(lambda r: r["fell_back"]), n(lambda r: is_over(r["whole"], cut)), tokens,
+    ]
+    return F.struct(rows.alias("rows"), *[c.alias(name) for c, name in zip(counts, FEED_COUNTS, strict=True)])
+
+
+@per_session
+def _items(entries: str, params: FeedParams) -> Column:
+    return bind(with_bodies(select_entries(entries, params), params), lambda rows: counted(rows, params))
+
+
 def feed_records(documents: DataFrame, params: FeedParams) -> DataFrame:
     """Selected rows with instants: row 0 of a feed carries its status and error, the rest entries."""
     have = documents.columns
-    carried = [c for c in ("fetched_at",) if c in have]
+    carried = [c for c in CARRIED if c in have]
     fetch_error = F.col("fetch_error") if "fetch_error" in have else F.lit(None).cast(ERROR_DDL)
     parse_error = F.when(
         F.col("parse_error").isNotNull(),
@@ -97,23 +142,25 @@ def feed_records(documents: DataFrame, params: FeedParams) -> DataFrame:
         F.coalesce(fetch_error, parse_error).alias("error"),
         (F.col("status") if "status" in have else F.lit("ok")).alias("status"),
         (F.col("from_cache") if "from_cache" in have else F.lit(False)).alias("from_cache"),
-        F.concat(
-            F.array(
-                F.struct(
-                    F.lit(False).alias("undated"),
-                    F.lit(None).cast("bigint").alias("age"),
-                    F.lit(0).cast("bigint").alias("pos"),
-                    F.lit(None).cast("timestamp").alias("published"),
-                    _feed_updated().alias("updated"),
-                    F.col("feed").alias("entry"),
-                )
-            ),
-            select_entries("entries", params),
-        ).alias("_rows"),
+        _items("entries", params).alias("_items"),
+        _feed_updated().alias("_updated"),
+        F.col("feed").alias("_entry"),
+    )
+    own = F.struct(
+        F.lit(False).alias("undated"),
+        F.lit(None).cast("bigint").alias("age"),
+        F.lit(0).cast("bigint").alias("pos"),
+        F.lit(None).cast("timestamp").alias("published"),
+        F.col("_updated").alias("updated"),
+        F.col("_entry").alias("entry"),
+        F.lit(None).cast("string").alias("whole"),
+        F.lit(False).alias("fell_back"),
     )
     # The outer form keeps the optimizer from adding a size filter that would parse bodies twice.
     rows = parsed.select(
-        *[c for c in parsed.columns if c != "_rows"], F.explode_outer("_rows").alias("_r")
+        *[c for c in parsed.columns if not c.startswith("_")],
+        *[F.col("_items")[name].alias(name) for name in FEED_COUNTS],
+        F.explode_outer(F.concat(F.array(own), F.col("_items")["rows"])).alias("_r"),
     )
     is_feed = F.col("_r")["pos"] == 0
     failed = F.col("error").isNotNull()
@@ -126,10 +173,13 @@ def feed_records(documents: DataFrame, params: FeedParams) -> DataFrame:
         F.when(is_feed, F.col("error")).alias("error"),
         F.when(is_feed, F.when(failed, F.lit("error")).otherwise(F.col("status"))).alias("status"),
         F.when(is_feed, F.col("from_cache") & ~failed).alias("from_cache"),
+        *[F.when(is_feed, F.col(name)).alias(name) for name in FEED_COUNTS],
         *[
             entry[name].alias(name)
-            for name in ("title", "link", "guid", "authors", "categories", "summary", "body", "enclosures")
+            for name in ("title", "link", "guid", "authors", "categories", "summary", "enclosures")
         ],
+        F.col("_r")["whole"].alias("whole"),
+        F.col("_r")["fell_back"].alias("fell_back"),
         F.col("_r")["published"].alias("published"),
         F.col("_r")["updated"].alias("updated"),
         effective_ts(F.col("_r")["published"], F.col("_r")["updated"]).alias("ts"),
@@ -139,32 +189,20 @@ def feed_records(documents: DataFrame, params: FeedParams) -> DataFrame:
 def complete_records(records: DataFrame, params: FeedParams) -> DataFrame:
     """Permalink, identity and body columns. Row 0 keeps the raw site link and gets no identity."""
     is_item = F.col("pos") > 0
-    if params.content_format == "none":
-        source = F.lit(None).cast("string")
-    else:
-        source = content_source("body", "summary")
     linked = records.withColumns(
         {
             "url": F.when(is_item, resolve_or_keep("feed_url", "link")).otherwise(F.col("link")),
-            "_source": F.when(is_item, source),
+            "content_hash": content_hash("whole"),
         }
-    )
-    extracted = linked.withColumn("_x", extract_content("_source", params.content_format))
-    whole = F.col("_x")["content"]
-    sized = extracted.select(
-        *[c for c in extracted.columns if c not in ("_x", "_source", "link", "body")],
-        whole.alias("_whole"),
-        content_hash(whole).alias("content_hash"),
-        F.coalesce(F.col("_x")["fell_back"], F.lit(False)).alias("fell_back"),
-    )
+    ).drop("link")
     cut = params.max_content_chars
-    bodied = sized.withColumns(
+    bodied = linked.withColumns(
         {
             "_published": rfc3339("published"),
-            "content": truncate_chars("_whole", cut),
-            "content_truncated": is_over("_whole", cut),
+            "content": truncate_chars("whole", cut),
+            "content_truncated": is_over("whole", cut),
         }
-    ).drop("_whole")
+    ).drop("whole")
     return bodied.withColumns(
         {
             "content_tokens_est": estimate_tokens("content"),
@@ -198,7 +236,7 @@ class FeedRun:
 
     def items(self) -> DataFrame:
         """Item columns plus ``request_pos``, ``pos``, ``ts``, ``fell_back`` for ordering and warnings."""
-        carried = [c for c in ("fetched_at",) if c in self.rows.columns]
+        carried = [c for c in CARRIED if c in self.rows.columns]
         return self.rows.where(F.col("pos") > 0).select(
             *ITEM_COLUMNS, "request_pos", "pos", "ts", "fell_back", *carried
         )
@@ -206,39 +244,33 @@ class FeedRun:
     def feeds(self, **extra: Column) -> DataFrame:
         """One row per request: its description, error, totals and the counts warnings need.
 
-        ``extra`` aggregates over the feed's rows come along in the same pass.
+        All of that stands in the feed's own row, so nothing is grouped; only ``extra`` aggregates over the
+        feed's rows are.
         """
-        is_item = F.col("pos") > 0
-        head = F.struct("status", "from_cache", "title", "url", "updated", "error")
-        return (
-            self.rows.groupBy("request_pos", "feed_url")
-            .agg(
-                F.max_by(F.when(~is_item, head), F.when(~is_item, F.lit(1))).alias("_head"),
-                F.count_if(is_item).alias("item_count"),
-                F.coalesce(F.sum(F.when(is_item, F.col("content_tokens_est"))), F.lit(0))
-                .cast("bigint")
-                .alias("content_tokens_est_total"),
-                F.count_if(is_item & F.col("content_truncated")).alias("n_cut"),
-                F.count_if(is_item & F.col("fell_back")).alias("n_fell_back"),
-                F.count_if(is_item & F.col("ts").isNotNull()).alias("n_dated"),
+        own = self.rows.where(F.col("pos") == 0)
+        head = ["status", "from_cache", "title", "url", "updated", "error", *FEED_COUNTS]
+        if extra:
+            is_own = F.col("pos") == 0
+            own = self.rows.groupBy("request_pos", "feed_url").agg(
+                F.max_by(F.when(is_own, F.struct(*head)), F.when(is_own, F.lit(1))).alias("_head"),
                 *[aggregate.alias(name) for name, aggregate in extra.items()],
             )
-            .select(
-                "request_pos",
-                "feed_url",
-                F.col("_head")["status"].alias("status"),
-                F.col("_head")["from_cache"].alias("from_cache"),
-                F.col("_head")["title"].alias("title"),
-                F.col("_head")["url"].alias("site_url"),
-                rfc3339(F.col("_head")["updated"]).alias("updated"),
-                "item_count",
-                "content_tokens_est_total",
-                F.col("_head")["error"].alias("error"),
-                "n_cut",
-                "n_fell_back",
-                "n_dated",
-                *extra,
-            )
+            own = own.select("request_pos", "feed_url", "_head.*", *extra)
+        return own.select(
+            "request_pos",
+            "feed_url",
+            "status",
+            "from_cache",
+            "title",
+            F.col("url").alias("site_url"),
+            rfc3339("updated").alias("updated"),
+            F.col("n_items").alias("item_count"),
+            F.col("n_tokens").alias("content_tokens_est_total"),
+            "error",
+            "n_cut",
+            "n_fell_back",
+            "n_dated",
+            *extra,
         )
 
     def errors(self) -> DataFrame:

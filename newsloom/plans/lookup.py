@@ -4,19 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.operators.items import find_items
+from newsloom.functions.identity import content_hash
+from newsloom.functions.text import estimate_tokens, extract_content, is_over, truncate_chars
+from newsloom.operators.items import first_hits
 from newsloom.params import FeedParams
 from newsloom.plans.fetch import fetch
 
+#: Keys that travel with a snapshot; a feed asked for more of them is parsed once per so many.
+KEYS_PER_ROW = 1_000
+
+
+def _wanted_of_feeds(wanted: DataFrame) -> DataFrame:
+    """``(feed_url, wanted)``: the keys of each feed in arrays of about ``KEYS_PER_ROW`` at most."""
+    sizes = wanted.groupBy("feed_url").agg(F.ceil(F.count("*") / KEYS_PER_ROW).cast("int").alias("_slots"))
+    slot = F.pmod(F.xxhash64("key"), F.col("_slots"))
+    dealt = wanted.join(sizes, "feed_url").withColumn("_slot", slot)
+    return dealt.groupBy("feed_url", "_slot").agg(F.collect_list("key").alias("wanted")).drop("_slot")
+
 
 def show_items(
-    snapshots: DataFrame, keys: DataFrame, max_content_chars: int | None = None
+    snapshots: DataFrame, keys: DataFrame, max_content_chars: int | None = None, content_format: str = "markdown"
 ) -> DataFrame:
     """First matching item per ``keys(feed_url, key)``, from the snapshot bodies of those feeds.
 
-    Only the snapshots the keys name are parsed; no since filter and no limit apply.
+    Only the snapshots the keys name are parsed, each with its own keys beside it, so that items are
+    matched where they are parsed: the rest of a feed is neither shuffled nor converted. No since
+    filter and no limit apply.
     """
-    named = snapshots.join(keys.select("feed_url").distinct(), "feed_url", "left_semi")
-    documents = named.select(F.lit(0).cast("bigint").alias("request_pos"), "feed_url", "body")
-    run = fetch(documents, FeedParams(max_content_chars=max_content_chars))
-    return find_items(run.items(), keys)
+    params = FeedParams(max_content_chars=max_content_chars, content_format=content_format)
+    wanted = keys.select("feed_url", "key").distinct()
+    named = snapshots.join(_wanted_of_feeds(wanted), "feed_url")
+    documents = named.select(F.lit(0).cast("bigint").alias("request_pos"), "feed_url", "body", "wanted")
+    items = fetch(documents, FeedParams(content_format="html")).items()
+    own = F.array_intersect(F.array_compact(F.array("id", "guid", "url")), F.col("wanted"))
+    hits = items.withColumn("key", F.explode(own)).drop("wanted")
+    found = first_hits(hits, wanted)
+    bodied = found.withColumn("_x", extract_content("content", params.content_format))
+    whole = F.col("_x")["content"]
+    present = F.col("id").isNotNull()
+    shown = bodied.withColumns(
+        {
+            "content": truncate_chars(whole, max_content_chars),
+            "content_format": F.when(present, F.lit(params.content_format)),
+            "content_truncated": F.when(present, is_over(whole, max_content_chars)),
+            "content_hash": content_hash(whole),
+            "fell_back": F.when(present, F.coalesce(F.col("_x")["fell_back"], F.lit(False))),
+        }
+    )
+    shown = shown.withColumn("content_tokens_est", F.when(present, estimate_tokens("content")))
+    return shown.select("feed_url", "key", *[c for c in found.columns if c not in ("feed_url", "key")])
+
