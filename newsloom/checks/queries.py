@@ -16,7 +16,7 @@ from newsloom.plans.lookup import show_items
 from newsloom.schemas import check_contract, contract
 from newsloom.session import apply_runtime_conf, scratch_path, spread
 from newsloom.sinks import records, report
-from newsloom.sinks.tables import SnapshotTable
+from newsloom.sinks.tables import ChangeTable, SnapshotTable
 from newsloom.sources.feeds import parse_feeds
 from newsloom.sources.tables import opml_urls
 from newsloom.streaming import pipelines
@@ -681,10 +681,16 @@ def stream_unseen(spark: SparkSession, sf: str) -> DataFrame:
     return _to_parquet(fresh, "stream-unseen")
 
 
+def _changes_of(versions: DataFrame, label: str) -> DataFrame:
+    spark = versions.sparkSession
+    out = scratch_path(spark, label)
+    table = ChangeTable(spark, f"{out}/table")
+    pipelines.run_available(pipelines.stream_changes(versions, table, tie="event_id"), f"{out}/checkpoint")
+    return table.changes()
+
+
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
-    pipelines.use_rocksdb(spark)
-    changes = pipelines.stream_changes(_stream_versions(spark, sf), tie="event_id")
-    landed = _to_parquet(changes, "stream-changes")
+    landed = _changes_of(_stream_versions(spark, sf), "stream-changes")
     us = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return landed.select("feed_url", "id", "change", "content_hash", F.date_format("fetched_at", us).alias("fetched_at"))
 
@@ -709,7 +715,6 @@ def _events_in_slices(spark: SparkSession, sf: str, unit: str) -> DataFrame:
 
 def stream_changes_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Changes over several batches whose rows share times across the cuts."""
-    pipelines.use_rocksdb(spark)
     tables = _StreamTables(spark, events=_events_in_slices(spark, sf, "day"))
     versions = fx.table(tables, sf, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed_url"),
@@ -718,7 +723,7 @@ def stream_changes_ties(spark: SparkSession, sf: str) -> DataFrame:
         "event_id",
         F.when(F.col("value") > 5, F.lit("long")).otherwise(F.lit("short")).alias("content_hash"),
     )
-    landed = _to_parquet(pipelines.stream_changes(versions, tie="event_id"), "stream-changes-ties")
+    landed = _changes_of(versions, "stream-changes-ties")
     return landed.groupBy("feed_url", "id", "change", "content_hash", F.date_format("fetched_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 

@@ -41,32 +41,87 @@ def drop_below(spark: SparkSession, path: str, prefix: str, version: int) -> Non
             fs.delete(status.getPath(), True)
 
 
-class VersionedTable:
-    """A small table rewritten as a whole for each version; the newest two are kept."""
+class KeyedTable:
+    """The latest row per key: a base plus one delta per version, merged when read.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+    A version only writes the rows it brings, never the whole table. Every ``compact_every`` versions a new
+    base is written; what the base before it had made superfluous goes then (not what this one does, for
+    readers that are still at it and for batches that are repeated).
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema: str, keys: list[str], order: list[str], compact_every: int = 20
+    ) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
+        self.keys = keys
+        self.order = order
+        self.compact_every = compact_every
 
-    def _directory(self, version: int) -> str:
-        return f"{self.path}/v{version:012d}"
+    def _directory(self, kind: str, version: int) -> str:
+        return f"{self.path}/{kind}{version:012d}"
 
     def versions(self) -> list[int]:
-        return committed(self.spark, self.path, "v")
+        return sorted({v for kind in ("base", "delta") for v in committed(self.spark, self.path, kind)})
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        """One row per key, the last in order; map tasks send one row per key."""
+        names = column_names(self.schema)
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*names), F.struct(*self.order)).alias("_last"))
+        return last.select("_last.*")
 
     def read(self, before: int | None = None) -> DataFrame | None:
-        """The newest version, or the newest one before a given version; None if there is none."""
-        usable = [v for v in self.versions() if before is None or v < before]
-        if not usable:
+        """The merged table, or as it was before a version; None if it was empty."""
+
+        def usable(kind: str) -> list[int]:
+            return [v for v in committed(self.spark, self.path, kind) if before is None or v < before]
+
+        base = (usable("base") or [None])[-1]
+        paths = [self._directory("delta", v) for v in usable("delta") if base is None or v > base]
+        paths += [] if base is None else [self._directory("base", base)]
+        if not paths:
             return None
-        return self.spark.read.schema(self.schema).parquet(self._directory(usable[-1]))
+        return self._latest(self.spark.read.schema(self.schema).parquet(*paths))
+
+    def write(self, rows: DataFrame, version: int) -> None:
+        """Store the rows of a version; any of its keys' earlier rows no longer count."""
+        rows.select(*column_names(self.schema)).write.mode("overwrite").parquet(self._directory("delta", version))
+        if version % self.compact_every == 0:
+            self.compact(version)
+
+    def compact(self, version: int) -> None:
+        """Write the table after ``version`` as a new base."""
+        merged = self.read(version + 1)
+        if merged is None or version in committed(self.spark, self.path, "base"):
+            return
+        before = [v for v in committed(self.spark, self.path, "base") if v < version]
+        merged.write.mode("overwrite").parquet(self._directory("base", version))
+        if before:
+            drop_below(self.spark, self.path, "base", before[-1])
+            drop_below(self.spark, self.path, "delta", before[-1] + 1)
+
+
+class ChangeTable:
+    """Changes of items, one directory per version, and the last version of each item."""
+
+    LAST = "feed_url string, id string, at_us bigint, tie bigint, content_hash string"
+    CHANGES = "feed_url string, id string, fetched_at timestamp, change string, content_hash string"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.last = KeyedTable(spark, f"{self.path}/last", self.LAST, ["feed_url", "id"], ["at_us", "tie", "content_hash"])
+
+    def directory(self, version: int) -> str:
+        return f"{self.path}/changes/v{version:012d}"
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(*column_names(self.schema)).write.mode("overwrite").parquet(self._directory(version))
-        # The one before stays: a repeated batch starts from it, and readers may still be at it.
-        kept = [v for v in self.versions() if v <= version][-2:]
-        drop_below(self.spark, self.path, "v", kept[0])
+    def changes(self) -> DataFrame:
+        """All changes of committed versions."""
+        versions = committed(self.spark, f"{self.path}/changes", "v")
+        if not versions:
+            return self.spark.createDataFrame([], self.CHANGES)
+        return self.spark.read.schema(self.CHANGES).parquet(*[self.directory(v) for v in versions])
 
 
 class SnapshotTable:

@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom.operators.hosts import HOST_STATE, host_cooldowns
 from newsloom.params import FeedParams
 from newsloom.plans.fetch import FeedRun, fetch
-from newsloom.sinks.tables import SnapshotTable, VersionedTable
+from newsloom.sinks.tables import ChangeTable, KeyedTable, SnapshotTable
 from newsloom.sources.tables import FEED_DOCUMENTS, FETCH_LOG, RESPONSES
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Bounds what one micro-batch can hold, also when a stream catches up on a backlog.
 FILES_PER_BATCH = 64
 
-# Times travel through the Python workers as microseconds, which no time zone can shift.
-CHANGES = "feed_url string, id string, at_us bigint, change string, content_hash string"
-
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keep operator state on disk; needed by ``stream_changes``."""
+    """Keep operator state on disk rather than in memory, for ``stream_unseen`` over many ids."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
@@ -59,79 +53,49 @@ def stream_unseen(items: DataFrame, horizon: str = "30 days") -> DataFrame:
     )
 
 
-def _last_hash(ttl_ms: int | None) -> StatefulProcessor:
-    """The processor of ``stream_changes``.
-
-    The class is local so that it travels to the Python workers by value; they need not have this
-    package installed.
-    """
-    stored_type = T.StructType(
-        [
-            T.StructField("content_hash", T.StringType()),
-            T.StructField("at_us", T.LongType()),
-            T.StructField("tie", T.LongType()),
-        ]
-    )
-
-    class LastHash(StatefulProcessor):
-        """Remembers the last content hash of one item and reports when it appears or changes."""
-
-        def __init__(self, ttl_ms: int | None) -> None:
-            self._ttl_ms = ttl_ms
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self._seen = handle.getValueState("seen", stored_type, self._ttl_ms)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            # Two small values per version of one item within one (size-bounded) micro-batch.
-            versions = sorted((r["at_us"], r["tie"], r["content_hash"] or "") for r in rows)
-            known = self._seen.get()
-            last = None if known is None else (known[1], known[2], known[0] or "")
-            for version in versions:
-                # Only versions that come before the last one are late; equal times are told apart
-                # by the tie-breaker, and equal tie-breakers by the hash.
-                if last is not None and version <= last:
-                    continue
-                if last is None or version[2] != last[2]:
-                    yield Row(
-                        feed_url=key[0],
-                        id=key[1],
-                        at_us=version[0],
-                        change="added" if last is None else "changed",
-                        content_hash=version[2] or None,
-                    )
-                last = version
-            if last is not None and (known is None or last != (known[1], known[2], known[0] or "")):
-                self._seen.update((last[2] or None, last[0], last[1]))
-
-        def close(self) -> None:
-            pass
-
-    return LastHash(ttl_ms)
-
-
-def stream_changes(items: DataFrame, ttl_ms: int | None = None, tie: str = "request_pos") -> DataFrame:
-    """``added`` / ``changed`` per (feed, id) by content hash, in the order of ``fetched_at``.
+def update_changes(table: ChangeTable, items: DataFrame, version: int, tie: str = "request_pos") -> None:
+    """Fold a batch of item versions into the table: what is new or has another hash than the version before.
 
-    Versions of one time follow each other by the whole number ``tie``. Versions before the last one
-    seen are ignored. Call ``use_rocksdb`` first.
+    Only the last versions of items in the batch take part, so the work after reading the table follows
+    the batch. The changes are written before the last versions: a batch that is repeated starts from the
+    same table and writes the same rows.
     """
-    narrow = items.select(
+    versions = items.select(
         "feed_url",
         "id",
         F.unix_micros("fetched_at").alias("at_us"),
         F.col(tie).cast("bigint").alias("tie"),
-        "content_hash",
-    )
-    changes = narrow.groupBy("feed_url", "id").transformWithState(
-        statefulProcessor=_last_hash(ttl_ms),
-        outputStructType=CHANGES,
-        outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms is not None else "None",
-    )
-    return changes.select(
-        "feed_url", "id", F.timestamp_micros("at_us").alias("fetched_at"), "change", "content_hash"
+        F.coalesce("content_hash", F.lit("")).alias("content_hash"),
     )
+    at = F.struct("at_us", "tie", "content_hash")
+    known = table.last.read(before=version)
+    if known is None:
+        rows = versions.withColumn("_known", F.lit(False))
+    else:
+        own = known.join(versions.select("feed_url", "id").distinct(), ["feed_url", "id"], "left_semi")
+        # Versions that do not come after the last one are late; equal times are told apart by the
+        # tie-breaker, and equal tie-breakers by the hash.
+        seen = own.select("feed_url", "id", at.alias("_seen"))
+        later = versions.join(seen, ["feed_url", "id"], "left").where(F.col("_seen").isNull() | (at > F.col("_seen")))
+        rows = later.drop("_seen").withColumn("_known", F.lit(False)).unionByName(own.withColumn("_known", F.lit(True)))
+    along = Window.partitionBy("feed_url", "id").orderBy("at_us", "tie", "content_hash")
+    before = F.lag("content_hash").over(along)
+    change = F.when(before.isNull(), F.lit("added")).when(before != F.col("content_hash"), F.lit("changed"))
+    changed = rows.withColumn("change", change).where(~F.col("_known") & F.col("change").isNotNull())
+    changed.select(
+        "feed_url", "id", F.timestamp_micros("at_us").alias("fetched_at"), "change", F.nullif("content_hash", F.lit("")).alias("content_hash")
+    ).write.mode("overwrite").parquet(table.directory(version))
+    newest = rows.where(~F.col("_known")).groupBy("feed_url", "id").agg(F.max(at).alias("_last"))
+    table.last.write(newest.select("feed_url", "id", "_last.*"), version)
+
+
+def stream_changes(items: DataFrame, table: ChangeTable, tie: str = "request_pos"):
+    """A stream writer of ``added`` / ``changed`` per (feed, id) by content hash, in the order of ``fetched_at``.
+
+    Versions of one time follow each other by the whole number ``tie``. Versions before the last one
+    seen are ignored.
+    """
+    return items.writeStream.foreachBatch(lambda batch, batch_id: update_changes(table, batch, batch_id + 1, tie))
 
 
 def stream_snapshots(responses: DataFrame, table: SnapshotTable, compact_every: int = 20):
@@ -149,20 +113,22 @@ def stream_snapshots(responses: DataFrame, table: SnapshotTable, compact_every:
     return responses.writeStream.foreachBatch(keep)
 
 
-def host_state_table(spark: SparkSession, path: str) -> VersionedTable:
-    return VersionedTable(spark, path, HOST_STATE)
+def host_state_table(spark: SparkSession, path: str, compact_every: int = 20) -> KeyedTable:
+    return KeyedTable(spark, path, HOST_STATE, ["authority"], ["last_ts", "last_id"], compact_every)
 
 
 def update_host_state(
-    table: VersionedTable, log: DataFrame, version: int, order: tuple[str, str] = ("ts", "log_id")
+    table: KeyedTable, log: DataFrame, version: int, order: tuple[str, str] = ("ts", "log_id")
 ) -> None:
     """Fold a batch of fetch-log rows into the host table with the batch operator.
 
-    Rows that come before a host's last seen row, by time and then id, are ignored. One host may hold most of a batch: the
-    operator works in time chunks and never puts a host in one task.
+    Only the hosts of the batch are worked out and written. Rows that come before a host's last seen
+    row, by time and then id, are ignored. One host may hold most of a batch: the operator works in chunks
+    and never puts a host in one task.
     """
     state = table.read(before=version)
     if state is not None:
+        state = state.join(log.select("authority").distinct(), "authority", "left_semi")
         seen = state.select("authority", F.struct("last_ts", "last_id").alias("_seen"))
         at, tie = order
         later = F.struct(F.col(at).alias("last_ts"), F.col(tie).cast("bigint").alias("last_id")) > F.col("_seen")
@@ -174,7 +140,7 @@ def update_host_state(
     table.write(host_cooldowns(log, order, state=state), version)
 
 
-def stream_host_state(log: DataFrame, table: VersionedTable, order: tuple[str, str] = ("ts", "log_id")):
+def stream_host_state(log: DataFrame, table: KeyedTable, order: tuple[str, str] = ("ts", "log_id")):
     """A stream writer that keeps cooldown, warm period and streak per host."""
     return log.writeStream.foreachBatch(
         lambda batch, batch_id: update_host_state(table, batch, batch_id + 1, order)
