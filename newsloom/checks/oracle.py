@@ -64,7 +64,7 @@ lines AS (
 """
 
 # Entries of each readable feed, newest first, bodies cut at 2,000 characters.
-PICKED = (
+PICKED_CUT = (
     LINES
     + """,
 bodies AS (
@@ -98,6 +98,9 @@ feeds AS (
 """
 )
 
+# The same with whole bodies.
+PICKED = PICKED_CUT.replace("length(body) > 2000", "false")
+
 EVENT_ITEMS = """
 ev AS (
   SELECT 'u' || user_id AS feed_url, event_id, CASE WHEN event_type <> 'signup' THEN ts END AS ts
@@ -153,6 +156,7 @@ state AS (
 
 # What a report holds: the newest 25 of them.
 REPORTED = PICKED.replace("FROM ranked)", "FROM ranked WHERE rn <= 25)")
+REPORTED_CUT = PICKED_CUT.replace("FROM ranked)", "FROM ranked WHERE rn <= 25)")
 
 
 def with_(ctes: str, select: str) -> str:
@@ -247,9 +251,13 @@ def _resolve(policy: str) -> str:
     return with_(
         RESPONSES
         + f""",
+early AS (SELECT * FROM resp WHERE ts < TIMESTAMP '2024-01-15'),
+written AS (
+  SELECT feed_url, arg_max(body, ts) AS old_body, max(ts) AS written_at, min(ts) AS first_write FROM early WHERE code = 200 GROUP BY feed_url),
 stored AS (
-  SELECT feed_url, arg_max(body, ts) AS old_body, max(ts) AS stored_at
-  FROM resp WHERE code = 200 AND ts < TIMESTAMP '2024-01-15' GROUP BY feed_url),
+  SELECT feed_url, any_value(old_body) AS old_body, max(greatest(written_at, coalesce(e.ts, written_at))) AS stored_at
+  FROM written w LEFT JOIN early e USING (feed_url)
+  WHERE e.code IS NULL OR e.code = 200 OR e.code = 304 AND e.ts >= first_write GROUP BY feed_url),
 answer AS (
   SELECT feed_url, arg_max(body, ts) AS new_body, arg_max(code, ts) AS code,
     arg_max(coalesce(retry_after, ''), ts) AS retry_after
@@ -544,8 +552,8 @@ n AS (SELECT feed_url, id, substr(sha256(CASE WHEN lang = 'fr' THEN text || '!'
     ),
     "feed_totals": with_(
         ITEMS,
-        """SELECT feed_url, count(*) FILTER (lang = 'fr' AND length(text) > 2000) AS item_count,
-  CAST(coalesce(sum(tokens) FILTER (lang = 'fr' AND length(text) > 2000), 0) AS BIGINT) AS content_tokens_est_total FROM ids GROUP BY feed_url""",
+        """SELECT feed_url, count(*) AS item_count, CAST(sum(tokens) AS BIGINT) AS content_tokens_est_total FROM ids GROUP BY feed_url
+UNION ALL SELECT DISTINCT feed_url || '#none', 0, 0 FROM ids""",
     ),
     "run_totals": with_(ITEMS, "SELECT count(*) AS total_items, CAST(sum(tokens) AS BIGINT) AS total_content_tokens_est FROM ids"),
     "run_status": """
@@ -599,7 +607,7 @@ y AS (SELECT *, greatest(1, CAST(floor(n * 9000.0::DOUBLE / est * 0.9) AS BIGINT
         STREAKS
         + """,
 q AS (SELECT event_id, 'h' || user_id || '.example.com:443' AS authority,
-    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events WHERE event_type = 'signup'),
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events),
 t AS (
   SELECT q.*, greatest(0, coalesce(CAST(ceil((epoch_us(next_allowed) - epoch_us(TIMESTAMP '2024-01-30 23:00:00')) / 1000) AS BIGINT), 0)) AS base,
     greatest(0, coalesce(CAST(ceil((epoch_us(warm_until) - epoch_us(TIMESTAMP '2024-01-30 23:00:00')) / 1000) AS BIGINT), 0)) AS warm
@@ -670,7 +678,12 @@ UNION ALL SELECT section, 0, 0, NULL, NULL, NULL, NULL FROM n
 UNION ALL SELECT 3, request_pos, 0, NULL, NULL, NULL, NULL FROM feeds WHERE error_code IS NOT NULL
 UNION ALL SELECT 5, request_pos, 1, NULL, NULL, NULL, NULL FROM feeds WHERE item_count > 0 AND n_dated = 0""",
     ),
-    "contract_check": "SELECT CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS BIGINT) AS rows WHERE false",
+    "contract_check": with_(
+        PICKED,
+        """SELECT 'id' AS field, 'null' AS rule, count(*) AS rows, true AS planted FROM sized WHERE pos = 1
+UNION ALL SELECT 'id_source', 'value', count(*), true FROM sized WHERE lang = 'es'
+UNION ALL SELECT 'guid', 'missing', NULL, true UNION ALL SELECT 'content_tokens_est', 'type', NULL, true""",
+    ),
     "stream_items": with_(PICKED, "SELECT feed_url, id, guid, content_hash FROM sized"),
     "stream_unseen": "SELECT DISTINCT 'u' || user_id AS feed_url, event_type AS id FROM events",
     "stream_changes": """
@@ -681,7 +694,7 @@ SELECT feed_url, id, CASE WHEN b IS NULL THEN 'added' ELSE 'changed' END AS chan
   strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS fetched_at FROM p WHERE b IS NULL OR b <> h""",
 }
 ORACLE["bounded_report"] = with_(
-    _response_tokens(REPORTED).removeprefix("WITH ").rsplit("SELECT feed_url, item_count, CAST((chars", 1)[0]
+    _response_tokens(REPORTED_CUT).removeprefix("WITH ").rsplit("SELECT feed_url, item_count, CAST((chars", 1)[0]
     + ", firsts AS (SELECT feed_url, id AS first_id FROM sized WHERE rn = 1)",
     f"""SELECT f.request_pos, f.feed_url, (d.chars + 3) // 4 > 10000 AS over,
   CASE WHEN (d.chars + 3) // 4 <= 10000 THEN f.item_count END AS total_items,
@@ -738,3 +751,4 @@ g AS (SELECT doc_id AS request_pos, feed_url, any_value(lang) AS lang, count(*)
     f"""SELECT request_pos, feed_url, 'CONTENT_EXTRACTION_FALLBACK' AS code, {_FELL_BACK.format('fb')} AS message FROM g WHERE fb > 0
 UNION ALL SELECT request_pos, feed_url, 'UNDATED_ITEMS', {_UNDATED.format('n')} FROM g WHERE dated = 0""",
 )
+ORACLE["fetch_truncated"] = ORACLE["fetch_items"].replace(PICKED.strip(), PICKED_CUT.strip())

@@ -235,18 +235,26 @@ def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf: str, **params) -> FeedRun:
-    settings = {"content_format": "html", "limit": None, "max_content_chars": 2000, **params}
+    settings = {"content_format": "html", **params}
     return fetch(fx.feed_documents(spark, sf, "mixed"), FeedParams(**settings))
 
 
-def fetch_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = _run(spark, sf).items()
+def _shown_items(run: FeedRun) -> DataFrame:
+    items = run.items()
     return item_ops.contract_items(items).select(
         "feed_url", "id", "id_source", "title", "url", "guid", "published", "updated", "content",
         "content_tokens_est", "content_truncated", "content_hash",
     )
 
 
+def fetch_items(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown_items(_run(spark, sf))
+
+
+def fetch_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown_items(_run(spark, sf, max_content_chars=2000))
+
+
 def fetch_since(spark: SparkSession, sf: str) -> DataFrame:
     run = _run(spark, sf, since=MID_JANUARY, limit=None, content_format="none")
     return run.items().select("feed_url", "guid", "content")
@@ -369,8 +377,8 @@ def unseen(spark: SparkSession, sf: str) -> DataFrame:
 def feed_totals(spark: SparkSession, sf: str) -> DataFrame:
     items = fx.identified(fx.document_items(spark, sf))
     feeds = items.select("feed_url").distinct()
-    french = items.where((F.col("lang") == "fr") & (F.length("text") > 2000))
-    return totals.feed_totals(french, feeds)
+    without_items = feeds.select(F.concat("feed_url", F.lit("#none")).alias("feed_url"))
+    return totals.feed_totals(items, feeds.unionByName(without_items))
 
 
 def run_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -422,7 +430,7 @@ def budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bounded_report(spark: SparkSession, sf: str) -> DataFrame:
-    made = report.bounded_reports(_run(spark, sf, limit=DEFAULT_ITEM_CAP), F.lit(STAMP))
+    made = report.bounded_reports(_run(spark, sf, limit=DEFAULT_ITEM_CAP, max_content_chars=2000), F.lit(STAMP))
     doc = lambda path: F.get_json_object("document", path)
     return made.select(
         "request_pos",
@@ -446,7 +454,7 @@ def _resolve(policy: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         log = fx.event_responses(spark, sf)
         early = log.where(F.col("fetched_at") < F.lit(MID_JANUARY))
-        stored = snapshots.upsert_snapshots(None, early.where(F.col("http_status") == 200))
+        stored = snapshots.upsert_snapshots(None, early)
         answers = snapshots.latest_responses(log.where(F.col("fetched_at") >= F.lit(MID_JANUARY)))
         requests = log.groupBy("feed_url").agg(F.min("etag").alias("first")).select(
             F.xxhash64("feed_url").alias("request_pos"), "feed_url"
@@ -516,7 +524,7 @@ def host_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
 
 def polite_schedule(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.event_log(spark, sf)
-    pending = log.where(F.col("http_status") == 304).select(
+    pending = log.select(
         F.col("event_id").alias("request_pos"),
         F.concat(F.lit("https://"), F.regexp_replace("authority", ":443", ""), F.lit("/f/"), F.col("event_id").cast("string")).alias("feed_url"),
     )
@@ -611,10 +619,18 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contract_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations of the item contract by a real run: there must be none."""
+    """Violations of the item contract: a real run has none, so some are planted in it."""
     items = item_ops.contract_items(_run(spark, sf).items())
     assert contract("fetch")["feeds"].dataType.elementType["items"].dataType.elementType.fieldNames() == items.columns
-    return check_contract(items, "item")
+    spoiled = items.drop("guid").withColumns(
+        {
+            "id": F.when(F.col("title") != "Line 1", F.col("id")),
+            "id_source": F.when(F.array_contains("categories", "es"), F.lit("luck")).otherwise(F.col("id_source")),
+            "content_tokens_est": F.col("content_tokens_est").cast("int"),
+        }
+    )
+    clean = check_contract(items, "item").withColumn("planted", F.lit(False))
+    return clean.unionByName(check_contract(spoiled, "item").withColumn("planted", F.lit(True)))
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -659,7 +675,7 @@ def stream_items(spark: SparkSession, sf: str) -> DataFrame:
     # One file is one task; deal its rows out before the parsing.
     cores = spark.sparkContext.defaultParallelism
     docs = fx.feed_documents(tables, sf, "mixed").repartition(cores)
-    items = pipelines.stream_items(docs, FeedParams(content_format="html", max_content_chars=2000))
+    items = pipelines.stream_items(docs, FeedParams(content_format="html"))
     landed = items.select("feed_url", "id", "guid", "content_hash")
     return _to_parquet(landed, "stream-items")
 
@@ -783,6 +799,7 @@ QUERIES: dict[str, Query] = {
     "parse_jsonfeed": parse_jsonfeed,
     "parse_errors": parse_errors,
     "fetch_items": fetch_items,
+    "fetch_truncated": fetch_truncated,
     "fetch_since": fetch_since,
     "fetch_feeds": fetch_feeds,
     "fetch_summary": fetch_summary,
