@@ -94,13 +94,113 @@ def _clean(url: Column) -> Column:
     )
 
 
+# The parameters of punycode.
+_BASE, _T_MIN, _T_MAX, _SKEW, _DAMP, _FIRST_BIAS, _FIRST_CODE = 36, 1, 26, 38, 700, 72, 128
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+# Steps that are enough for any label: digits of a number below 2^63, and divisions of the bias.
+_MOST_DIGITS, _MOST_DIVISIONS = 14, 13
+
+
+def _digits(delta: Column, bias: Column) -> Column:
+    """A number in punycode's digits of varying base."""
+
+    def step(s: Column, k: Column) -> Column:
+        t = F.least(F.greatest(k * _BASE - bias, F.lit(_T_MIN)), F.lit(_T_MAX))
+        last = s["q"] < t
+        digit = F.when(last, s["q"]).otherwise(t + F.pmod(s["q"] - t, _BASE - t))
+        shown = F.substring(F.lit(_DIGITS), (digit + 1).cast("int"), F.lit(1))
+        rest = F.when(~last, F.floor((s["q"] - t) / (_BASE - t)).cast("bigint"))
+        return F.when(s["q"].isNull(), s).otherwise(F.struct(rest.alias("q"), F.concat(s["out"], shown).alias("out")))
+
+    start = F.struct(delta.cast("bigint").alias("q"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_MOST_DIGITS)), start, step, lambda s: s["out"])
+
+
+def _next_bias(delta: Column, size: Column, is_first: Column) -> Column:
+    halved = F.floor(delta / F.when(is_first, _DAMP).otherwise(2))
+    most = (_BASE - _T_MIN) * _T_MAX // 2
+
+    def step(s: Column, _: Column) -> Column:
+        smaller = F.struct(F.floor(s["d"] / (_BASE - _T_MIN)).cast("bigint").alias("d"), (s["k"] + _BASE).alias("k"))
+        return F.when(s["d"] > most, smaller).otherwise(s)
+
+    start = F.struct((halved + F.floor(halved / size)).cast("bigint").alias("d"), F.lit(0).alias("k"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(_MOST_DIVISIONS)),
+        start,
+        step,
+        lambda s: (s["k"] + F.floor((_BASE - _T_MIN + 1) * s["d"] / (s["d"] + _SKEW))).cast("bigint"),
+    )
+
+
+def punycode(label: ColumnOrName) -> Column:
+    """The punycode of a label: its ASCII characters, then where and what the others are.
+
+    A decoder inserts the other characters one by one, by code and then place. Each is told as the
+    distance from the state after the one before, a state being (code, index in what is there so far).
+    """
+
+    def encode(chars: Column) -> Column:
+        codes = F.transform(chars, lambda c: F.ascii(c))
+        basic = F.filter(chars, lambda c: F.ascii(c) < _FIRST_CODE)
+
+        def inserted(cs: Column) -> Column:
+            others = F.filter(
+                F.transform(cs, lambda c, i: F.struct(c.alias("code"), i.alias("at"))), lambda x: x["code"] >= _FIRST_CODE
+            )
+
+            def index(x: Column) -> Column:
+                return F.size(F.filter(cs, lambda c, j: (c < x["code"]) & (j < x["at"]) | (c == x["code"]) & (j < x["at"])))
+
+            ordered = F.transform(F.array_sort(others), lambda x: F.struct(x["code"].alias("code"), index(x).alias("index")))
+            start = F.struct(
+                F.lit(_FIRST_CODE).alias("code"),
+                F.lit(0).alias("index"),
+                F.lit(_FIRST_BIAS).cast("bigint").alias("bias"),
+                F.size(basic).alias("n"),
+                F.when(F.size(basic) > 0, F.concat(F.array_join(basic, ""), F.lit("-"))).otherwise(F.lit("")).alias("out"),
+            )
+
+            def step(s: Column, x: Column) -> Column:
+                delta = (x["code"] - s["code"]).cast("bigint") * (s["n"] + 1) + x["index"] - s["index"]
+                return bind(
+                    delta,
+                    lambda d: F.struct(
+                        x["code"].alias("code"),
+                        (x["index"] + 1).alias("index"),
+                        _next_bias(d, s["n"] + 1, s["n"] == F.size(basic)).alias("bias"),
+                        (s["n"] + 1).alias("n"),
+                        F.concat(s["out"], _digits(d, s["bias"])).alias("out"),
+                    ),
+                )
+
+            return F.aggregate(ordered, start, step, lambda s: s["out"])
+
+        return bind(codes, inserted)
+
+    return bind(F.regexp_extract_all(col(label), F.lit("(?s)."), F.lit(0)), encode)
+
+
+def ascii_host(host: ColumnOrName) -> Column:
+    """A host lower-cased, its labels outside ASCII in their ``xn--`` form. Composed characters are expected."""
+
+    def labels(v: Column) -> Column:
+        parts = F.split(F.translate(v, "\u3002\uff0e\uff61", "..."), r"\.")
+        wide = lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.concat(F.lit("xn--"), punycode(x))).otherwise(x)
+        return F.array_join(F.transform(parts, wide), ".")
+
+    return bind(F.lower(col(host)), lambda v: F.when(v.rlike(r"[^\x00-\x7f]"), labels(v)).otherwise(v))
+
+
 def _authority_text(authority: Column, scheme: Column) -> Column:
-    """``user@host:port`` with the host lower-cased and a default port dropped; null if malformed."""
+    """``user@host:port`` with the host in normal form and a default port dropped; null if malformed."""
     user = F.regexp_extract(authority, r"(?s)^(.*@)", 1)
     host_port = F.regexp_extract(authority, r"(?s)([^@]*)\z", 1)
 
     def build(hp: Column) -> Column:
-        host = F.lower(F.regexp_extract(hp, r"^(\[[^\]]*\]|[^:]*)", 1))
+        return bind(ascii_host(F.regexp_extract(hp, r"^(\[[^\]]*\]|[^:]*)", 1)), lambda host: shown_of(hp, host))
+
+    def shown_of(hp: Column, host: Column) -> Column:
         port = F.ltrim(F.regexp_extract(hp, r":([0-9]*)\z", 1), F.lit("0"))
         zero = hp.rlike(r":0+\z")
         good = (
@@ -135,7 +235,7 @@ def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
     """Absolute, normalised form of ``href`` against ``base``; null if that is impossible.
 
     Hosts are lower-cased, default ports dropped, dot segments removed, an empty path becomes
-    ``/`` and unsafe characters are percent-encoded. Non-ASCII host names are only lower-cased.
+    ``/`` and unsafe characters are percent-encoded. Host names outside ASCII get their ``xn--`` form.
     """
     web = list(DEFAULT_PORTS)
     base, href = col(base), col(href)
@@ -217,13 +317,16 @@ def authority(url: ColumnOrName) -> Column:
     def build(p: Column) -> Column:
         scheme = F.lower(p[0])
         host_port = F.regexp_extract(F.substring(p[1], 3, 1 << 30), r"(?s)([^@]*)\z", 1)
-        host = F.lower(F.regexp_extract(host_port, r"^(\[[^\]]*\]|[^:]*)", 1))
         port = none_if_blank(F.regexp_extract(host_port, r":([0-9]+)\z", 1))
         default = F.create_map(*[F.lit(x) for kv in DEFAULT_PORTS.items() for x in kv])[scheme]
         number = F.coalesce(port.try_cast("int").cast("string"), default, F.lit("0"))
         web = scheme.isin(list(DEFAULT_PORTS))
-        bad = (scheme == "") | (web & ((host == "") | host.rlike(_BAD_HOST)))
-        return F.when(bad, col(url)).otherwise(F.concat(host, F.lit(":"), number))
+
+        def key(host: Column) -> Column:
+            bad = (scheme == "") | (web & ((host == "") | host.rlike(_BAD_HOST)))
+            return F.when(bad, col(url)).otherwise(F.concat(host, F.lit(":"), number))
+
+        return bind(ascii_host(F.regexp_extract(host_port, r"^(\[[^\]]*\]|[^:]*)", 1)), key)
 
     return bind(_split(_clean(col(url))), build)
 

@@ -1,5 +1,6 @@
 """Column functions on known answers."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -127,6 +128,23 @@ def test_conversion_failures_fall_back(evaluate):
     assert got[1]["content"].endswith("  * deep word")
 
 
+def test_hosts_outside_ascii(evaluate):
+    rng = random.Random(11)
+    labels = ["ü", "bücher", "例え", "пример", "a😀b", "faß", "münchen-ost", "ñandú", "中文", "ليهمابتكلموشعربي؟"]
+    pool = "abcz09-éüßøłжшあ漢字😀𝒳"
+    labels += ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) + "é" for _ in range(60)]
+    rows = [(x,) for x in labels]
+    assert evaluate(rows, "v string", urls.punycode("v")) == [x.encode("punycode").decode() for x in labels]
+    hosts = [("Ü.Example",), ("xn--tda.example",), ("a。例え．com",), ("plain.ORG",), ("",)]
+    assert evaluate(hosts, "v string", urls.ascii_host("v")) == ["xn--tda.example", "xn--tda.example", "a.xn--r8jz45g.com", "plain.org", ""]
+    links = [("https://Ü.example:443/p é",), ("//bücher.example/x",), ("https://xn--tda.example/p%20%C3%A9",)]
+    got = evaluate(links, "v string", urls.resolve_url(F.lit("https://e.org/"), "v"))
+    assert got == ["https://xn--tda.example/p%20%C3%A9", "https://xn--bcher-kva.example/x", "https://xn--tda.example/p%20%C3%A9"]
+    assert evaluate(links[:1], "v string", urls.authority("v")) == ["xn--tda.example:443"]
+    ids = evaluate(links, "v string", identity.item_id(F.lit("https://f.org/"), urls.resolve_url(F.lit("https://e.org/"), "v"), no_text(), no_text(), no_text()))
+    assert ids[0] == ids[2]
+
+
 def test_content_source_and_extraction(evaluate):
     rows = [("c", "s"), (" \u00a0\n", "s"), (None, "s"), (None, "  "), ("<b>c</b>", None)]
     source = text.content_source("c", "s")
