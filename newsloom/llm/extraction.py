@@ -8,8 +8,9 @@
 3. Template. The class of the page itself (once on every page) is the skeleton. Another class is valid if it has at least ``LARGE`` tokens
    on at least ``MIN_PAGES`` pages, each of its texts lies directly in a tag of the class, and its outermost tags lie below a tag that is
    on every page or in a valid class (or at the top of the page). So a section that some pages have is template, while the texts of a
-   copied article are not: they fill paragraphs, whose tags occur elsewhere too. Text of the skeleton is template text; text of a valid
-   class is, on pages that have its tokens in the order of the host.
+   copied article are not: they fill paragraphs, whose tags occur elsewhere too. Text of a valid class is template text, on pages that have
+   its tokens in the order of the host. Text of the skeleton is, unless its path varies: a path that also holds a text of at most half of the
+   host's pages is a slot, and what near copies of an article share stays in it.
    Repeated lists (menus outside of menu elements) are paths with at least two texts, all of them on more than half of the host's pages;
    their text is template text too.
 4. Slots. What is left are slots. Slots below menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element
@@ -39,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import small_batches
+from newsloom.session import scratch_path
 
 MIN_PAGES = 8
 RARE = 0.02
@@ -294,14 +296,17 @@ def valid_classes(tokens: list[Token]) -> list[list[int]]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, fixed, classes) for hosts of at least MIN_PAGES pages."""
-    tokens = occurrences(pages)
+    # Several sums are taken over the tokens; kept in the shared folder, they cost one reading of the pages.
+    spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "tokens")
+    occurrences(pages).write.parquet(path)
+    tokens = spark.read.parquet(path)
     hosts = tokens.where("path = 0").select("host", F.col("pages").alias("all_pages"), F.col("vector").alias("page_vector")).where(F.col("all_pages") >= MIN_PAGES)
     known = tokens.where("path <> 0").join(hosts, "host")
     texts = known.where("text <> 0")
     skeleton = (F.col("vector") == F.col("page_vector")) & (F.col("pages") == F.col("all_pages"))
-    # Repeated lists: paths all of whose texts are on most pages. One text that is not makes the path a slot.
+    # Steady paths: all of their texts are on most pages. One text that is not makes the path a slot. With several texts they are lists.
     lists = texts.groupBy("host", "path").agg(F.min("pages").alias("least"), F.count(F.lit(1)).alias("kinds"), F.max("all_pages").alias("all_pages"))
-    menus = lists.where((F.col("least") * 2 > F.col("all_pages")) & (F.col("kinds") > 1)).select("host", "path")
+    steady = lists.where(F.col("least") * 2 > F.col("all_pages")).select("host", "path", F.when(F.col("kinds") > 1, F.col("path")).alias("menu"))
     # Tokens of too few pages are in no valid class; the others of a host are at most 1 / RARE times those of an average page.
     frequent = known.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("all_pages") * RARE)).select(
         "host",
@@ -311,18 +316,19 @@ def templates(pages: DataFrame) -> DataFrame:
         ).alias("token"),
     )
     token = frequent.schema["token"].dataType
-    gathered = frequent.select("host", "token", F.lit(None).cast("bigint").alias("m")).union(menus.select("host", F.lit(None).cast(token).alias("token"), F.col("path").alias("m")))
+    none = F.lit(None).cast("bigint")
+    gathered = frequent.select("host", "token", none.alias("path"), none.alias("menu")).union(steady.select("host", F.lit(None).cast(token), "path", "menu"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(batches, 16):
             fixed, classes = [], []
-            for found, menus_ in zip(batch.column(1).to_pylist(), map(set, batch.column(2).to_pylist()), strict=True):
-                fixed.append(sorted(t["text"] for t in found if t["text"] and (t["skeleton"] or t["path"] in menus_)))
+            for found, steady_, menus in zip(batch.column(1).to_pylist(), *(map(set, batch.column(i).to_pylist()) for i in (2, 3)), strict=True):
+                fixed.append(sorted(t["text"] for t in found if t["text"] and (t["skeleton"] and t["path"] in steady_ or t["path"] in menus)))
                 classes.append(valid_classes([Token(t["path"], t["text"], t["above"], t["place"], "" if t["skeleton"] else t["grp"], t["everywhere"]) for t in found if not (t["skeleton"] and t["text"])]))
             kinds = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, kinds[0]), pa.array(classes, kinds[1])], names=["host", "fixed", "classes"])
 
-    return gathered.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_set("m").alias("menus")).mapInArrow(run, "host string, fixed array<bigint>, classes array<array<bigint>>")
+    return gathered.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_set("path").alias("steady"), F.collect_set("menu").alias("menus")).mapInArrow(run, "host string, fixed array<bigint>, classes array<array<bigint>>")
 
 
 def extract(pages: DataFrame) -> DataFrame:

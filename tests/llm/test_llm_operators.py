@@ -512,6 +512,20 @@ def test_sections_of_some_pages_are_template(spark):
     assert {r.page_id: r.text for r in extraction.extract(frame).collect()} == want
 
 
+@pytest.mark.parametrize(("pages", "element"), [(7, "article"), (8, "article"), (30, "article"), (8, "div"), (30, "div")])
+def test_near_copies_on_every_page_of_a_host_keep_what_they_share(spark, pages, element):
+    rng = random.Random(16)
+    shared = [prose(rng, 20) for _ in range(3)]
+    rows, want = [], {}
+    for k in range(pages):
+        own = f"own {prose(rng, 10)}"
+        inner = "".join(f"<p>{b}</p>" for b in [*shared, own])
+        rows.append((k, f"http://h.example/{k}", f"<html><body><{element}>{inner}</{element}><h6>Site of the year</h6></body></html>"))
+        want[k] = "\n\n".join([*shared, own, *(["Site of the year"] if element == "div" and pages < 8 else [])])
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in extraction.extract(frame).collect()} == want
+
+
 def test_rare_and_repeated_blocks_are_kept(spark):
     rng = random.Random(15)
     copied = [prose(rng, 20) for _ in range(2)]
