@@ -752,3 +752,14 @@ g AS (SELECT doc_id AS request_pos, feed_url, any_value(lang) AS lang, count(*)
 UNION ALL SELECT request_pos, feed_url, 'UNDATED_ITEMS', {_UNDATED.format('n')} FROM g WHERE dated = 0""",
 )
 ORACLE["fetch_truncated"] = ORACLE["fetch_items"].replace(PICKED.strip(), PICKED_CUT.strip())
+ORACLE["read_documents"] = with_(
+    PICKED, "SELECT request_pos, feed_url, '2024-01-15T00:00:00Z' AS fetched_at, item_count AS n FROM feeds WHERE item_count > 0"
+)
+ORACLE["read_body_files"] = """
+SELECT dense_rank() OVER (ORDER BY source) - 1 AS request_pos, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos,
+  'g' || doc_id AS guid FROM documents"""
+ORACLE["read_url_lists"] = """
+WITH l AS (
+  SELECT page_id % 7 AS list, url, sum(CASE WHEN url LIKE '%?%' THEN 1 ELSE 2 END) OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS upto FROM pages)
+SELECT list, CAST(upto - 2 AS BIGINT) AS pos, url FROM l WHERE url NOT LIKE '%?%'"""
+ORACLE["read_pages"] = with_(_LINK_ROWS, "SELECT site_url, CAST(pos AS BIGINT) AS pos, url, feed_type FROM found")

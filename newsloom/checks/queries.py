@@ -18,6 +18,7 @@ from newsloom.session import apply_runtime_conf, scratch_path, spread
 from newsloom.sinks import records, report
 from newsloom.sinks.tables import ChangeTable, SnapshotTable
 from newsloom.sources.feeds import parse_feeds
+from newsloom.sources import tables
 from newsloom.sources.tables import opml_urls
 from newsloom.streaming import pipelines
 
@@ -285,6 +286,57 @@ def fetch_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return run.feeds().select("feed_url", "status", "item_count", "content_tokens_est_total")
 
 
+# --- readers ---------------------------------------------------------------------------------
+
+
+def read_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed documents through the reader of captured documents."""
+    path = scratch_path(spark, "feed-documents")
+    docs = fx.feed_documents(spark, sf, "mixed")
+    docs.withColumns({"content_type": F.lit("text/xml"), "fetched_at": F.lit(MID_JANUARY)}).write.parquet(path)
+    run = fetch(tables.read_feed_documents(spark, path), FeedParams(content_format="none"))
+    shown = run.items().groupBy("request_pos", "feed_url", "fetched_at").agg(F.count("*").alias("n"))
+    return shown.select("request_pos", "feed_url", dates.rfc3339("fetched_at").alias("fetched_at"), "n")
+
+
+def read_body_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per source, an RSS feed of its documents' guids, through the reader of raw files."""
+    docs = fx.table(spark, sf, "documents")
+    lines = docs.select(
+        "source",
+        "doc_id",
+        F.concat(F.lit("<item><guid>g"), F.col("doc_id").cast("string"), F.lit("</guid><title>"), fx.xml_escape(F.col("text")), F.lit("</title></item>")).alias("line"),
+    )
+    ends = docs.select("source").distinct()
+    first = ends.select("source", F.lit(-1 << 62).alias("doc_id"), F.lit("<rss><channel>").alias("line"))
+    last = ends.select("source", F.lit(1 << 62).alias("doc_id"), F.lit("</channel></rss>").alias("line"))
+    path = scratch_path(spark, "body-files")
+    whole = lines.unionByName(first).unionByName(last).repartition("source").sortWithinPartitions("source", "doc_id")
+    whole.select("source", "line").write.partitionBy("source").text(path)
+    bodies = tables.read_body_files(spark, f"{path}/source=*")
+    run = fetch(bodies, FeedParams(content_format="none"))
+    source = F.regexp_extract("feed_url", "source=([^/]*)/", 1)
+    return run.items().select("request_pos", source.alias("source"), "pos", "guid")
+
+
+def read_url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Page urls in seven lists with comments and blank lines, through the list reader."""
+    pages = fx.table(spark, sf, "pages").select("page_id", F.pmod("page_id", F.lit(7)).alias("list"), "url")
+    line = F.when(F.col("url").contains("?"), F.concat(F.lit(" # "), "url")).otherwise(F.concat(F.lit("\t"), "url", F.lit("\n")))
+    path = scratch_path(spark, "url-lists")
+    in_order = pages.repartition("list").sortWithinPartitions("list", "page_id")
+    in_order.select("list", line.alias("line")).write.partitionBy("list").text(path)
+    listed = tables.read_url_list(spark, f"{path}/list=*")
+    return listed.select(F.regexp_extract("file", "list=([0-9]+)", 1).cast("bigint").alias("list"), F.col("pos").cast("bigint").alias("pos"), "url")
+
+
+def read_pages_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages through their reader, in the order of a report, with their feeds."""
+    path = scratch_path(spark, "pages")
+    fx.pages_with_links(spark, sf).select("url", "html").write.parquet(path)
+    return discovery.discover_feeds(tables.read_pages(spark, path)).select("site_url", "pos", "url", "feed_type")
+
+
 # --- filters, order, joins -------------------------------------------------------------------
 
 
@@ -671,10 +723,10 @@ def _to_parquet(df: DataFrame, label: str) -> DataFrame:
 
 
 def stream_items(spark: SparkSession, sf: str) -> DataFrame:
-    tables = _StreamTables(spark, documents=_documents_stream(spark, sf))
+    source = _StreamTables(spark, documents=_documents_stream(spark, sf))
     # One file is one task; deal its rows out before the parsing.
     cores = spark.sparkContext.defaultParallelism
-    docs = fx.feed_documents(tables, sf, "mixed").repartition(cores)
+    docs = fx.feed_documents(source, sf, "mixed").repartition(cores)
     items = pipelines.stream_items(docs, FeedParams(content_format="html"))
     landed = items.select("feed_url", "id", "guid", "content_hash")
     return _to_parquet(landed, "stream-items")
@@ -682,8 +734,8 @@ def stream_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_versions(spark: SparkSession, sf: str) -> DataFrame:
     """Events as item versions: the user is the feed, the kind of event the item."""
-    tables = _StreamTables(spark, events=_events_stream(spark, sf))
-    return fx.table(tables, sf, "events").select(
+    source = _StreamTables(spark, events=_events_stream(spark, sf))
+    return fx.table(source, sf, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed_url"),
         F.col("event_type").alias("id"),
         F.col("ts").alias("fetched_at"),
@@ -731,8 +783,8 @@ def _events_in_slices(spark: SparkSession, sf: str, unit: str) -> DataFrame:
 
 def stream_changes_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Changes over several batches whose rows share times across the cuts."""
-    tables = _StreamTables(spark, events=_events_in_slices(spark, sf, "day"))
-    versions = fx.table(tables, sf, "events").select(
+    source = _StreamTables(spark, events=_events_in_slices(spark, sf, "day"))
+    versions = fx.table(source, sf, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed_url"),
         F.col("event_type").alias("id"),
         F.col("ts").alias("fetched_at"),
@@ -745,11 +797,11 @@ def stream_changes_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_host_state_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Host state over several batches whose rows share times across the cuts."""
-    tables = _StreamTables(spark, events=_events_in_slices(spark, sf, "hour"))
+    source = _StreamTables(spark, events=_events_in_slices(spark, sf, "hour"))
     out = scratch_path(spark, "stream-hosts-ties")
     table = pipelines.host_state_table(spark, f"{out}/table")
     pipelines.run_available(
-        pipelines.stream_host_state(fx.event_log(tables, sf), table, ("ts", "event_id")), f"{out}/checkpoint"
+        pipelines.stream_host_state(fx.event_log(source, sf), table, ("ts", "event_id")), f"{out}/checkpoint"
     )
     us = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return table.read().select(
@@ -758,20 +810,20 @@ def stream_host_state_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    tables = _StreamTables(spark, events=_events_stream(spark, sf))
+    source = _StreamTables(spark, events=_events_stream(spark, sf))
     out = scratch_path(spark, "stream-snapshots")
     table = SnapshotTable(spark, f"{out}/table")
     pipelines.run_available(
-        pipelines.stream_snapshots(fx.event_responses(tables, sf), table), f"{out}/checkpoint"
+        pipelines.stream_snapshots(fx.event_responses(source, sf), table), f"{out}/checkpoint"
     )
     return table.read().select("feed_url", "etag", "body", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
 
 
 def stream_host_state(spark: SparkSession, sf: str) -> DataFrame:
-    tables = _StreamTables(spark, events=_events_stream(spark, sf))
+    source = _StreamTables(spark, events=_events_stream(spark, sf))
     out = scratch_path(spark, "stream-hosts")
     table = pipelines.host_state_table(spark, f"{out}/table")
-    log = fx.event_log(tables, sf)
+    log = fx.event_log(source, sf)
     pipelines.run_available(pipelines.stream_host_state(log, table, ("ts", "event_id")), f"{out}/checkpoint")
     us = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return table.read().select(
@@ -804,6 +856,10 @@ QUERIES: dict[str, Query] = {
     "fetch_feeds": fetch_feeds,
     "fetch_summary": fetch_summary,
     "fetch_markdown": fetch_markdown,
+    "read_documents": read_documents,
+    "read_body_files": read_body_files,
+    "read_url_lists": read_url_lists,
+    "read_pages": read_pages_query,
     "since": since,
     "newest_n": newest_n,
     "item_positions": item_positions,

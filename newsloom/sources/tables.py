@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions.base import is_blank, trim_space
+from newsloom.operators.ranking import position_in_group
 
 # Schemas of the input tables, as DDL text so that they need no running session.
 FEED_DOCUMENTS = (
@@ -53,11 +54,14 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def read_body_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw files as feed documents: the file path stands for the URL, bytes are read as UTF-8.
 
-    Invalid bytes become replacement characters rather than failing the job.
+    Files are numbered from 0 in the order of their paths. The numbering reads paths only; the files are
+    read once. Invalid bytes become replacement characters rather than failing the job.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.xxhash64("path").alias("request_pos"),
+    whole = files.select("path").withColumn("_all", F.lit(0))
+    numbers = position_in_group(whole, ["_all"], [F.col("path")], "_n").select("path", (F.col("_n") - 1).alias("request_pos"))
+    return files.join(numbers, "path").select(
+        "request_pos",
         F.col("path").alias("feed_url"),
         decode_utf8("content").alias("body"),
         F.lit(None).cast("string").alias("content_type"),
