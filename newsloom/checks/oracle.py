@@ -287,26 +287,42 @@ def _json_len(expression: str) -> str:
     return f"coalesce(length(CAST(to_json({expression}) AS VARCHAR)), 4)"
 
 
-def _response_tokens(picked: str) -> str:
-    def fields(indent: int, names: list[str]) -> int:
-        """Characters of the keys of an object: line break, indent, quotes, colon, blank; commas."""
-        return sum(1 + indent + len(n) + 2 + 2 for n in names) + len(names) - 1
+def _fields(indent: int, names: list[str]) -> int:
+    """Characters of the keys of an object: line break, indent, quotes, colon, blank; commas."""
+    return sum(1 + indent + len(n) + 2 + 2 for n in names) + len(names) - 1
+
 
+def _item_chars(indent: int) -> str:
+    """Length of one item's document, its closing brace at ``indent``."""
     item = ["id", "id_source", "feed_url", "title", "url", "authors", "published", "updated", "summary",
             "content", "content_format", "content_tokens_est", "content_truncated", "content_hash",
             "categories", "enclosures", "guid"]
+    enclosure = ["url", "mime", "length"]
+    # Braces: the opening one, and a line break plus indent plus the closing one.
+    item_fixed = _fields(indent + 2, item) + 2 + 1 + indent
+    enclosure_fixed = _fields(indent + 6, enclosure) + 2 + 1 + indent + 4
+    # A list with one entry on a line of its own, and its brackets.
+    one = 2 + (1 + indent + 4) + (1 + indent + 2)
+    return f"""{item_fixed} + {_json_len('id')} + 6 + {_json_len('feed_url')} + {_json_len('title')} + {_json_len('url')}
+    + {_json_len('source')} + {one}
+    + {_json_len('published')} + {_json_len('updated')}
+    + CASE WHEN lang = 'en' THEN {_json_len('line')} ELSE 4 END + {_json_len('content')} + 6
+    + length(CAST(tokens AS VARCHAR)) + CASE WHEN cut THEN 4 ELSE 5 END + {_json_len('content_hash')}
+    + {_json_len('lang')} + {_json_len(quote('line'))} + {one} + {2 + indent + 4}
+    + {enclosure_fixed} + {one} + {_json_len("'https://cdn.example.com/' || doc_id || '/' || pos || '.mp3'")}
+    + {_json_len(quote('audio/mpeg'))} + length(CAST(length(raw) AS VARCHAR))
+    + {_json_len('guid')}"""
+
+
+def _response_tokens(picked: str) -> str:
+    fields = _fields
     feed = ["feed_url", "status", "from_cache", "title", "site_url", "updated", "item_count",
             "content_tokens_est_total", "items", "error"]
     top = ["schema_version", "fetched_at", "total_items", "total_content_tokens_est", "feeds",
            "errors", "warnings", "truncation"]
-    enclosure = ["url", "mime", "length"]
-    # Braces: the opening one, and a line break plus indent plus the closing one.
-    item_fixed = fields(10, item) + 2 + 1 + 8
-    enclosure_fixed = fields(14, enclosure) + 2 + 1 + 12
     feed_fixed = fields(6, feed) + 2 + 1 + 4
     top_fixed = fields(2, top) + 2 + 1
-    # A one-line list entry at depth 12 with its brackets, the closing one at depth 10.
-    one = 2 + 13 + 11
+
     def error_len(indent: int) -> str:
         fixed = fields(indent + 2, ["feed_url", "code", "message", "details"]) + 2 + 1 + indent + 2
         texts = f"{_json_len('feed_url')} + {_json_len('error_code')} + {_json_len(quote('feed parse error: malformed XML'))}"
@@ -319,15 +335,7 @@ def _response_tokens(picked: str) -> str:
         picked
         + f""",
 texts AS (
-  SELECT doc_id, {item_fixed} + {_json_len('id')} + 6 + {_json_len('feed_url')} + {_json_len('title')} + {_json_len('url')}
-    + {_json_len('source')} + {one}
-    + {_json_len('published')} + {_json_len('updated')}
-    + CASE WHEN lang = 'en' THEN {_json_len('line')} ELSE 4 END + {_json_len('content')} + 6
-    + length(CAST(tokens AS VARCHAR)) + CASE WHEN cut THEN 4 ELSE 5 END + {_json_len('content_hash')}
-    + {_json_len('lang')} + {_json_len(quote('line'))} + {one} + 14
-    + {enclosure_fixed} + {one} + {_json_len("'https://cdn.example.com/' || doc_id || '/' || pos || '.mp3'")}
-    + {_json_len(quote('audio/mpeg'))} + length(CAST(length(raw) AS VARCHAR))
-    + {_json_len('guid')} AS chars
+  SELECT doc_id, {_item_chars(8)} AS chars
   FROM sized),
 per_feed AS (SELECT doc_id, CAST(sum(chars) AS BIGINT) AS chars, count(*) AS n FROM texts GROUP BY doc_id),
 docs AS (
@@ -763,3 +771,21 @@ WITH l AS (
   SELECT page_id % 7 AS list, url, sum(CASE WHEN url LIKE '%?%' THEN 1 ELSE 2 END) OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS upto FROM pages)
 SELECT list, CAST(upto - 2 AS BIGINT) AS pos, url FROM l WHERE url NOT LIKE '%?%'"""
 ORACLE["read_pages"] = with_(_LINK_ROWS, "SELECT site_url, CAST(pos AS BIGINT) AS pos, url, feed_type FROM found")
+ORACLE["get_item"] = with_(
+    PICKED
+    + f""",
+z AS (SELECT feed_url, guid, id, title, pos, doc_id, ({_item_chars(0)} + 3) // 4 AS t FROM sized)""",
+    """SELECT feed_url, guid AS key, id, CASE WHEN t > 500 THEN 'RESPONSE_TOO_LARGE' END AS code,
+  CASE WHEN t > 500 THEN 'response too large: ~' || t || ' tokens exceeds the 500-token budget; retry with limit=1 or max_content_chars=1400' END AS message,
+  CASE WHEN t > 500 THEN '{"estimated_tokens":' || t || ',"budget_tokens":500,"suggested_limit":1,"suggested_max_content_chars":1400}' END AS details,
+  CASE WHEN t <= 500 THEN 'Item ' || id || ': "' || title || '".' END AS summary
+FROM z WHERE pos = 1 AND doc_id IN (SELECT doc_id FROM labels)""",
+)
+ORACLE["empty_guids"] = with_(
+    LINES
+    + """,
+k AS (SELECT *, CASE WHEN lang NOT IN ('fr', 'de') THEN url END AS own, CASE WHEN lang <> 'fr' THEN guid END AS g,
+    coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '') AS published FROM lines)""",
+    """SELECT feed_url, pos, g AS guid, own AS url, CASE lang WHEN 'fr' THEN 'hash' WHEN 'de' THEN 'guid' ELSE 'link' END AS id_source,
+  substr(sha256(feed_url || chr(10) || coalesce(own, g, title || '|' || published)), 1, 16) AS id FROM k""",
+)

@@ -404,6 +404,31 @@ def show_items_query(spark: SparkSession, sf: str) -> DataFrame:
     return show_items(stored, keys).select("feed_url", "key", "title", "guid", "url")
 
 
+def get_item(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of single items within a small budget, or the error that says how to ask again."""
+    docs = fx.feed_documents(spark, sf, "mixed")
+    keys = fx.table(spark, sf, "labels").join(docs, F.col("doc_id") == F.col("request_pos"))
+    keys = keys.select("feed_url", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-1")).alias("key"))
+    found = show_items(docs.select("feed_url", "body"), keys, content_format="html").where(F.col("id").isNotNull())
+    shown = report.item_documents(found, 500).withColumnRenamed("id", "_id")
+    named = found.select(F.col("feed_url").alias("_feed"), "key", "id")
+    error = F.col("error")
+    return shown.join(named, (F.col("_feed") == F.col("feed_url")) & (F.col("_id") == F.col("id"))).select(
+        "feed_url", "key", "id", error["code"].alias("code"), error["message"].alias("message"), error["details"].alias("details"), "summary"
+    )
+
+
+def empty_guids(spark: SparkSession, sf: str) -> DataFrame:
+    """Feeds whose guids or links are there but empty."""
+    docs = fx.feed_documents(spark, sf, "rss")
+    no_link = F.regexp_replace("body", "<link>/d/[^<]*</link>", "<link></link>")
+    no_guid = F.regexp_replace(no_link, '<guid isPermaLink="false">[^<]*</guid>', '<guid isPermaLink="false"></guid>')
+    lang = F.regexp_extract("body", "<category>([a-z]*)</category>", 1)
+    body = F.when(lang == "fr", no_guid).when(lang == "de", no_link).otherwise(F.col("body"))
+    run = fetch(docs.withColumn("body", body), FeedParams(content_format="none"))
+    return run.items().select("feed_url", "pos", "guid", "url", "id_source", "id")
+
+
 def cross_feed(spark: SparkSession, sf: str) -> DataFrame:
     items = fx.identified(fx.document_items(spark, sf).withColumn("guid", F.sha2("text", 256)))
     return item_ops.cross_feed_matches(items)
@@ -866,6 +891,8 @@ QUERIES: dict[str, Query] = {
     "merge_sources": merge_sources,
     "find_items": find_items,
     "show_items": show_items_query,
+    "get_item": get_item,
+    "empty_guids": empty_guids,
     "cross_feed": cross_feed,
     "diff_snapshots": diff_snapshots,
     "unseen": unseen,
