@@ -789,3 +789,8 @@ k AS (SELECT *, CASE WHEN lang NOT IN ('fr', 'de') THEN url END AS own, CASE WHE
     """SELECT feed_url, pos, g AS guid, own AS url, CASE lang WHEN 'fr' THEN 'hash' WHEN 'de' THEN 'guid' ELSE 'link' END AS id_source,
   substr(sha256(feed_url || chr(10) || coalesce(own, g, title || '|' || published)), 1, 16) AS id FROM k""",
 )
+ORACLE["parse_namespaces"] = with_(
+    LINES,
+    """SELECT doc_id, pos, '<x1:b>' || regexp_replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[\\x00-\\x20]+$', '') AS body
+FROM lines""",
+)

@@ -227,6 +227,15 @@ def parse_jsonfeed(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf, "json")
 
 
+def parse_namespaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies under a prefix that only their own element binds, with the like of it inside CDATA."""
+    docs = fx.feed_documents(spark, sf, "rss")
+    opened = '<x1:encoded xmlns:x1="http://purl.org/rss/1.0/modules/content/"><![CDATA[<x1:b>'
+    body = F.replace(F.replace("body", F.lit("<description>"), F.lit(opened)), F.lit("</description>"), F.lit("]]></x1:encoded>"))
+    entries = parse_feeds(docs.withColumn("body", body)).where(F.col("pos") > 0)
+    return entries.select(F.col("request_pos").alias("doc_id"), "pos", "body")
+
+
 def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     run = fetch(fx.feed_documents(spark, sf, "mixed"), FeedParams(content_format="none"))
     return run.errors().select("feed_url", "code", "details")
@@ -874,6 +883,7 @@ QUERIES: dict[str, Query] = {
     "parse_rss": parse_rss,
     "parse_atom": parse_atom,
     "parse_jsonfeed": parse_jsonfeed,
+    "parse_namespaces": parse_namespaces,
     "parse_errors": parse_errors,
     "fetch_items": fetch_items,
     "fetch_truncated": fetch_truncated,

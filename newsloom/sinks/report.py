@@ -275,8 +275,9 @@ def bounded_reports(
     error; one with cut bodies gets the truncation marker.
     """
     feeds = feeds_with_items(run)
-    bare = _one_feed_document(fetched_at, feed_json(F.col("items_text")), None)
-    sized = feeds.withColumn("_tokens", tokens_of_chars(F.length(bare)))
+    # The size is that of the document without items plus theirs, so a document is only written once.
+    frame = F.length(_one_feed_document(fetched_at, feed_json(F.lit("")), None))
+    sized = feeds.withColumn("_tokens", tokens_of_chars(frame + F.length("items_text")))
     marker = truncation_struct(
         F.col("n_cut"), F.lit(run.params.limit), F.col("_tokens"), F.lit(TRUNCATION_HINT)
     )

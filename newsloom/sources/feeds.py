@@ -86,34 +86,45 @@ _NAMESPACES = (
 )
 
 
-def _usual_prefix(text: Column, root: Column, uri: str, usual: str) -> Column:
-    declared = rf"""xmlns:([A-Za-z_][A-Za-z0-9_.\-]*)\s*=\s*["']{re.escape(uri.rstrip("/"))}/?["']"""
-    return bind(
-        F.regexp_extract(root, declared, 1),
-        lambda p: F.when(
-            (F.length(p) > 0) & (p != usual),
-            F.regexp_replace(
-                text,
-                F.concat(F.lit("(</?)"), F.replace(p, F.lit("."), F.lit("\\.")), F.lit(":")),
-                F.lit(f"$1{usual}:"),
-            ),
-        ).otherwise(text),
+_CDATA = r"(?s)<!\[CDATA\[.*?(?:\]\]>|\z)|(?:[^<]++|<(?!!\[CDATA\[))++"
+
+
+def _rename(text: Column, pattern: Column, replacement: str) -> Column:
+    """``regexp_replace`` outside of CDATA sections, whose text only looks like tags."""
+    plain = lambda v: F.regexp_replace(v, pattern, F.lit(replacement))
+    pieces = F.transform(
+        F.regexp_extract_all(text, F.lit(_CDATA), F.lit(0)),
+        lambda piece: F.when(piece.startswith("<![CDATA["), piece).otherwise(plain(piece)),
     )
+    return F.when(text.contains("<![CDATA["), F.array_join(pieces, "")).otherwise(plain(text))
+
+
+def _usual_prefix(text: Column, uri: str, usual: str) -> Column:
+    known = uri.rstrip("/")
+    declared = rf"""xmlns:([A-Za-z_][A-Za-z0-9_.\-]*)\s*=\s*["']{re.escape(known)}/?["']"""
+    prefixes = F.array_except(F.regexp_extract_all(text, F.lit(declared), F.lit(1)), F.array(F.lit(usual)))
+
+    def renamed(ps: Column) -> Column:
+        names = F.array_join(F.transform(ps, lambda p: F.replace(p, F.lit("."), F.lit("\\."))), "|")
+        pattern = F.concat(F.lit("(</?)(?:"), names, F.lit("):"))
+        return F.when(F.size(ps) > 0, _rename(text, pattern, f"$1{usual}:")).otherwise(text)
+
+    return F.when(text.contains(known), bind(prefixes, renamed)).otherwise(text)
 
 
 def known_prefixes(body: Column) -> Column:
-    """Rename prefixes that the root element binds to the namespaces above to the usual ones.
+    """Rename prefixes bound to the namespaces above, by the root or any element below, to the usual ones.
 
-    Only bodies whose root binds another prefix are rewritten.
+    Only bodies that name such an address are looked at; CDATA stays as it is.
     """
 
-    def build(root: Column) -> Column:
-        out = body
-        for uri, usual in _NAMESPACES:
-            out = _usual_prefix(out, root, uri, usual)
-        return out
+    def renaming(uri: str, usual: str):
+        return lambda v: _usual_prefix(v, uri, usual)
 
-    return bind(F.regexp_extract(body, _ROOT + "[^>]*>", 0), build)
+    out = body
+    for uri, usual in _NAMESPACES:
+        out = bind(out, renaming(uri, usual))
+    return out
 
 
 def _links(raw: Column) -> Column:

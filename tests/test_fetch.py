@@ -304,3 +304,15 @@ def test_namespaces_by_address_and_requests_apart(spark):
     items = run.items().collect()
     assert [(i.content, i.authors, i.enclosures[0].length, i.published) for i in items] == [("long & {", ["Bo"], 5, None)] * 2
     assert sorted((f.request_pos, f.item_count) for f in run.feeds().collect()) == [(0, 1), (1, 1)]
+
+
+def test_namespaces_below_the_root_and_cdata(spark):
+    body = (
+        "<rss><channel><title>t</title>"
+        '<item xmlns:k="http://purl.org/rss/1.0/modules/content/"><title>a</title><k:encoded><![CDATA[<k:b>&amp; <m:content/>]]></k:encoded></item>'
+        '<item><title>b</title><q.r:encoded xmlns:q.r="http://purl.org/rss/1.0/modules/content">own</q.r:encoded>'
+        '<m:content xmlns:m="http://search.yahoo.com/mrss/" url="http://v/2.mp4"/></item>'
+        '<item><title>c</title><k:encoded xmlns:k="http://other.example/">not ours</k:encoded></item></channel></rss>'
+    )
+    rows = parse_feeds(spark.createDataFrame([("u", body)], "feed_url string, body string")).where("pos > 0").orderBy("pos").collect()
+    assert [r.body for r in rows][:2] == ["<k:b>&amp; <m:content/>", "own"] and rows[1].enclosures[0].url == "http://v/2.mp4"
