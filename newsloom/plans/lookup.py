@@ -37,20 +37,15 @@ def show_items(
     documents = named.select(F.lit(0).cast("bigint").alias("request_pos"), "feed_url", "body", "wanted")
     items = fetch(documents, FeedParams(content_format="html")).items()
     own = F.array_intersect(F.array_compact(F.array("id", "guid", "url")), F.col("wanted"))
-    hits = items.withColumn("key", F.explode(own)).drop("wanted")
-    found = first_hits(hits, wanted)
-    bodied = found.withColumn("_x", extract_content("content", params.content_format))
+    hits = items.withColumn("key", F.explode(own)).drop("wanted").withColumn("_x", extract_content("content", params.content_format))
     whole = F.col("_x")["content"]
-    present = F.col("id").isNotNull()
-    shown = bodied.withColumns(
+    shown = hits.withColumns(
         {
             "content": truncate_chars(whole, max_content_chars),
-            "content_format": F.when(present, F.lit(params.content_format)),
-            "content_truncated": F.when(present, is_over(whole, max_content_chars)),
+            "content_format": F.lit(params.content_format),
+            "content_truncated": is_over(whole, max_content_chars),
             "content_hash": content_hash(whole),
-            "fell_back": F.when(present, F.coalesce(F.col("_x")["fell_back"], F.lit(False))),
+            "fell_back": F.coalesce(F.col("_x")["fell_back"], F.lit(False)),
         }
-    )
-    shown = shown.withColumn("content_tokens_est", F.when(present, estimate_tokens("content")))
-    return shown.select("feed_url", "key", *[c for c in found.columns if c not in ("feed_url", "key")])
-
+    ).drop("_x")
+    return first_hits(shown.withColumn("content_tokens_est", estimate_tokens("content")), wanted)
