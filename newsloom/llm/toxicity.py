@@ -2,10 +2,11 @@
 
 1. Character language model: trigram counts over all texts of the corpus (letters of a fixed alphabet, everything
    else is a word end), gathered with one vector of counts per partition and added; the model has at most 59³ counts.
-2. Restoring: a token that mixes letters with digits or signs, repeats a letter three times or more, or is a spaced-out word
+2. Restoring: a token that mixes letters with digits or signs, repeats a letter three times or more, or is a run of spaced letters
    (``s t u p i d``), becomes a lattice: each sign stands for the letters it imitates, each run of one letter for one or two of
-   them, each separator inside for nothing. Viterbi finds the most likely reading under the model and the cost of
-   each imitation. Plain tokens stay as they are.
+   them, each separator inside for nothing, and in spaced letters a word may end anywhere. Signs at the ends may also be plain
+   marks; three of a kind always are. Viterbi finds the most likely reading under the model and the cost of
+   each imitation. Plain tokens stay as they are, and no token is too long.
 3. Scoring: the words of the restored text and their beginnings of 4 to 7 letters are the features; logistic regression over the features that separate
    toxic from clean texts beyond chance (log-likelihood ratio) gives the score.
 
@@ -14,7 +15,8 @@ hash of the id, so the choice does not depend on order or partitions), and never
 
 Rules for odd input: null text counts as empty, and empty texts get the score of a text without features; null ids are not
 held out and cannot be labelled; labels that are null are left out, and the largest label of an id counts; without
-any labels of both kinds every score is the share of toxic labels (0 if there are none); repeated rows get equal scores.
+any labels of both kinds every score is the share of toxic labels (0 if there are none); repeated rows get equal scores; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,15 +43,22 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "%": "o", "&": "a",
 }
 SEPARATORS = frozenset(".-_*~'’`,;:/\\=^")
-LOOK_COST, DROP_COST = 1.0, 0.3
+LOOK_COST, DROP_COST, MARK_COST, SPLIT_COST = 1.0, 0.3, 14.0, 1.0
+READINGS, MARGIN = 12, 6.0  # of spaced letters
+#: Cost of a sign at the start or end of a token that stands for nothing: low where writers put it as a plain mark.
+LEAD_DROPS = {"@": 1.0, "#": 1.0, "(": 0.3, "<": 0.3, "¡": 0.0, "€": 1.0, "£": 1.0, "%": 3.0, "&": 3.0, "$": MARK_COST, "!": MARK_COST, "|": 3.0, "+": 3.0}
+TAIL_DROPS = {"!": 0.3, "%": 1.0, "€": 1.0, "£": 1.0, "<": 1.0, "(": 1.0, "&": 3.0, "|": 3.0, "#": MARK_COST, "$": MARK_COST, "@": MARK_COST, "+": MARK_COST}
 
 SAMPLE = 12_000
 MIN_TOXIC, MIN_RATIO, MAX_FEATURES = 4, 30.0, 2000
-LONGEST_WORD = 40  # longer tokens are not words and stay as they are
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\w)")
-_TRIPLE = re.compile(r"(.)\1\1")
+_TRIPLE = re.compile(r"(.)\1\1+")
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»“”„’‘…–—·"
+# Marks around a token: signs that imitate nothing, any sign three times or more, and repeated exclamation marks.
+_MARKS = "".join(map(re.escape, (c for c in _EDGES if c not in LOOKS)))
+_LEAD = re.compile(rf"^(?:([^\w\s])\1\1+|[{_MARKS}])+")
+_TAIL = re.compile(rf"(?:([^\w\s])\1\1+|!!|[{_MARKS}])+$")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -90,35 +99,36 @@ class Decoder:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
-        self.known: dict[str, str] = {}
-
-    def word(self, token: str) -> str:
-        """The restored form of a lower-case token without white space; "" if nothing of it is a word."""
-        plain = token.strip(_EDGES)
-        if plain.isalpha() and not _TRIPLE.search(plain):
-            # Signs at the ends may be part of the disguise, as in "$cum"; three in a row are decoration.
-            ends = token[: len(token) - len(token.lstrip(_EDGES))][-1:], token[len(token.rstrip(_EDGES)) :][:1]
-            if not (ends[0] in LOOKS and len(token) - len(token.lstrip(_EDGES)) == 1):
-                return plain
-        got = self.known.get(token)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def words(self, token: str, joined: bool = False) -> tuple[str, ...]:
+        """The restored form of a lower-case token without white space, () if nothing of it is a word. ``joined`` tokens
+        may hold several words."""
+        body = _TAIL.sub("", _LEAD.sub("", token))
+        if body.isalpha() and not joined and not _TRIPLE.search(body):
+            return (body,)
+        body = _TRIPLE.sub(r"\1\1\1", body)
+        key = f" {body}" if joined else body
+        got = self.known.get(key)
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[token] = self._restored(token, plain)
+            got = self._restored(body, joined)
+            if len(body) <= 64:  # longer tokens seldom come twice
+                self.known[key] = got
         return got
 
-    def _restored(self, token: str, plain: str) -> str:
-        if len(token) > LONGEST_WORD or not any(c.isalpha() for c in token):
-            return plain
-        lead = token.lstrip(_EDGES)
-        head = token[: len(token) - len(lead)]
-        body = (head[-1:] if head[-1:] in LOOKS and len(head) == 1 else "") + plain
-        readings = [r for r in (self.decode(body), self.decode(plain) if body != plain else None) if r is not None]
-        return min(readings, key=lambda r: r[1])[0] if readings else plain
-
-    def decode(self, token: str) -> tuple[str, float] | None:
-        """Most likely reading and its cost per letter; None if a sign has no reading."""
-        beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def _restored(self, body: str, joined: bool) -> tuple[str, ...]:
+        plain = body.strip(_EDGES)
+        readings = self.decode(body, joined) if any(c.isalpha() for c in body) else []
+        return tuple(dict.fromkeys(word for reading in readings or [plain] for word in reading.split()))
+
+    def decode(self, token: str, joined: bool = False) -> list[str]:
+        """The most likely reading; if the token is ``joined``, all readings about as likely (``MARGIN``), with blanks between
+        words, as three letters of context seldom settle where a word ends. Empty if a sign has no reading."""
+        keep = READINGS if joined else 1
+        # State: the last two letters, a word end being 0. Value: the best costs, with the pieces so far, last first.
+        beams: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {(0, 0): [(0.0, None)]}
         i, n = 0, len(token)
         while i < n:
             c, j = token[i], i + 1
@@ -130,41 +140,64 @@ class Decoder:
                 if j - i > 1:
                     options.append((c + c, 0.0 if j - i == 2 else 0.5))
             elif c in LOOKS:
-                options = [(x, LOOK_COST) for x in LOOKS[c]]
+                # Two equal signs are two letters, but no word starts with a letter twice.
+                options = [(x, LOOK_COST + (MARK_COST if j - i == 2 and i else 0.0)) for x in LOOKS[c]]
                 if j - i > 1:
-                    options += [(x + x, LOOK_COST) for x in LOOKS[c]]
-                if c in "!+|#%&$" :
-                    options.append(("", DROP_COST + 2.0))
+                    options += [(x + x, LOOK_COST + (0.0 if i else MARK_COST)) for x in LOOKS[c]]
+                if i == 0 and c in LEAD_DROPS:
+                    options.append(("", LEAD_DROPS[c]))
+                elif j == n and c in TAIL_DROPS:
+                    options.append(("", TAIL_DROPS[c]))
+                elif c in "!+|#%&$":
+                    options.append(("", MARK_COST))
             elif c in SEPARATORS:
                 options = [("", DROP_COST)]
             else:
-                return None
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in beams.items():
+                return []
+            if joined:
+                options += [(f"{x} {x}", price + SPLIT_COST) for x, y, price in ((p[0], p[1:], cost) for p, cost in options if p) if x == y]
+                options += [(" " + piece, price + SPLIT_COST) for piece, price in options if piece]
+            following: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {}
+            for (a, b), entries in beams.items():
                 for piece, price in options:
-                    x, y, total = a, b, cost + price
+                    x, y, added = a, b, price
                     for letter in piece:
-                        z = CODE[letter]
-                        total += self.costs[x, y, z]
+                        z = CODE.get(letter, 0)
+                        added += self.costs[x, y, z]
                         x, y = y, z
-                    if (x, y) not in following or total < following[x, y][0]:
-                        following[x, y] = (total, out + piece)
+                    here = following.setdefault((x, y), [])
+                    for cost, out in entries:
+                        if len(here) < keep or cost + added < here[-1][0]:
+                            here.append((cost + added, (piece, out) if piece else out))
+                            here.sort(key=_cost)
+                            del here[keep:]
             beams, i = following, j
-        ended = [(cost + self.costs[a, b, 0], out) for (a, b), (cost, out) in beams.items()]
-        cost, out = min(ended)
-        return (out, cost / (len(out) + 1)) if out else None
+        ended = sorted(((cost + self.costs[a, b, 0], out) for (a, b), entries in beams.items() for cost, out in entries), key=_cost)
+        return [_text(out) for cost, out in ended[:keep] if cost <= ended[0][0] + MARGIN]
+
+
+def _cost(entry: tuple) -> float:
+    return entry[0]
+
+
+def _text(pieces: tuple | None) -> str:
+    found = []
+    while pieces is not None:
+        piece, pieces = pieces
+        found.append(piece)
+    return "".join(reversed(found))
+
+
+def tokens_of(low: str) -> set[tuple[str, bool]]:
+    """The distinct tokens of a lower-case text, and its runs of spaced letters, joined (True)."""
+    return {(t, False) for t in low.split()} | {(s.replace(" ", ""), True) for s in _SPACED.findall(low)}
 
 
 def restored_words(text: str | None, decoder: Decoder) -> set[str]:
     """The distinct words of the restored text."""
     if not text:
         return set()
-    low = text.lower()
-    found = {decoder.word(token) for token in set(low.split())}
-    for spaced in _SPACED.findall(low):
-        found.add(decoder.word(spaced.replace(" ", "")))
-    found.discard("")
-    return found
+    return {word for token in tokens_of(text.lower()) for word in decoder.words(*token)}
 
 
 def word_features(word: str) -> list[str]:
@@ -180,21 +213,17 @@ class Model:
 
     def scorer(self):
         decoder, weights, bias = Decoder(self.costs), self.weights, self.bias
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[tuple[str, bool], tuple[str, ...]] = {}
 
-        def features(token: str) -> tuple[str, ...]:
-            word = decoder.word(token)
-            return tuple(f for f in word_features(word) if f in weights) if word else ()
+        def features(token: tuple[str, bool]) -> tuple[str, ...]:
+            return tuple(f for word in decoder.words(*token) for f in word_features(word) if f in weights)
 
         def score(text: str | None) -> float:
             present: set[str] = set()
             if text:
-                low = text.lower()
-                tokens = set(low.split())
-                tokens.update(s.replace(" ", "") for s in _SPACED.findall(low))
                 if len(known) > 400_000:
                     known.clear()
-                for token in tokens:
+                for token in tokens_of(text.lower()):
                     got = known.get(token)
                     if got is None:
                         got = known[token] = features(token)
@@ -233,8 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             words = [sorted(restored_words(t, decoder)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
-    # Repeated rows of one labelled id count as often as they occur, like any other text.
-    rows = labelled_sample(docs, labels, sample).mapInArrow(extract, "words array<string>, toxic int").persist()
+    # Copies of a text count once, or the words of a text with many copies would look like evidence.
+    rows = labelled_sample(docs, labels, sample).distinct().mapInArrow(extract, "words array<string>, toxic int").persist()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:

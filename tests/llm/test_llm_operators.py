@@ -308,6 +308,24 @@ def test_toxicity_restores_and_learns(spark):
     assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()) == sorted(k for k, r in got.items() if not r.predicted)
 
 
+def test_toxicity_decodes_signs_at_word_ends_long_runs_and_joined_words():
+    words = "idiot you are an moron the stupid trash loser ass waste of time in this place and that".split()
+    counts = np.zeros((toxicity.K,) * 3)
+    for word in words:
+        codes = [0, 0, *(toxicity.CODE[c] for c in word), 0]
+        for k in range(len(codes) - 2):
+            counts[codes[k], codes[k + 1], codes[k + 2]] += 100
+    decoder = toxicity.Decoder(toxicity.letter_costs(counts))
+    for token, word in {
+        "!d!ot": "idiot", "idio+": "idiot", "a$$": "ass", "$$tupid": "stupid", "$+upid!": "stupid", "st" + "u" * 50 + "pid": "stupid",
+        "tra$#": "trash", "l.o.s.e.r": "loser", "moron!!": "moron", "the***": "the", "this.$$$": "this", "(stupid)": "stupid", "#idiot": "idiot",
+    }.items():
+        assert decoder.words(token) == (word,)
+    assert toxicity.restored_words("y o u i d i o t", decoder) >= {"you", "idiot"}
+    assert decoder.words("...") == decoder.words("") == () and decoder.words("$100") == ("100",)
+    assert len(decoder.words("x1" * 20_000)) == 1
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a text", None])
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
