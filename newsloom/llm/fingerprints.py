@@ -1,20 +1,25 @@
 """Document fingerprints by consistent weighted sampling, in SQL functions only.
 
 A text is a bag of weighted terms: its shingles of five words (a shorter text is one shingle of all its words) with
-their counts as weights. Each term draws, from its hash alone, r and c from Gamma(2, 1) and b from U(0, 1); with weight w
+their counts as weights. A weight is cut in cells of one: a term that occurs n times fills its cells 0 to n - 1, so the cells that two
+bags share weigh what the terms' smaller weights add up to. Each cell draws, from its hash alone, r and c from Gamma(2, 1)
+and b from U(0, 1); with the weight w that fills it
 
     t = floor(ln w / r + b)      ln a = ln c - r (t - b + 1)
 
-and the term with the smallest a is a sample of the bag: two bags choose the same (term, t) with probability equal to
-their generalised Jaccard similarity. To take ``BINS`` samples in one pass over the terms, a hash of the term first deals it
-to one of ``BINS`` bins and each bin samples its own terms (bin-wise consistent weighted sampling). Bins that are empty in
-both texts say nothing and leave the comparison: likeness = equal bins / bins that hold a term in either text.
+and the cell with the smallest a is a sample of the bag: two bags choose the same one with probability equal to
+their generalised Jaccard similarity. Counts fill their cells (w = 1, t = 0). To take ``BINS`` samples in one pass over the cells, a
+hash of the cell first deals it to one of ``BINS`` bins and each bin samples its own cells. As a term's weight
+is dealt out cell by cell, every bin holds its share of it, and the expected share of equal bins stays the generalised
+Jaccard similarity however often a term is repeated. Bins that are empty in both texts say nothing and leave the comparison:
+likeness = equal bins / bins that hold a cell in either text.
 
-ln a with 47 fractional bits stands for the pair (term, t), so a bag is an array of longs ``bin · 2^54 + ln a``, sorted
+ln a with 47 fractional bits stands for the cell, so a bag is an array of longs ``bin · 2^54 + ln a``, sorted
 once, whose first entry of each bin is the sample. Everything happens inside the row: no shuffle, no Python.
 
 Rules for odd input: null text counts as empty; texts without words have an empty fingerprint, alike (1.0) to each other
-and unlike (0.0) to all others; equal texts have equal fingerprints; white space only separates words.
+and unlike (0.0) to all others; equal texts have equal fingerprints; white space only separates words; repeated rows follow each
+other as rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WORDS = 5
-BINS = 128
+BINS = 256
 IDS_PER_BUCKET = 1024
 
 _LOW = 0xFFFFFFFF
@@ -53,42 +58,44 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return _let(parts, hashes)
 
 
-def _draw(term: Column, weight: Column | None, bins: int) -> Column:
-    """bin · 2^54 + (ln a + 100) · 2^47 of one term."""
+def _draw(cell: Column, bins: int) -> Column:
+    """bin · 2^54 + (ln a + 100) · 2^47 of one full cell."""
 
     def gamma(h: Column) -> Column:  # -ln(u v), u and v from the halves of a hash
         u = F.shiftrightunsigned(h, 32).cast("double") + 0.5
         v = h.bitwiseAND(F.lit(_LOW)).cast("double") + 0.5
         return F.lit(_LN2_64) - F.log(u * v)
 
-    b = (F.shiftrightunsigned(term, 32).cast("double") + 0.5) * 2.0**-32
-    bin_ = F.pmod(term.bitwiseAND(F.lit(_LOW)), F.lit(bins))
-    log_c = F.log(gamma(F.xxhash64(term, F.lit(1))))
-
-    def code(r: Column) -> Column:
-        t = F.lit(0.0) if weight is None else F.floor(F.log(weight.cast("double")) / r + b).cast("double")
-        log_a = log_c - r * (t - b + 1.0)
-        return F.shiftleft(bin_, 54) + ((log_a + 100.0) * float(1 << 47)).cast("bigint")
-
-    r = gamma(F.xxhash64(term, F.lit(2)))
-    return code(r) if weight is None else _let(r, code)
+    b = (F.shiftrightunsigned(cell, 32).cast("double") + 0.5) * 2.0**-32
+    bin_ = F.pmod(cell.bitwiseAND(F.lit(_LOW)), F.lit(bins))
+    log_c = F.log(gamma(F.xxhash64(cell, F.lit(1))))
+    log_a = log_c - gamma(F.xxhash64(cell, F.lit(2))) * (1.0 - b)
+    return F.shiftleft(bin_, 54) + ((log_a + 100.0) * float(1 << 47)).cast("bigint")
 
 
 def sample_array(text: Column, words: int = WORDS, bins: int = BINS) -> Column:
     """The fingerprint as an array of integers, bin · 2^16 + 16 bits of the bin's sample, by bin."""
 
     def samples(s: Column) -> Column:
-        def counted(_: Column) -> Column:
+        def cells(_: Column) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-            return _let(
-                starts,
-                lambda at: F.transform(
-                    at, lambda i, j: _draw(F.get(s, i), F.coalesce(F.get(at, j + 1), F.size(s)) - i, bins)
-                ),
-            )
-
-        plain = F.transform(s, lambda h: _draw(h, None, bins))
-        return F.when(F.size(F.array_distinct(s)) == F.size(s), plain).otherwise(counted(s))
+
+            def of_term(at: Column) -> Column:
+                last = lambda j: F.coalesce(F.get(at, j + 1), F.size(s)) - 1
+                return F.flatten(
+                    F.transform(
+                        at,
+                        lambda i, j: F.transform(
+                            F.sequence(i, last(j)),
+                            lambda k: F.when(k == i, F.get(s, i)).otherwise(F.xxhash64(F.get(s, i), k - i)),
+                        ),
+                    )
+                )
+
+            return _let(starts, of_term)
+
+        repeated = F.size(F.array_distinct(s)) < F.size(s)
+        return F.transform(F.when(repeated, cells(s)).otherwise(s), lambda cell: _draw(cell, bins))
 
     def first_of_bins(c: Column) -> Column:
         own = F.filter(c, lambda x, i: (i == 0) | (F.shiftright(x, 54) != F.shiftright(F.get(c, i - 1), 54)))
