@@ -16,6 +16,8 @@ from newsloom.llm import bpe, mixing, toxicity
 from newsloom.llm.common import table
 from newsloom.llm.queries import ORACLE, QUERIES
 
+SF_LABELLED = "/root/testdata/sf0.1"
+
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
@@ -37,6 +39,14 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(got[i].predicted for i in clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_catches_held_out_toxic_documents(spark):
+    """On tables with enough labels. About one toxic label in seven there marks a text without any insult."""
+    held = QUERIES["op6_toxicity"](spark, SF_LABELLED).where("held_out").join(table(spark, SF_LABELLED, "labels"), "doc_id")
+    pairs = Counter((r.toxic, r.predicted) for r in held.select("toxic", "predicted").collect())
+    assert pairs[1, 1] >= 0.8 * (pairs[1, 0] + pairs[1, 1]) > 0
+    assert pairs[0, 1] <= 0.005 * (pairs[0, 0] + pairs[0, 1])
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = table(spark, SF_SMALL, "documents")
     kept = []
