@@ -13,11 +13,12 @@ halving: a point of the interval goes to its lower or upper half by a fair hash
 stops at the largest register: a process whose next point is later is finished. All texts of a batch
 advance together, one point per live process and step, with numpy.
 
-Search. ``m = bands * rows`` registers are cut in bands; texts that agree on a band share a bucket. In each round every text is
-compared with the pivot of each of its buckets (unless they are in one class already), exactly, on the multisets themselves. Rounds
-differ in their pivots and in their buckets: the first two take the bands, the last one pairs of bands, whose buckets hold
-only the closest texts of a family, so that a link between two texts at the edge of a large family is tried as well. A bucket of
-any size takes linear work per round, with partial sums (the pivot is a minimum), without emitting its pairs and without a cap.
+Search. ``m = bands * rows`` registers are cut in bands; texts that agree on a band share a bucket. Two rounds compare every
+text with the pivot of each of its buckets (unless they are in one class already), exactly, on the multisets themselves; that takes
+linear work and joins most of every family. Then the buckets that still hold several classes are finished: texts outside the
+largest class of a bucket, so many per bucket and turn, are compared with all texts of other classes in their buckets, until every two
+texts of a bucket are in one class or were compared. So no link between texts of one bucket is lost, and the pairs that are compared
+are those between classes, never those of a family that is found already.
 
 Distribution. Equal texts meet as (digest, smallest id) by partial aggregation first, so a text that makes up a third
 of the table is one row afterwards. Pairs whose pivot is shared by many texts are salted by the text.
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from newsloom.llm.common import small_batches
@@ -43,8 +44,8 @@ from newsloom.session import scratch_path
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Rounds of pivots: an empty one takes the bands as buckets, others pairs of bands so many apart.
-ROUNDS: tuple[tuple[int, ...], ...] = ((), (), tuple(range(1, 10)))
+#: Rounds of one pivot for each bucket; texts for each bucket that the first turn after them compares with all others.
+ROUNDS, TAKE = 2, 16
 _LAST = (1 << 63) - 1
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -172,13 +173,12 @@ def _buckets(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(nodes[full], bands), pa.int64()),
-                    pa.array(np.tile(np.arange(bands), int(full.sum())), pa.int32()),
                     pa.array(keys.reshape(-1), pa.int64()),
                 ],
-                names=["node", "band", "bucket"],
+                names=["node", "bucket"],
             )
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, band int, bucket bigint")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, bucket bigint")
 
 
 def _similarity(words: int):
@@ -236,28 +236,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def _composed(members: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    """(node, bucket) where a bucket is a pair of band buckets, those of a band and of the band a step further: as many
-    buckets for each step as bands, of twice as many rows each. Bands that are no shared bucket have no pair."""
-    own = members.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("m"))  # one entry per band
-
-    def pairs(step: Column) -> Column:
-        return F.transform(
-            F.map_keys("m"),
-            lambda band: F.xxhash64(step, F.element_at("m", band), F.try_element_at("m", F.pmod(band + step, F.lit(BANDS)).cast("int")))
-            * F.when(F.map_contains_key("m", F.pmod(band + step, F.lit(BANDS)).cast("int")), 1),
-        )
-
-    buckets = F.flatten(F.transform(F.array(*[F.lit(s) for s in steps]), pairs))
-    return own.select("node", F.explode(F.filter(buckets, lambda x: x.isNotNull())).alias("bucket"))
-
-
-def _linked(members: DataFrame, texts: DataFrame, words: int, threshold: float, saved) -> DataFrame:
-    """(node, root) of every text with a link. members: (bucket, band, node); texts: (node, text). See the module text."""
+def _pivot_rounds(members: DataFrame, texts: DataFrame, words: int, threshold: float, saved) -> DataFrame:
+    """(node, root) of the texts linked through the pivots of their buckets. members: (bucket, node); texts: (node, text)."""
     roots = texts.select("node", F.col("node").alias("root")).limit(0)
-    for turn, steps in enumerate(ROUNDS):
-        dealt = _composed(members, steps) if steps else members.select("node", "bucket")
-        now = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if turn else dealt.withColumn("root", F.col("node"))
+    for turn in range(ROUNDS):
+        now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if turn else members.withColumn("root", F.col("node"))
         # The first pivots are the same text in all buckets it is in (few pairs); later ones differ by bucket.
         luck = F.xxhash64(F.lit(turn), F.col("node")) if not turn else F.xxhash64(F.lit(turn), "bucket", "node")
         chosen = (
@@ -268,15 +251,39 @@ def _linked(members: DataFrame, texts: DataFrame, words: int, threshold: float,
         )
         pairs = saved(now.join(chosen, "bucket").where("root <> pivot_root").select("node", "pivot").distinct(), "pairs")
         if not pairs.head(1):
-            if not steps:
-                break  # every bucket is of one class, and pairs of bands are parts of buckets
-            continue
+            break  # every bucket is of one class
         found = saved(_verified(pairs, texts, words, threshold), "found")
         if found.head(1):
             roots = components(found.union(roots.select("node", F.col("root").alias("pivot"))))
     return roots
 
 
+def _finished(members: DataFrame, texts: DataFrame, roots: DataFrame, words: int, threshold: float, saved) -> DataFrame:
+    """``roots`` with the links that pivots missed: afterwards the texts of a bucket are in one class or were compared.
+
+    In each turn every bucket of several classes names some texts outside its largest class. Each of them is compared with
+    all texts of other classes in all of its buckets and is then done, so no pair is compared twice."""
+    live, take = members, TAKE
+    while True:
+        now = live.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        classes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        several = classes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        live = saved(now.join(several.select("bucket", F.col("most.root").alias("largest")), "bucket"), "live")
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        outside = live.where("root <> largest").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= take)
+        named = saved(outside.select("node").distinct(), "named")
+        if not named.head(1):
+            return roots
+        marked = live.join(named.withColumn("named", F.lit(True)), "node", "left").select("bucket", "node", "root", "named")
+        pivots = live.join(named, "node").select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+        once = F.col("named").isNull() | (F.col("node") < F.col("pivot"))
+        pairs = saved(marked.join(pivots, "bucket").where(once & (F.col("root") != F.col("pivot_root"))).select("node", "pivot").distinct(), "pairs")
+        found = saved(_verified(pairs, texts, words, threshold), "found")
+        if found.head(1):
+            roots = components(found.union(roots.select("node", F.col("root").alias("pivot"))))
+        live, take = live.select("bucket", "node").join(named, "node", "left_anti"), take * 4
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with __text (never null), __node (hash of the text) and __rid (doc_id, largest where null)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -306,7 +313,7 @@ def _classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: in
         .select(F.col("__node").alias("node"), F.coalesce("text", F.lit("")).alias("text")),
         "texts",
     )
-    roots = _linked(members, texts, words, threshold, saved)
+    roots = _finished(members, texts, _pivot_rounds(members, texts, words, threshold, saved), words, threshold, saved)
     own = nodes.withColumnRenamed("__node", "node")
     rooted = own.join(roots, "node", "left").where(F.col("root").isNotNull() | (F.col("n") > 1)).withColumn("root", F.coalesce("root", "node"))
     head = rooted.groupBy("root").agg(F.min(F.struct("rid", "node")).alias("h"))

@@ -189,6 +189,27 @@ def near_texts():
     return texts + [("same line of words here " * 40) + prose(rng, 10), ("same line of words here " * 41) + prose(rng, 10)] + [prose(rng, 60) for _ in range(40)]
 
 
+def test_near_duplicates_inside_a_family_of_unlinked_texts(spark):
+    """Sixty texts that are 0.6 to 0.7 alike, so that most share buckets and none is linked; each has one near copy, which no pivot shows."""
+    rng = random.Random(11)
+    base = prose(rng, 150).split()
+
+    def edited(words, places, mark):
+        return [f"{mark}{k}" if k in places else w for k, w in enumerate(words)]
+
+    texts = []
+    for k in range(60):
+        own = edited(base, set(rng.sample(range(5, 145), 3)), f"own{k}x")
+        texts += [own, edited(own, {rng.randrange(5, 145)}, f"copy{k}x")]
+    texts = [" ".join(t) for t in texts]
+    links = {(a, b) for a in range(120) for b in range(a) if similarity(texts[a], texts[b]) >= 0.8}
+    lone = [k for k in range(60) if all(min(p) // 2 == k for p in links if 2 * k in p or 2 * k + 1 in p)]
+    assert len(lone) > 40 and all((2 * k + 1, 2 * k) in links for k in range(60))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(documents(spark, texts)).collect()}
+    assert all(got[a] == got[b] for a, b in links)
+    assert all(got[2 * k] == 2 * k and sum(c == 2 * k for c in got.values()) == 2 for k in lone)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     texts = near_texts()
     ids = [7 * k + 3 for k in range(len(texts))]
@@ -422,6 +443,14 @@ def test_mixing_equals_a_simulation(spark):
     assert ordered == sorted(ordered)
 
 
+def test_mixing_of_many_sources_equals_a_simulation(spark):
+    sizes = {f"s{k:03}": 1 + k * k % 37 for k in range(300)}
+    weights = {s: 1 + k % 7 for k, s in enumerate(sizes)}
+    sources = [s for s, n in sizes.items() for _ in range(n)]
+    rows = mixing.mix(documents(spark, ["t"] * len(sources), sources=sources), weights, block_rows=2).select("source", "mix_slot").distinct().collect()
+    assert {(r.source, r.mix_slot) for r in rows} == {(s, slot) for (s, _), slot in simulate(sizes, weights, 2).items()}
+
+
 def test_mixing_stays_within_a_block(spark):
     sizes = {"a": 900, "b": 450, "c": 300, "d": 150}
     frame = documents(spark, ["t"] * 1800, sources=[s for s, n in sizes.items() for _ in range(n)])
