@@ -15,10 +15,9 @@ advance together, one point per live process and step, with numpy.
 
 Search. ``m = bands * rows`` registers are cut in bands; texts that agree on a band share a bucket. Two rounds compare every
 text with the pivot of each of its buckets (unless they are in one class already), exactly, on the multisets themselves; that takes
-linear work and joins most of every family. Then the buckets that still hold several classes are finished: texts outside the
-largest class of a bucket, so many per bucket and turn, are compared with all texts of other classes in their buckets, until every two
-texts of a bucket are in one class or were compared. So no link between texts of one bucket is lost, and the pairs that are compared
-are those between classes, never those of a family that is found already.
+linear work and joins most of every family. Then the buckets that still hold several classes are finished: their texts outside the
+largest class are compared with all of their texts, in blocks, so that every two texts of a bucket are in one class or were
+compared. No link between texts of one bucket is lost, and a family that is one class by then costs nothing.
 
 Distribution. Equal texts meet as (digest, smallest id) by partial aggregation first, so a text that makes up a third
 of the table is one row afterwards. Pairs whose pivot is shared by many texts are salted by the text.
@@ -44,8 +43,8 @@ from newsloom.session import scratch_path
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Rounds of one pivot for each bucket; texts for each bucket that the first turn after them compares with all others.
-ROUNDS, TAKE = 2, 16
+#: Rounds of one pivot for each bucket; texts of a block when the rest is compared.
+ROUNDS, BLOCK = 2, 256
 _LAST = (1 << 63) - 1
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -258,30 +257,95 @@ def _pivot_rounds(members: DataFrame, texts: DataFrame, words: int, threshold: f
     return roots
 
 
+def _items(hashes: np.ndarray) -> np.ndarray:
+    """One item per occurrence, (shingle, how many before it) hashed: the overlap of two multisets is that of two sets of items."""
+    ordered = np.sort(hashes)
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+    turn = np.arange(len(ordered)) - np.maximum.accumulate(np.where(fresh, np.arange(len(ordered)), 0))
+    with np.errstate(over="ignore"):
+        return _mix(ordered ^ _mix(turn.astype(np.uint64) + _GOLD))
+
+
+def overlaps(bags: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of the texts ``left`` with the texts ``right`` (places in ``bags``, lists of shingles), by
+    products of 0/1 matrices, some thousand items at a time."""
+    items = [_items(x) for x in bags]
+    lengths = np.array([len(x) for x in items])
+    _, item, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    text = np.repeat(np.arange(len(items)), lengths)
+    common = count[item] > 1  # others are in one text only
+    text, item = text[common], (np.cumsum(count > 1) - 1)[item[common]]
+    order = np.argsort(item, kind="stable")
+    text, item = text[order], item[order]
+    shared = np.zeros((len(left), len(right)))
+    for low in range(0, int(item[-1]) + 1 if len(item) else 0, 4096):
+        part = slice(*np.searchsorted(item, [low, low + 4096]))
+        has = np.zeros((len(items), 4096), np.float32)
+        has[text[part], item[part] - low] = 1
+        shared += has[left] @ has[right].T
+    return shared / np.maximum(lengths[left][:, None] + lengths[right][None, :] - shared, 1)
+
+
+def _links_in_cells(cells: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(node, pivot) linked texts of one cell. cells: (bucket, r, c, node, root, in_row, in_col, text), a cell's rows together."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        nodes, roots, in_row, in_col, texts = zip(*rows, strict=True)
+        left, right, root = np.flatnonzero(in_row), np.flatnonzero(in_col), np.array(roots)
+        if not len(left) or not len(right) or len(set(roots)) == 1:
+            return []
+        close = overlaps(shingles(pa.array(texts, pa.large_string()), words), left, right) >= threshold
+        close &= root[left][:, None] != root[right][None, :]
+        return [(nodes[left[i]], nodes[right[j]]) for i, j in zip(*np.nonzero(close), strict=True)]
+
+    def run(batches):
+        cell, rows = None, []
+        for batch in small_batches(batches, 512):
+            out: list[tuple[int, int]] = []
+            for bucket, r, c, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (bucket, r, c) != cell:
+                    out += links(rows) if rows else []
+                    cell, rows = (bucket, r, c), []
+                rows.append(tuple(row))
+            yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in out], pa.int64()), "pivot": pa.array([y for _, y in out], pa.int64())})
+        out = links(rows) if rows else []
+        yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in out], pa.int64()), "pivot": pa.array([y for _, y in out], pa.int64())})
+
+    return cells.mapInArrow(run, "node bigint, pivot bigint")
+
+
 def _finished(members: DataFrame, texts: DataFrame, roots: DataFrame, words: int, threshold: float, saved) -> DataFrame:
     """``roots`` with the links that pivots missed: afterwards the texts of a bucket are in one class or were compared.
 
-    In each turn every bucket of several classes names some texts outside its largest class. Each of them is compared with
-    all texts of other classes in all of its buckets and is then done, so no pair is compared twice."""
-    live, take = members, TAKE
-    while True:
-        now = live.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        classes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        several = classes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        live = saved(now.join(several.select("bucket", F.col("most.root").alias("largest")), "bucket"), "live")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-        outside = live.where("root <> largest").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= take)
-        named = saved(outside.select("node").distinct(), "named")
-        if not named.head(1):
-            return roots
-        marked = live.join(named.withColumn("named", F.lit(True)), "node", "left").select("bucket", "node", "root", "named")
-        pivots = live.join(named, "node").select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-        once = F.col("named").isNull() | (F.col("node") < F.col("pivot"))
-        pairs = saved(marked.join(pivots, "bucket").where(once & (F.col("root") != F.col("pivot_root"))).select("node", "pivot").distinct(), "pairs")
-        found = saved(_verified(pairs, texts, words, threshold), "found")
-        if found.head(1):
-            roots = components(found.union(roots.select("node", F.col("root").alias("pivot"))))
-        live, take = live.select("bucket", "node").join(named, "node", "left_anti"), take * 4
+    In a bucket of several classes the texts outside its largest class are compared with all of its texts. Both sides are dealt
+    to blocks of about BLOCK texts; a cell is a pair of blocks, and a text travels once per cell. Buckets of equal texts count once."""
+    now = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
+    classes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), *marks)
+    several = (
+        classes.groupBy("bucket")
+        .agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+        .where("k > 1")
+    )
+    open_ = several.groupBy("all", "x1", "x2").agg(F.min(F.struct("bucket", "most")).alias("b"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = open_.select(
+        F.col("b.bucket").alias("bucket"), F.col("b.most.root").alias("largest"), blocks(F.col("all") - F.col("b.most.n")).alias("rows"), blocks(F.col("all")).alias("cols")
+    )
+    own = (
+        now.join(sized, "bucket")
+        .withColumn("row", F.when(F.col("root") != F.col("largest"), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("rows")).cast("int")))
+        .withColumn("col", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("cols")).cast("int"))
+    )
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.col("col").alias("c")))
+    along = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.struct(F.col("row").alias("r"), c.alias("c")))
+    cells = own.withColumn("cell", F.explode(F.array_distinct(F.when(F.col("row").isNull(), down).otherwise(F.concat(down, along)))))
+    placed = cells.select(
+        "bucket", "cell.r", "cell.c", "node", "root", F.coalesce(F.col("row") == F.col("cell.r"), F.lit(False)).alias("in_row"), (F.col("col") == F.col("cell.c")).alias("in_col")
+    )
+    sorted_cells = placed.join(texts, "node").select(*placed.columns, "text").repartition("bucket", "r", "c").sortWithinPartitions("bucket", "r", "c")
+    found = saved(_links_in_cells(sorted_cells, words, threshold).distinct(), "found")
+    return components(found.union(roots.select("node", F.col("root").alias("pivot")))) if found.head(1) else roots
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

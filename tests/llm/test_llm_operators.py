@@ -189,6 +189,16 @@ def near_texts():
     return texts + [("same line of words here " * 40) + prose(rng, 10), ("same line of words here " * 41) + prose(rng, 10)] + [prose(rng, 60) for _ in range(40)]
 
 
+def test_overlaps_by_matrices_equal_single_overlaps():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(30))) for _ in range(25)] + [prose(rng, 3000)] * 2
+    bags = bagminhash.shingles(pa.array(texts))
+    left, right = np.arange(0, 27, 2), np.arange(27)
+    want = [[bagminhash.overlap(bagminhash.weighted(bags[i]), bagminhash.weighted(bags[j])) for j in right] for i in left]
+    empty = np.array([[not len(bags[i]) and not len(bags[j]) for j in right] for i in left])
+    assert (np.where(empty, 1.0, bagminhash.overlaps(bags, left, right)) == np.array(want)).all()
+
+
 def test_near_duplicates_inside_a_family_of_unlinked_texts(spark):
     """Sixty texts that are 0.6 to 0.7 alike, so that most share buckets and none is linked; each has one near copy, which no pivot shows."""
     rng = random.Random(11)
