@@ -268,7 +268,7 @@ def _items(hashes: np.ndarray) -> np.ndarray:
 
 def overlaps(bags: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarities of the texts ``left`` with the texts ``right`` (places in ``bags``, lists of shingles), by
-    products of 0/1 matrices, some thousand items at a time."""
+    products of 0/1 matrices, some thousand items at a time. Of different places only: what one text alone has is left out."""
     items = [_items(x) for x in bags]
     lengths = np.array([len(x) for x in items])
     _, item, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
