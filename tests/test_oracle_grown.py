@@ -27,6 +27,6 @@ def check(spark, sf: str, name: str):
 REPEATED_URLS = "SELECT * FROM {0} UNION ALL SELECT * REPLACE (page_id + 1000000 AS page_id) FROM {0} WHERE page_id % 3 = 0"
 
 
-@pytest.mark.parametrize("name", ["discovery_report"])
+@pytest.mark.parametrize("name", ["discovery_report", "discovery_text"])
 def test_pages_that_share_a_url_stay_apart(spark, tmp_path, name):
     check(spark, grown(tmp_path, "pages", REPEATED_URLS), name)
