@@ -1,6 +1,7 @@
 """Column functions on known answers."""
 
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -111,6 +112,17 @@ def test_html_conversion(evaluate):
     assert got == [(markdown, plain) for _, markdown, plain in HTML_CASES]
 
 
+
+def test_long_nested_texts_take_time_in_proportion(evaluate):
+    """A fold that copies what it has printed at every tag takes minutes here."""
+    n = 12_000
+    rows = [("<ol>" + "".join(f"<li>a{i}<ul><li>b</li></ul></li>" for i in range(1, n + 1)) + "</ol>",)]
+    began = time.monotonic()
+    [got] = evaluate(rows, "v string", text.to_markdown("v"))
+    assert got == "\n".join(f"{i}. a{i}\n{' ' * len(f'{i}. ')}* b" for i in range(1, n + 1))
+    assert time.monotonic() - began < 60
+
+
 def test_text_wraps_at_80(evaluate):
     words = " ".join(["word"] * 60)
     (wrapped,) = evaluate([(f"<p>{words}</p>",)], "v string", text.to_text("v"))
