@@ -316,3 +316,13 @@ def test_namespaces_below_the_root_and_cdata(spark):
     )
     rows = parse_feeds(spark.createDataFrame([("u", body)], "feed_url string, body string")).where("pos > 0").orderBy("pos").collect()
     assert [r.body for r in rows][:2] == ["<k:b>&amp; <m:content/>", "own"] and rows[1].enclosures[0].url == "http://v/2.mp4"
+
+
+def test_forms_of_a_record_are_checked_in_one_parse(spark):
+    """The contract query judges two forms of its items; the documents are parsed once for both."""
+    from conftest import SF_SMALL
+
+    from newsloom.checks.queries import contract_check
+
+    plan = contract_check(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1
