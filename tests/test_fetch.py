@@ -326,3 +326,23 @@ def test_forms_of_a_record_are_checked_in_one_parse(spark):
 
     plan = contract_check(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml(") == 1
+
+
+def test_feed_rows_are_the_same_with_and_without_items(documents):
+    """Totals and errors come from the feeds' own rows; a saved run takes them from the rows of all items."""
+    settings = [FeedParams(limit=2, max_content_chars=5), FeedParams(content_format="none"), FeedParams(since=datetime(2026, 4, 1, tzinfo=timezone.utc))]
+    for params in settings:
+        run = fetch(documents, params)
+        feeds, saved = run.feeds(), run.saved().feeds()
+        assert feeds.columns == saved.columns
+        assert sorted(map(str, feeds.collect())) == sorted(map(str, saved.collect()))
+
+
+def test_feeds_without_items_are_not_laid_out(spark):
+    """Two captures of a feed are rendered once, and their numbers of items need no entry to be shaped or exploded."""
+    from conftest import SF_SMALL
+
+    from newsloom.checks.queries import fetch_captures
+
+    plan = fetch_captures(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1 and plan.count("Generate ") == 1
