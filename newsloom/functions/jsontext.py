@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from newsloom.functions.base import ColumnOrName, col
+from newsloom.functions.base import ColumnOrName, bind, col
 
 
 def json_value(value: ColumnOrName) -> Column:
     """JSON text of one scalar, ``null`` included."""
     wrapped = F.to_json(F.struct(col(value).alias("v")), {"ignoreNullFields": "false"})
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    # Cut as bytes, which needs no count of characters.
+    return bind(wrapped.cast("binary"), lambda w: F.substring(w, F.lit(6), F.length(w) - 6).cast("string"))
+
+
+def json_number(value: ColumnOrName) -> Column:
+    """The same of a whole number or a truth value, whose text is its JSON form."""
+    return F.coalesce(col(value).cast("string"), F.lit("null"))
+
+
+def json_word(value: ColumnOrName) -> Column:
+    """The same of text that holds nothing to escape, such as keys, instants and closed sets."""
+    return F.coalesce(F.concat(F.lit('"'), col(value), F.lit('"')), F.lit("null"))
 
 
 def pretty_list(elements: Column, render, indent: int) -> Column:

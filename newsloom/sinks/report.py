@@ -6,12 +6,21 @@ fragments and no more than one bounded feed is ever held in a row.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.errors import UsageError
-from newsloom.functions.base import bind
+from newsloom.functions.base import bind, per_session
 from newsloom.functions.dates import rfc3339
-from newsloom.functions.jsontext import json_value, pretty_details, pretty_list, pretty_object
+from newsloom.functions.jsontext import (
+    json_number,
+    json_value,
+    json_word,
+    pretty_details,
+    pretty_list,
+    pretty_object,
+)
 from newsloom.functions.text import CHARS_PER_TOKEN
 from newsloom.functions.values import error_object
 from newsloom.operators.items import ITEM_COLUMNS
@@ -23,8 +32,8 @@ from newsloom.operators.totals import (
     truncation_struct,
     warnings_from_counts,
 )
-from newsloom.params import DEFAULT_TOKEN_BUDGET
-from newsloom.plans.fetch import FeedRun
+from newsloom.params import DEFAULT_TOKEN_BUDGET, FeedParams
+from newsloom.plans.fetch import FeedRun, described, rendered_items
 from newsloom.schemas import SCHEMA_VERSION
 from newsloom.session import scratch_path
 
@@ -46,24 +55,28 @@ CONTENT_TENTHS, LIMIT_MARGIN, LEAST_CHARS = 7, 0.9, 200
 _ITEM_INDENT, _FEED_INDENT = 8, 4
 
 
-def item_json(indent: int) -> Column:
-    """One item of the contract, laid out at ``indent``, from the columns of ``FeedRun.rows``."""
+def item_json(indent: int, columns: Mapping[str, Column] | None = None) -> Column:
+    """One item of the contract, laid out at ``indent``, from ``columns``, by default those of ``FeedRun.rows``."""
+    of = {name: F.col(name) for name in ITEM_COLUMNS} if columns is None else columns
 
     def strings(name: str) -> Column:
-        return pretty_list(F.col(name), json_value, indent + 2)
+        return pretty_list(of[name], json_value, indent + 2)
 
     def enclosure(e: Column) -> Column:
-        return pretty_object([(f, json_value(e[f])) for f in ("url", "mime", "length")], indent + 4)
+        fields = [("url", json_value(e["url"])), ("mime", json_value(e["mime"])), ("length", json_number(e["length"]))]
+        return pretty_object(fields, indent + 4)
 
     special = {
-        "published": json_value(rfc3339("published")),
-        "updated": json_value(rfc3339("updated")),
+        **{name: json_word(of[name]) for name in ("id", "id_source", "content_format", "content_hash")},
+        **{name: json_number(of[name]) for name in ("content_tokens_est", "content_truncated")},
+        "published": json_word(rfc3339(of["published"])),
+        "updated": json_word(rfc3339(of["updated"])),
         "authors": strings("authors"),
         "categories": strings("categories"),
-        "enclosures": pretty_list(F.col("enclosures"), enclosure, indent + 2),
+        "enclosures": pretty_list(of["enclosures"], enclosure, indent + 2),
     }
     return pretty_object(
-        [(name, special.get(name, json_value(name))) for name in ITEM_COLUMNS], indent
+        [(name, special[name] if name in special else json_value(of[name])) for name in ITEM_COLUMNS], indent
     )
 
 
@@ -237,13 +250,21 @@ def _require_limit(run: FeedRun) -> None:
         )
 
 
+@per_session
+def _items_text(params: FeedParams) -> Column:
+    texts = rendered_items(params, lambda columns: item_json(_ITEM_INDENT, columns))
+    return bind(texts, lambda made: pretty_list(made, lambda text: text, _FEED_INDENT + 2))
+
+
 def feeds_with_items(run: FeedRun) -> DataFrame:
     """``run.feeds()`` plus ``items_text``, the rendered item list, newest first. Needs a limit.
 
-    The limit bounds what is collected per feed; the lists come out of the same aggregation as the
-    totals.
+    The limit bounds what a feed's list holds. It is written inside the feed's own row; for a saved run, whose items
+    are rows of their own, it comes out of the same aggregation as the totals.
     """
     _require_limit(run)
+    if run.own is not None:
+        return run.own.select("request_pos", "feed_url", *described(), _items_text(run.params).alias("items_text"))
     item = F.struct(
         F.col("ts").isNull().alias("undated"),
         (-F.unix_micros("ts")).alias("age"),

@@ -346,3 +346,10 @@ def test_feeds_without_items_are_not_laid_out(spark):
 
     plan = fetch_captures(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml(") == 1 and plan.count("Generate ") == 1
+
+
+def test_bounded_reports_are_written_in_the_row_of_their_feed(documents):
+    run = fetch(documents, FeedParams(limit=2, max_content_chars=5))
+    made = report.bounded_reports(run, F.lit(AT))
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, made.collect())) == sorted(map(str, report.bounded_reports(run.saved(), F.lit(AT)).collect()))
