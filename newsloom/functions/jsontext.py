@@ -43,6 +43,16 @@ def pretty_object(fields: list[tuple[str, Column]], indent: int) -> Column:
     return F.concat(*parts)
 
 
+def list_layout(n: Column, indent: int) -> Column:
+    """Characters ``pretty_list`` adds to the one-line JSON of a list of ``n``."""
+    return F.when(n > 0, n * (indent + 3) + indent + 1).otherwise(0)
+
+
+def object_layout(n_fields: int, indent: int) -> int:
+    """Characters ``pretty_object`` adds to the one-line JSON of an object."""
+    return n_fields * (indent + 4) + indent + 1
+
+
 def pretty_details(details: ColumnOrName, indent: int) -> Column:
     """The flat JSON text of error details, laid out at ``indent``."""
     pad = "\n" + " " * (indent + 2)

@@ -17,6 +17,8 @@ from newsloom.functions.jsontext import (
     json_number,
     json_value,
     json_word,
+    list_layout,
+    object_layout,
     pretty_details,
     pretty_list,
     pretty_object,
@@ -80,6 +82,17 @@ def item_json(indent: int, columns: Mapping[str, Column] | None = None) -> Colum
     )
 
 
+def item_length(indent: int) -> Column:
+    """Length of ``item_json``: that of the item as one line of JSON, and what the layout adds to it."""
+    instants = ("published", "updated")
+    line = F.to_json(
+        F.struct(*[rfc3339(c).alias(c) if c in instants else F.col(c) for c in ITEM_COLUMNS]), {"ignoreNullFields": "false"}
+    )
+    lists = [list_layout(F.size(name), indent + 2) for name in ("authors", "categories", "enclosures")]
+    enclosures = F.size("enclosures") * object_layout(3, indent + 4)
+    return F.length(line) + object_layout(len(ITEM_COLUMNS), indent) + lists[0] + lists[1] + lists[2] + enclosures
+
+
 def error_json(error: Column, indent: int) -> Column:
     fields = [(f, json_value(error[f])) for f in ("feed_url", "code", "message")]
     return pretty_object([*fields, ("details", pretty_details(error["details"], indent + 2))], indent)
@@ -162,12 +175,20 @@ def estimate_response_tokens(run: FeedRun, fetched_at: Column) -> DataFrame:
     """``(feed_url, item_count, estimated_tokens)`` of each feed's own report document.
 
     Item texts are measured where they are and only their lengths are summed, so this holds for
-    feeds of any size. The documents carry no truncation marker yet when they are measured.
+    feeds of any size; so is the document around them, in the feed's own row, which leaves nothing but
+    numbers to gather. The documents carry no truncation marker yet when they are measured.
     """
-    is_item = F.col("pos") > 0
-    feeds = run.feeds(_chars=F.sum(F.when(is_item, F.length(item_json(_ITEM_INDENT)))))
-    frame = F.length(_one_feed_document(fetched_at, feed_json(F.lit("")), None))
-    n, chars = F.col("item_count"), F.coalesce("_chars", F.lit(0))
+    measured = run.rows.select(
+        "request_pos", "feed_url", "pos", F.when(F.col("pos") > 0, item_length(_ITEM_INDENT)).alias("_chars"), *described()
+    )
+    around = F.length(_one_feed_document(fetched_at, feed_json(F.lit("")), None))
+    sizes = measured.select(
+        "request_pos", "feed_url", "item_count", "_chars", F.when(F.col("pos") == 0, around).alias("_frame")
+    )
+    feeds = sizes.groupBy("request_pos", "feed_url").agg(
+        F.max("item_count").alias("item_count"), F.sum("_chars").alias("_chars"), F.max("_frame").alias("_frame")
+    )
+    n, chars, frame = F.col("item_count"), F.coalesce("_chars", F.lit(0)), F.col("_frame")
     return feeds.select(
         "feed_url",
         "item_count",

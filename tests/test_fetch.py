@@ -348,6 +348,15 @@ def test_feeds_without_items_are_not_laid_out(spark):
     assert plan.count("from_xml(") == 1 and plan.count("Generate ") == 1
 
 
+def test_item_lengths_without_their_text(documents):
+    """Sizes of reports come from the one-line form of an item; only numbers are gathered, without a sort."""
+    items = fetch(documents, FeedParams(content_format="html")).rows.where("pos > 0")
+    sizes = items.select(F.length(report.item_json(8)).alias("text"), report.item_length(8).alias("sum")).collect()
+    assert len(sizes) == 8 and all(r.text == r.sum for r in sizes)
+    tokens = report.estimate_response_tokens(fetch(documents), F.lit(AT))
+    assert "SortAggregate" not in tokens._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounded_reports_are_written_in_the_row_of_their_feed(documents):
     run = fetch(documents, FeedParams(limit=2, max_content_chars=5))
     made = report.bounded_reports(run, F.lit(AT))
